@@ -6,11 +6,42 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, gif
+from . import bpe, gif, secrets, url_filter
 from .common import table
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs)))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
+#: Rules of op8 as (verdict, host, path), and the host labels that its list blocks.
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+BLOCKED_LABELS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("key"))
+    listed = hosts.where(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, BLOCKED_LABELS))))
+    return url_filter.filter_urls(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP8_SQL = r"""
+with p as (select page_id, translate(regexp_extract(coalesce(url,''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+                  regexp_extract(coalesce(url,''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path from pages),
+r(v, h, s) as (values ('block','com','/en/'), ('allow','example.com','/en/7'), ('allow','net','/de/'), ('block','example.net','/de/8'), ('block','org','/es/')),
+m as (select page_id, host, path, (select max({'n': length(h)+length(s), 'rule': h||s, 'verdict': v}) from r where (host = h or ends_with(host, '.'||h)) and starts_with(path, s)) hit from p)
+select page_id, host, path, hit.rule as rule,
+       coalesce(hit.verdict, case when list_has_any(string_split(host,'.'), ['adult-x','ads-track','casino-win','cheap-pills','free-bets','spam-farm']) then 'block' else 'allow' end) verdict
+from m
+"""
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
@@ -21,8 +52,10 @@ def op10_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secrets": op4_secrets,
+    "op8_url_filter": op8_url_filter,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_gif_columns": op10_gif_columns,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL}

@@ -1,0 +1,141 @@
+"""Secret scans: base patterns, and Markov models of random strings against ordinary identifiers.
+
+Only DataFrame functions; no Python in tasks. Two first-order character models are counted from labelled samples; a
+long token is a secret if the mean log-likelihood ratio of its character pairs is over a threshold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Kind, pattern, group whose length counts, least length.
+KINDS = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
+)
+#: What a text must hold for a kind to be sought in it at all: a cheap test before the pattern.
+NEEDS = {"assign": (":", "="), "access": ("AKIA",)}
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Mean log-likelihood ratio (nats for each pair) from which a candidate counts.
+THRESHOLD = 0.5
+#: About so many documents give labelled samples; one in ORDINARY of them gives ordinary words.
+TRAINING_DOCUMENTS = 20_000
+ORDINARY = 10
+SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
+
+
+def spans_of(text: Column, pattern: str, kind: str, order: int, group: int = 0, least: int = 0) -> Column:
+    """Leftmost non-overlapping matches with code-point positions; those whose group is too short are dropped."""
+    p = F.lit(pattern)
+    hits = F.regexp_extract_all(text, p, F.lit(0))
+    # the text before the k-th match is the k-th piece, so positions are running sums of lengths
+    gaps = F.split(text, pattern, -1)
+    values = F.regexp_extract_all(text, p, F.lit(group)) if group else hits
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
+    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+        return F.struct(end.alias("pos"), F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+
+    return F.when(_may_hold(text, kind) & text.rlike(pattern), F.aggregate(pairs, begin, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+
+
+def _may_hold(text: Column, kind: str) -> Column:
+    out = F.lit(kind not in NEEDS)
+    for word in NEEDS.get(kind, ()):
+        out = out | F.contains(text, F.lit(word))
+    return out
+
+
+def base_spans(text: Column) -> Column:
+    """All spans of the fixed kinds, by start and then by kind as listed."""
+    found = [spans_of(text, pattern, kind, k, group, least) for k, (kind, pattern, group, least) in enumerate(KINDS)]
+    return F.array_sort(F.concat(*found))
+
+
+def _pairs(value: Column) -> Column:
+    """Codes of the neighbouring character pairs of the alphabet."""
+    n = len(ALPHABET)
+    code = lambda k: F.instr(F.lit(ALPHABET), F.substring(value, k, F.lit(1))) - 1
+    all_pairs = F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda k: F.when((code(k) >= 0) & (code(k + 1) >= 0), code(k) * n + code(k + 1)))
+    return F.when(F.length(value) >= 2, F.filter(all_pairs, lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
+
+
+def train(samples: DataFrame) -> list[float]:
+    """Log-likelihood ratio for each pair of characters, from rows (value, secret boolean).
+
+    Add-one smoothing over the alphabet; so without any sample of a class that class is uniform. The table has
+    len(ALPHABET) squared entries whatever the input, so it is brought to the driver.
+    """
+    n = len(ALPHABET)
+    counts = samples.where("value is not null and secret is not null").select("secret", F.explode(_pairs(F.col("value"))).alias("pair")).groupBy("secret", "pair").count().collect()
+    import numpy as np
+
+    table = np.ones((2, n, n))
+    for row in counts:
+        table[int(row["secret"]), row["pair"] // n, row["pair"] % n] += row["count"]
+    shares = np.log(table / table.sum(axis=2, keepdims=True))
+    return (shares[1] - shares[0]).ravel().tolist()
+
+
+def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(value, secret) from about TRAINING_DOCUMENTS documents, picked by hash: values of base spans, and ordinary words.
+
+    Words come from every ORDINARY-th of those documents that has no base span.
+    """
+    some = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    share = min(1.0, TRAINING_DOCUMENTS / max(1, docs.count()))
+    some = some.where(picked < int(share * (1 << 30)))
+    marked = F.col("text").rlike("|".join(f"(?:{p})" for _, p, _, _ in KINDS))
+    found = some.where(marked).select(F.explode(base_spans(F.col("text"))).alias("span")).select(F.col("span.value").alias("value"), F.lit(True).alias("secret"))
+    words = some.where((F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(ORDINARY)) == 0) & ~marked)
+    plain = words.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_-]{4,}"), F.lit(0))).alias("value"), F.lit(False).alias("secret"))
+    return found.unionByName(plain)
+
+
+def find_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, base, spans, *keep): base spans, and those with the model's added as kind ``markov``.
+
+    Spans are structs (start, ord, end, kind, value), sorted; positions are code points, the end exclusive. A candidate
+    that overlaps a base span is left out. A null text is empty and has no spans; rows and repeated ids are kept; an
+    empty table gives no rows. Narrow: no shuffle.
+    """
+    n = len(ALPHABET)
+    table = F.expr("cast(split('" + ",".join(f"{x:.6f}" for x in model) + "', ',') as array<double>)")
+    score = lambda v: F.aggregate(_pairs(v), F.lit(0.0), lambda acc, k: acc + F.element_at(table, k + 1)) / (F.length(v) - 1)
+    assert len(model) == n * n
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"), *[F.col(k).alias(k) for k in keep if k != "doc_id"])
+    rows = rows.withColumn("base", base_spans(F.col("__text")))
+    long = spans_of(F.col("__text"), CANDIDATE, "markov", len(KINDS))
+    fresh = F.filter(long, lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & (score(c["value"]) >= threshold))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", fresh))).drop("__text")
+
+
+def as_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def redact(docs: DataFrame, model: list[float], mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of find_secrets replaced by ``mark`` (overlapping spans together), and n_chars to match."""
+    names = docs.columns
+    found = find_secrets(docs, model, keep=tuple(names))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"])
+        return F.when(s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), F.concat(acc["out"], piece, F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out")))
+
+    clean = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
+    changed = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    if "n_chars" in names:
+        changed = changed.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return changed.select(*names)
