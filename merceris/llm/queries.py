@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, secrets, url_filter
+from . import bpe, gif, packing, secrets, url_filter
 from .common import table
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs)))
@@ -52,6 +56,7 @@ def op10_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op8_url_filter": op8_url_filter,
     "op9_bpe_round_trip": op9_bpe_round_trip,
