@@ -42,6 +42,18 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def slices(texts: list[str], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of whole texts of about ``limit`` characters."""
+    first, size = 0, 0
+    for row, text in enumerate(texts):
+        size += len(text)
+        if size >= limit:
+            yield first, row + 1
+            first, size = row + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def byte_slices(texts: list[str | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Cut a batch into runs of whole texts of about ``limit`` bytes.
 
