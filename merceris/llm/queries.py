@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, packing, secrets, url_filter
+from . import bpe, gif, packing, quality, secret_scan, url_filter
 from .common import table
 
 
@@ -18,9 +18,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs)))
+    found = secret_scan.find_secrets(docs, secret_scan.train(secret_scan.labelled_samples(docs)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
 #: Rules of op8 as (verdict, host, path), and the host labels that its list blocks.
@@ -58,6 +63,7 @@ def op10_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_gif_columns": op10_gif_columns,
