@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, packing, quality, secret_scan, token_counts, url_filter
+from . import bpe, gif, jaccard, packing, quality, secret_scan, token_counts, url_filter
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(secret_scan.as_text(F.col("base")), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -67,6 +71,7 @@ def op10_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op5_jaccard": op5_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
