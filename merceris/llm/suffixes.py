@@ -125,10 +125,6 @@ def _range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     return out
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1]
-
-
 def _starred(text: np.ndarray, small: np.ndarray, stars: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Starred positions in suffix order as far as ``cap`` symbols tell, and common prefixes with the one before."""
     n, m = len(text), len(stars)
@@ -150,27 +146,47 @@ def _starred(text: np.ndarray, small: np.ndarray, stars: np.ndarray, cap: int) -
         ranks = np.empty(len(own), np.int64)
         ranks[order] = np.cumsum(changed)
         names[own] = ranks
-    # a starred substring is two symbols or more, so cap names are enough
-    step = 1
-    while step < cap and len(np.unique(names)) < m:
-        follow = np.append(names[step:], np.zeros(min(step, m), np.int64))[:m]
-        names = _dense(names * (int(names.max()) + 2) + follow) + 1
+    # a starred substring is two symbols or more, so cap names are enough; only names that are shared are doubled
+    ranks = np.empty(m, np.int64)
+    order = np.argsort(names, kind="stable")
+    ranks[order] = _starts(names[order]) + 1
+    live, step = np.flatnonzero(np.bincount(ranks, minlength=m + 2)[ranks] > 1), 1
+    while step < cap and len(live):
+        follow = np.where(live + step < m, ranks[np.minimum(live + step, m - 1)], 0)
+        live = live[np.lexsort((follow, ranks[live]))]
+        follow = np.where(live + step < m, ranks[np.minimum(live + step, m - 1)], 0)
+        old = ranks[live]
+        fresh = _starts(old * (m + 2) + follow)
+        ranks[live] = old + fresh - _starts(old)
+        size = np.bincount(fresh, minlength=len(live))[fresh]
+        live = live[size > 1]
         step *= 2
-    order = stars[np.argsort(names, kind="stable")]
-    # common prefixes of neighbours, eight symbols at a time
+    order = stars[np.argsort(ranks, kind="stable")]
+    # common prefixes of neighbours, seven symbols a word
+    far = np.append(text.astype(np.uint64), np.zeros(7, np.uint64))
+    words = far[:n]
+    for i in range(1, 7):
+        words = words << np.uint64(9) | far[i : n + i]
     commons = np.zeros(m, np.int64)
-    far = np.append(text, np.zeros(cap + 8, text.dtype))
     live = np.arange(1, m)
-    for k in range(0, cap, 8):
+    for k in range(0, cap, 7):
+        a, b = order[live - 1] + k, order[live] + k
+        differ = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
+        same = np.zeros(len(live), np.int64)
+        for i in range(7):
+            same += differ >> np.uint64(9 * i) == 0
+        commons[live] += same
+        live = live[same == 7]
         if not len(live):
             break
-        a, b = order[live - 1], order[live]
-        same = np.ones(len(live), bool)
-        for i in range(k, min(k + 8, cap)):
-            same &= (a + i < n) & (b + i < n) & (far[np.minimum(a + i, n)] == far[np.minimum(b + i, n)])
-            commons[live] += same
-        live = live[same]
-    return order, commons.astype(np.uint8)
+    return order, np.minimum(commons, cap).astype(np.uint8)
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """For sorted keys, the index at which each one's run of equal keys begins."""
+    changed = np.ones(len(keys), bool)
+    changed[1:] = keys[1:] != keys[:-1]
+    return np.maximum.accumulate(np.where(changed, np.arange(len(keys)), 0))
 
 
 def neighbours(text: np.ndarray, cap: int = 200, limit: int = QUEUE_BYTES) -> np.ndarray:
