@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, jaccard, packing, quality, repeats, secret_scan, token_counts, url_filter
+from . import bpe, gif, jaccard, neighbours, packing, quality, repeats, secret_scan, token_counts, url_filter
 from .common import table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), 200, digests=True)
 
@@ -73,6 +77,7 @@ def op10_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
