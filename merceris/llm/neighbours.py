@@ -27,7 +27,7 @@ TRIAL = 400
 PARTITION_ROWS = 800
 MOST_PARTITIONS = 128
 #: Share of the second sample's neighbours whose partition must be opened.
-TARGET = 0.975
+TARGET = 0.95
 GRAPH_DEGREE = 10
 #: Rows of an index block and of a query block that one task compares.
 BLOCK = 4_096

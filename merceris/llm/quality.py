@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,3 +197,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     stats = stored(document_statistics(docs, id_col, text_col))
     return score(stats, train(stats, labels))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose score is at least ``threshold``, with all their columns; all rows if nothing is labelled."""
+    model = train(stored(document_statistics(docs, id_col, text_col)), labels)
+    if not len(model.knots):
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array(model.score(statistics(part.column(text_col).to_pylist())) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,16 +231,14 @@ def _covered(cover, size: int, span: int) -> np.ndarray:
     return spans_of(np.concatenate(starts), size, span)
 
 
-def remove_repeats(docs: DataFrame, span: int = 200, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep: tuple[str, ...] = (), many_runs: int = MANY_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 200, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, many_runs: int = MANY_RUNS) -> DataFrame:
     """Remove each byte covered by a ``span``-byte string that also starts anywhere else, in any document.
 
-    Returns doc_id, n_bytes, n_removed, n_spans and kept (the other bytes; or kept_sha256 with ``digests``), and the
-    columns of ``keep``. Overlaps count, and strings are judged on the input. Matches never cross documents. A null text
+    Returns doc_id, n_bytes, n_removed, n_spans and kept (the other bytes; or kept_sha256 with ``digests``). Overlaps count, and strings are judged on the input. Matches never cross documents. A null text
     is empty; repeated rows repeat each other; other columns are ignored; an empty table gives no rows.
     """
     keyed = _keyed(docs, id_col, text_col)
     cover = stored(repeated_windows(keyed, span, many_runs))
-    rows = keyed.select("doc_id", "text", "key") if not keep else docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("__t"), "*").select(F.col(id_col).alias("doc_id"), F.col("__t").alias("text"), F.unhex(F.md5(F.col("__t").cast("binary"))).alias("key"), F.struct(*keep).alias("kept_columns"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,13 +251,34 @@ def remove_repeats(docs: DataFrame, span: int = 200, id_col: str = "doc_id", tex
                     edges = [0, *spans.ravel().tolist(), len(raw)]
                     left = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
                     out.append((doc, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest() if digests else left))
-                out = pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-                if keep:
-                    out["kept_columns"] = part["kept_columns"].tolist()
-                yield out
+                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    joined = rows.join(cover, "key", "left")
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digests else 'kept binary'}"
-    if not keep:
-        return joined.select("doc_id", "text", "cover").mapInPandas(run, schema)
-    return joined.select("doc_id", "text", "cover", "kept_columns").mapInPandas(run, f"{schema}, kept_columns {rows.schema['kept_columns'].dataType.simpleString()}")
+    return keyed.join(cover, "key", "left").select("doc_id", "text", "cover").mapInPandas(run, schema)
+
+
+def without_repeats(docs: DataFrame, span: int = 200, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated strings taken out of the text, and ``size_col`` (if there) to match; all rows stay.
+
+    A cut inside a character drops that character's other bytes too, so the text stays valid UTF-8.
+    """
+    keyed = _keyed(docs, text_col, text_col)
+    cover = stored(repeated_windows(keyed, span).withColumnRenamed("key", "__key").withColumnRenamed("cover", "__cover"))
+    rows = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).join(cover, "__key", "left").select(*docs.columns, "__cover")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            own = batch.column("__cover")
+            for row in np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                raw = texts[row].encode("utf-8", "surrogatepass")
+                edges = [0, *_covered(own[row].as_py(), len(raw), span).ravel().tolist(), len(raw)]
+                texts[row] = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]).decode("utf-8", "ignore")
+            columns = {name: batch.column(name) for name in batch.schema.names if name != "__cover"}
+            columns[text_col] = pa.array(texts, batch.schema.field(text_col).type)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    out = rows.mapInArrow(run, docs.schema)
+    if size_col in docs.columns:
+        out = out.withColumn(size_col, F.when(F.col(text_col).isNotNull(), F.length(text_col)).cast(docs.schema[size_col].dataType))
+    return out
