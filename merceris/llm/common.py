@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +76,29 @@ def _offsets(parts: list[bytes]) -> np.ndarray:
     out = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=out[1:])
     return out
+
+
+#: Bits of a set of keys that lets most other rows be dropped before a shuffle, and of one row of it. Its size is fixed.
+SET_BITS = 1 << 25
+SET_ROW = 1 << 16
+
+
+def key_set(keys: DataFrame, name: str) -> np.ndarray:
+    """A long column's values as SET_BITS bits by their low bits, packed; a value that is in the column is in the set."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(SET_ROW, bool)
+        bits[group["bit"].to_numpy()] = True
+        return pd.DataFrame({"row": [group["row"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    place = F.col(name).bitwiseAND(F.lit(SET_BITS - 1))
+    cells = keys.select((place / SET_ROW).cast("int").alias("row"), (place % SET_ROW).cast("int").alias("bit")).distinct()
+    out = np.zeros((SET_BITS // SET_ROW, SET_ROW // 8), np.uint8)
+    for r in cells.groupBy("row").applyInPandas(add, "row int, bits binary").collect():  # SET_BITS bits, whatever the input
+        out[r["row"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def in_key_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & (SET_BITS - 1)
+    return bits[place >> 3] >> (7 - (place & 7)) & 1 == 1

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, ids_and_texts, stored
+from .common import SLICE_BYTES, ids_and_texts, in_key_set, key_set, stored
 from .components import components
 
 #: Cells of the count sketch, and of one row of it in a shuffle.
@@ -28,6 +28,9 @@ CELLS = 1 << 18
 ROW = 1 << 12
 #: Classes of one group; larger ones are dealt out by hash.
 GROUP = 128
+#: First shingles that similar classes share at least; and classes of a token up to which its pairs are counted.
+SHARED = 3
+FEW = 24
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _random = np.random.default_rng(11)
@@ -178,19 +181,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             for doc, own in zip(batch["doc_id"], sets, strict=True):
                 n = len(own)
                 rank = np.argsort(cells[(own & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
-                first = own[rank[: n - needed(n, percent) + 1]].view(np.int64) if n else []
+                first = own[rank[: n - needed(n, percent) + min(SHARED, needed(n, percent))]].view(np.int64) if n else []
                 out.append((doc, n, hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None, first))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "first"]).astype({"doc_id": "Int64"})
 
     described = stored(rows.mapInPandas(describe, "doc_id long, n_shingles long, class binary, first array<long>"))
-    member = described.where("class is not null").select("class", "doc_id")
     # one row for each class; copies of a set have the same first shingles
     classes = stored(described.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("first").alias("first")))
-    postings = classes.select("class", "n", F.posexplode("first").alias("place", "token"))
-    shared = stored(postings.groupBy("token").agg(F.count("*").alias("classes"), F.min("class").alias("pivot")).where("classes > 1"))
-    postings = stored(postings.join(shared, "token").select("class", "n", "place", "token", "classes", "pivot"))
-    open_classes = stored(postings.groupBy("class").agg(F.min_by(F.struct("token", "classes", "pivot"), "place").alias("home")).select("class", "home.*"))
-
+    postings = stored(_open_postings(classes, percent))
+    open_classes = stored(postings.groupBy("class").agg(F.min_by(F.struct("token", "classes", "pivot"), F.struct("place", "token")).alias("home")).select("class", "home.*"))
     sets = _sets(rows, classes.join(open_classes.select("class"), "class").select("doc_id", "class"), words)
     links = stored(_home_links(open_classes, sets, percent))
     found = stored(_component_of(open_classes.select("class"), links))
@@ -201,6 +200,45 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     return described.select("doc_id", "n_shingles", "class").join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _open_postings(classes: DataFrame, percent: int) -> DataFrame:
+    """(class, n, place, token, classes, pivot): shared first shingles of the classes that can have a partner at all.
+
+    A token here is a shingle together with a range of set sizes; a set is in its own range and the next, so that sets
+    near enough in size meet in one. Similar sets share SHARED tokens (or all, if they are smaller) among the first ones.
+    Where a token has few classes its pairs are counted; where it has many, all its classes stay.
+    """
+    tokens = classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    known = classes.sparkSession.sparkContext.broadcast(key_set(tokens.select("token"), "token"))  # of a fixed size
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = known.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            sizes = batch["first"].map(len).to_numpy()
+            flat = np.concatenate(batch["first"].to_list())
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = in_key_set(bits, flat)
+            yield pd.DataFrame({"class": np.repeat(batch["class"].to_numpy(), sizes)[keep], "n": np.repeat(batch["n"].to_numpy(), sizes)[keep], "place": place[keep], "shingle": flat[keep]})
+
+    some = classes.select("class", "n", "first").mapInPandas(pick, "class binary, n long, place int, shingle long")
+    # a little wider than the largest ratio of similar sizes, so that rounding never parts two of them
+    width = float(np.log(max(100 / percent, 1.01) * (1 + 1e-6)))
+    some = some.withColumn("own", F.floor(F.log("n") / width).cast("int"))
+    some = some.withColumn("range", F.explode(F.array("own", F.col("own") + 1))).withColumn("token", F.xxhash64("shingle", "range"))
+    sizes = some.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
+    met = stored(some.join(sizes, "token").select("class", "n", "place", "own", "range", "token", "classes"))
+    few = met.where(F.col("classes") <= FEW)
+    a, b = (few.select("token", "range", *[F.col(c).alias(f"{c}{k}") for c in ("class", "n", "own")]) for k in (1, 2))
+    near = (F.col("class1") < F.col("class2")) & (F.col("range") == F.greatest("own1", "own2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    shared = F.least(F.lit(SHARED), F.ceil(F.least("n1", "n2") * F.lit(percent) / 100))
+    pairs = a.join(b, ["token", "range"]).where(near).groupBy("class1", "class2").agg(F.count("*").alias("both"), F.min(shared).alias("least")).where("both >= least")
+    partner = pairs.select(F.explode(F.array("class1", "class2")).alias("class")).unionByName(met.where(F.col("classes") > FEW).select("class")).distinct()
+    left = stored(met.join(partner, "class").select("class", "n", "place", "token"))
+    sizes = left.groupBy("token").agg(F.count("*").alias("classes"), F.min("class").alias("pivot")).where("classes > 1")
+    return left.join(sizes, "token")
+
+
 def _component_of(classes: DataFrame, links: DataFrame) -> DataFrame:
     labels = components(links)
     return classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"))

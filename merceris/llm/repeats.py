@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_key_set, key_set, stored
 from .suffixes import neighbours
 
 #: Window starts that are hashed together; longer texts are cut there, which only makes their border runs distinct.
@@ -26,9 +26,6 @@ CHUNK = 1 << 20
 #: Bytes of one shard; distinct runs of an anchor from which its windows are dealt out one by one.
 SHARD_BYTES = 1_000_000
 MANY_RUNS = 2_000
-#: Bits of the set of repeated anchors that lets most other runs be dropped before a shuffle, and of one row of it.
-SET_BITS = 1 << 25
-SET_ROW = 1 << 16
 
 _random = np.random.default_rng(23)
 _BYTES = _random.integers(0, 2**64, (2, 256), np.uint64)
@@ -121,22 +118,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
 
 
-def _anchor_set(repeated: DataFrame) -> np.ndarray:
-    """The repeated anchors as SET_BITS bits, brought together row by row."""
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(SET_ROW, bool)
-        bits[group["bit"].to_numpy()] = True
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
-
-    place = F.col("anchor").bitwiseAND(F.lit(SET_BITS - 1))
-    cells = repeated.select((place / SET_ROW).cast("int").alias("row"), (place % SET_ROW).cast("int").alias("bit")).distinct()
-    out = np.zeros((SET_BITS // SET_ROW, SET_ROW // 8), np.uint8)
-    for r in cells.groupBy("row").applyInPandas(add, "row int, bits binary").collect():  # SET_BITS bits, whatever the input
-        out[r["row"]] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(out.ravel()).astype(bool)
-
-
 def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) -> DataFrame:
     """(key, cover): for each distinct text with repeated windows, structs (start, windows, bits); null bits mean all."""
     spark = keyed.sparkSession
@@ -153,10 +134,10 @@ def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) ->
     pairs = described.select(F.explode(F.arrays_zip("anchor", "mark")).alias("p")).select("p.*")
     counted = pairs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"))
     repeated = stored(counted.where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("open")))
-    anchors = spark.sparkContext.broadcast(np.packbits(_anchor_set(repeated)))  # SET_BITS bits
+    anchors = spark.sparkContext.broadcast(key_set(repeated, "anchor"))  # of a fixed size
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.unpackbits(anchors.value).astype(bool)
+        bits = anchors.value
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.iloc[at : at + 2000]
@@ -164,7 +145,7 @@ def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) ->
                     continue
                 sizes = part["anchor"].map(len).to_numpy()
                 flat = {c: np.concatenate(part[c].to_list()) for c in ("start", "windows", "anchor", "mark")}
-                keep = bits[flat["anchor"] & (SET_BITS - 1)]
+                keep = in_key_set(bits, flat["anchor"])
                 yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), sizes)[keep], **{c: v[keep] for c, v in flat.items()}})
 
     # exact copies of a text give the same rows, so a run's copies are counted before they are made one
