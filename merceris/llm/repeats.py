@@ -23,9 +23,10 @@ from .suffixes import neighbours
 
 #: Window starts that are hashed together; longer texts are cut there, which only makes their border runs distinct.
 CHUNK = 1 << 20
-#: Bytes of one shard; distinct runs of an anchor from which its windows are dealt out one by one.
+#: Bytes of one shard; and distinct runs of one anchor that a shard may hold beyond that: up to about 3 MB of text,
+#: which takes 300 MB to sort. Of an anchor with more, the windows are dealt out one by one.
 SHARD_BYTES = 1_000_000
-MANY_RUNS = 2_000
+MANY_RUNS = 12_000
 
 _random = np.random.default_rng(23)
 _BYTES = _random.integers(0, 2**64, (2, 256), np.uint64)
