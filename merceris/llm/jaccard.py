@@ -1,6 +1,6 @@
 """N-gram Jaccard join with token groups.
 
-Documents with the same shingle set are one class. A fixed-size count sketch over all shingles gives a total order that
+Documents with the same shingle set are one class. A count sketch of bounded size over all shingles gives a total order that
 puts common shingles last, and two similar classes share a shingle among the first few of each. Classes that share none
 with any other are done. The rest are put into groups of similar classes, first by their first shared shingle, then by
 the components found so far. The token-group matrix holds, for each shared shingle, the groups that have it; two groups
@@ -12,6 +12,7 @@ component need no look, so a large group of copies costs no square of its size.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, ids_and_texts, in_key_set, key_set, stored
 from .components import components
 
-#: Cells of the count sketch, and of one row of it in a shuffle.
-CELLS = 1 << 18
-ROW = 1 << 12
+#: The most cells of the count sketch (a byte each where it is used), and its rows in a shuffle.
+MOST_CELLS = 1 << 24
+SKETCH_ROWS = 256
 #: Classes of one group; larger ones are dealt out by hash.
 GROUP = 128
 #: First shingles that similar classes share at least; and classes of a token up to which its pairs are counted.
 SHARED = 3
-FEW = 24
+FEW = 64
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _random = np.random.default_rng(11)
@@ -114,34 +115,50 @@ def _batches(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[pd.D
 
 
 def _sketch(rows: DataFrame, words: int) -> np.ndarray:
-    """How often each cell's shingles occur, as half powers of two; its size is fixed."""
+    """How often each cell's shingles occur, as half powers of two: one byte a cell.
+
+    There is about a cell for each four shingles, and at most MOST_CELLS, so its size is bounded.
+    """
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = 1 << int(np.clip(np.ceil(np.log2(max(size / 32, 1))), 12, np.log2(MOST_CELLS)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros(CELLS, np.int64)
+        total, waiting, size = np.zeros(cells, np.uint16), [], 0
+
+        def settle() -> None:
+            places, n = np.unique(np.concatenate(waiting), return_counts=True)
+            total[places] = np.minimum(total[places] + n, 65535)
+            waiting.clear()
+
         for _, sets in _batches(batches, words):
-            waiting, size = [], 0
             for own in sets:
-                waiting.append(own)
+                waiting.append((own & np.uint64(cells - 1)).astype(np.int32))
                 size += len(own)
-                if size > 500_000:
-                    cells += np.bincount((np.concatenate(waiting) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                    waiting, size = [], 0
-            if waiting:
-                cells += np.bincount((np.concatenate(waiting) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        if cells.any():
+                if size > 2_000_000:
+                    settle()
+                    size = 0
+        if waiting:
+            settle()
+        if total.any():
             some = TaskContext.get().partitionId() % 64
-            yield pd.DataFrame({"row": np.arange(CELLS // ROW), "some": some, "cells": [x.astype("<u4").tobytes() for x in cells.reshape(-1, ROW)]})
+            yield pd.DataFrame({"row": np.arange(SKETCH_ROWS), "some": some, "cells": [zlib.compress(x.astype("<u4").tobytes(), 1) for x in total.reshape(SKETCH_ROWS, -1)]})
+
+    def added(group: pd.DataFrame) -> np.ndarray:
+        return sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in group["cells"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in group["cells"])
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "some": [group["some"].iloc[0]], "cells": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        total = np.minimum(added(group), 2**32 - 1).astype("<u4")
+        return pd.DataFrame({"row": [group["row"].iloc[0]], "some": [group["some"].iloc[0]], "cells": [zlib.compress(total.tobytes(), 1)]})
+
+    def rank(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"row": [group["row"].iloc[0]], "ranks": [np.round(2 * np.log2(np.maximum(added(group), 1))).astype(np.uint8).tobytes()]})
 
     schema = "row int, some int, cells binary"
     parts = rows.select("text").mapInPandas(count, schema).groupBy("row", "some").applyInPandas(add, schema)
-    out = np.zeros((CELLS // ROW, ROW), np.int64)
-    for r in parts.groupBy("row").applyInPandas(add, schema).collect():  # CELLS numbers, whatever the input
-        out[r["row"]] = np.frombuffer(r["cells"], "<u4")
-    return np.round(2 * np.log2(np.maximum(out.ravel(), 1))).astype(np.uint8)
+    out = np.zeros((SKETCH_ROWS, cells // SKETCH_ROWS), np.uint8)
+    for r in parts.groupBy("row").applyInPandas(rank, "row int, ranks binary").collect():  # one byte a cell
+        out[r["row"]] = np.frombuffer(r["ranks"], np.uint8)
+    return out.ravel()
 
 
 def _links_in(sets: list[np.ndarray], keys: list[bytes], percent: int) -> list[tuple[bytes, bytes]]:
@@ -172,7 +189,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     by its own text; other columns are ignored; an empty table gives no rows. No link between different sets is lost.
     """
     rows = ids_and_texts(docs, id_col, text_col)
-    order = rows.sparkSession.sparkContext.broadcast(_sketch(rows, words))  # CELLS bytes
+    order = rows.sparkSession.sparkContext.broadcast(_sketch(rows, words))  # MOST_CELLS bytes at most
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = order.value
@@ -180,7 +197,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             out = []
             for doc, own in zip(batch["doc_id"], sets, strict=True):
                 n = len(own)
-                rank = np.argsort(cells[(own & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
+                rank = np.argsort(cells[(own & np.uint64(len(cells) - 1)).astype(np.int64)], kind="stable")
                 first = own[rank[: n - needed(n, percent) + min(SHARED, needed(n, percent))]].view(np.int64) if n else []
                 out.append((doc, n, hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None, first))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "first"]).astype({"doc_id": "Int64"})
