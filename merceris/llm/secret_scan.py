@@ -126,16 +126,18 @@ def as_text(spans: Column) -> Column:
 def redact(docs: DataFrame, model: list[float], mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of find_secrets replaced by ``mark`` (overlapping spans together), and n_chars to match."""
     names = docs.columns
-    found = find_secrets(docs, model, keep=tuple(names))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    found = find_secrets(rows, model, keep=("text", "__row"))
     begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"])
         return F.when(s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), F.concat(acc["out"], piece, F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out")))
 
-    clean = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
-    changed = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    masked = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
+    found = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    row = F.col("__row")
+    new = {"text": F.col("text")}
     if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*names)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return found.select(*[new.get(c, row[c]).alias(c) for c in names])
