@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merceris.functions.columns import cents, date_key, money
+from merceris.functions.columns import date_key, money
 from merceris.functions.storage import scratch
 from merceris.operators import clean, dirt, events, quality, ranking, star
 from merceris.plans import lookup, measures, reports, runlog
 from merceris.plans.gold import Gold
-from merceris.plans.oracle import AS_OF, DONE, EMAIL, b, day, half_up, pct, sql, usd
+from merceris.plans.oracle import AS_OF, EMAIL, b, day, half_up, pct, sql, usd
 from merceris.sources import io
 from merceris.sources.adapter import Tables
 
@@ -146,7 +146,8 @@ _add("SNK4", lambda g: _plain(_year_events(g)), "select cast(2024 as bigint) eve
 _add("SNK5", lambda g: _plain(io.insert_absent(g.tables.products().where(F.col("product_id") < "PROD00000100"), g.tables.products(), "product_id")), _shape("products", "d_products"))
 _add("SNK6", lambda g: io.update_from(g.tables.customers().select("customer_id", F.lit("none").alias("customer_segment")), g.rfm.select("customer_id", "customer_segment"), "customer_id", ["customer_segment"]), "select customer_id, customer_segment from g_rfm")
 _add("SNK7", lambda g: quality.report(quality.results(_dirty(g))))
-_add("SNK8", lambda g: _plain(g.profile_view().withColumn("spend", money(F.col("spend")))), None)
+_CASTS = "cast(age as bigint) as age, cast(registration_date as varchar) as registration_date, cast(first_purchase_date as varchar) as first_purchase_date, cast(last_purchase_date as varchar) as last_purchase_date"
+_add("SNK8", lambda g: _plain(g.profile_view().withColumn("spend", money(F.col("spend")))), f"select p.* replace ({_CASTS}, {usd('spend')} as spend), v.estimated_lifespan_months, v.estimated_clv from g_profile p left join g_clv v using (customer_id)")
 
 # controlled damage and cleaning
 
@@ -259,7 +260,7 @@ _add("C03", lambda g: g.favourite_category(), "select customer_id, favorite_cate
 _add("C04", lambda g: g.web_stats(), "select customer_id, website_sessions, website_events from c_web")
 _add("C05", lambda g: g.ticket_stats(), "select customer_id, support_tickets, resolved_tickets, average_resolution_time from c_tickets")
 _add("C06", lambda g: g.campaign_stats(), "select customer_id, campaign_interactions from c_touches")
-_add("C07", lambda g: _plain(g.base_profile), f"select * replace (cast(age as bigint) as age, cast(registration_date as varchar) as registration_date, cast(first_purchase_date as varchar) as first_purchase_date, cast(last_purchase_date as varchar) as last_purchase_date) from base")
+_add("C07", lambda g: _plain(g.base_profile), f"select * replace ({_CASTS}) from base")
 _add("C08", lambda g: g.base_profile.select("customer_id", "age"), "select customer_id, cast(age as bigint) age from base")
 _add("C09", lambda g: g.base_profile.select("customer_id", "purchase_frequency"), "select customer_id, purchase_frequency from base")
 _R = "customer_id, recency_days, frequency, spend, cast(r_score as bigint) r_score, cast(f_score as bigint) f_score, cast(m_score as bigint) m_score, rfm_score, cast(rfm_sum as bigint) rfm_sum"
@@ -339,7 +340,7 @@ _MEASURES = {
     "M02": (measures.total_customers, "select count(distinct customer_id) total_customers from d_customers"),
     "M03": (measures.active_customers, "select count(distinct customer_id) active_customers from d_customers where customer_status='active'"),
     "M04": (measures.average_order_value, f"select {half_up('sum(amount) filter (done)', '((count(*) filter (done))*100)', 2)} average_order_value from s_orders"),
-    "M05": (measures.completed_orders, f"select count(*) filter ({DONE}) completed_orders from s_orders"),
+    "M05": (measures.completed_orders, "select count(*) filter (done) completed_orders from s_orders"),
     "M06": (measures.historical_clv, _meanmoney("historical_clv", "g_clv").format("customer_lifetime_value")),
     "M07": (measures.estimated_clv, _meanmoney("estimated_clv", "g_clv").format("estimated_clv")),
     "M08": (measures.retention_rate, _mean("retention_rate", "g_month").format("retention_rate")),

@@ -9,7 +9,7 @@ from merceris.functions.columns import half_up, money, month_of
 from merceris.plans.gold import Gold
 
 
-def _profile(g: Gold, df: DataFrame) -> DataFrame:
+def _profile(df: DataFrame) -> DataFrame:
     return df.select("customer_id", "customer_name", "customer_segment", "rfm_score", "location", "total_orders", "completed_orders", money(F.col("spend")).alias("total_spend"), "average_order_value", "purchase_frequency", "favorite_category", "favorite_product")
 
 
@@ -19,11 +19,11 @@ def customers(g: Gold, segment: str | None = None, q: str | None = None, limit:
         df = df.where(F.col("customer_segment") == segment)
     if q:
         df = df.where(F.col("customer_id").ilike(f"%{q}%") | F.col("customer_name").ilike(f"%{q}%"))
-    return _profile(g, df.orderBy(F.desc_nulls_last("spend"), "customer_id").offset(offset).limit(limit))
+    return _profile(df.orderBy(F.desc_nulls_last("spend"), "customer_id").offset(offset).limit(limit))
 
 
 def customer(g: Gold, customer_id: str) -> DataFrame:
-    return _profile(g, g.profile.where(F.col("customer_id") == customer_id))
+    return _profile(g.profile.where(F.col("customer_id") == customer_id))
 
 
 def customer_orders(g: Gold, customer_id: str, limit: int = 20) -> DataFrame:

@@ -32,7 +32,6 @@ def day(e: str) -> str:
     return f"cast(cast({e} as date) as varchar)"
 
 
-DONE = "order_status='completed'"
 EMAIL = r"'^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$'"
 
 CTES = {
