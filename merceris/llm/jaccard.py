@@ -2,11 +2,10 @@
 
 Documents with the same shingle set are one class. A count sketch of bounded size over all shingles gives a total order that
 puts common shingles last, and two similar classes share a shingle among the first few of each. Classes that share none
-with any other are done. The rest are put into groups of similar classes, first by their first shared shingle, then by
-the components found so far. The token-group matrix holds, for each shared shingle, the groups that have it; two groups
-of different components that meet in it are compared: a group's token union bounds the overlap of each query of the
-other group, and only where the bound suffices is the group opened and each pair counted exactly. Pairs inside a
-component need no look, so a large group of copies costs no square of its size.
+with any other are done. The rest are put into groups of similar classes by their first shared shingle, and linked inside
+them. The token-group matrix holds, for each shared shingle, the groups that have it. Two groups that meet in it, and
+aren't of one component already, are compared: a group's token union bounds the overlap of each query of the other
+group, and only where the bound suffices is the group opened and all pairs counted at once by a product of 0/1 matrices.
 """
 
 from __future__ import annotations
@@ -29,6 +28,8 @@ MOST_CELLS = 1 << 24
 SKETCH_ROWS = 256
 #: Classes of one group; larger ones are dealt out by hash.
 GROUP = 128
+#: Tokens of one step of a matrix product.
+WIDTH = 1 << 13
 #: First shingles that similar classes share at least; and classes of a token up to which its pairs are counted.
 SHARED = 3
 FEW = 64
@@ -161,22 +162,48 @@ def _sketch(rows: DataFrame, words: int) -> np.ndarray:
     return out.ravel()
 
 
-def _links_in(sets: list[np.ndarray], keys: list[bytes], percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that join the classes of one group; a pair that is joined already is not looked at."""
-    root = list(range(len(sets)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``a`` with each of ``b``: products of 0/1 matrices over shared tokens."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b)]
+    shared = np.intersect1d(*flat)
+    rows = [np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (a, b)]
+    places = [np.searchsorted(shared, x) for x in flat]
+    known = [(p < len(shared)) & (shared[np.minimum(p, len(shared) - 1)] == x) if len(shared) else np.zeros(len(x), bool) for p, x in zip(places, flat, strict=True)]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for first in range(0, len(shared), WIDTH):
+        parts = []
+        for x, row, place, fits in zip((a, b), rows, places, known, strict=True):
+            own = fits & (place >= first) & (place < first + WIDTH)
+            part = np.zeros((len(x), min(WIDTH, len(shared) - first)), np.float32)
+            part[row[own], place[own] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def similar_pairs(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Index pairs with 100 * intersection >= percent * union."""
+    both = overlaps(a, b)
+    total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
+    return np.argwhere(100 * both >= percent * (total - both))
+
+
+def _joining(pairs: np.ndarray, a: list[bytes], b: list[bytes]) -> list[int]:
+    """Those of the pairs (indexes of names) that join names that no earlier pair has joined."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
     out = []
-    for k in range(len(sets)):
-        for i in range(k):
-            if find(i) != find(k) and similar(sets[i], sets[k], percent):
-                root[find(k)] = find(i)
-                out.append((keys[i], keys[k]))
+    for k, (i, j) in enumerate(pairs.tolist()):
+        x, y = find(a[i]), find(b[j])
+        if x != y:
+            root[y] = x
+            out.append(k)
     return out
 
 
@@ -206,11 +233,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     # one row for each class; copies of a set have the same first shingles
     classes = stored(described.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("first").alias("first")))
     postings = stored(_open_postings(classes, percent))
-    open_classes = stored(postings.groupBy("class").agg(F.min_by(F.struct("token", "classes", "pivot"), F.struct("place", "token")).alias("home")).select("class", "home.*"))
+    open_classes = stored(postings.groupBy("class").agg(F.min_by(F.struct("token", "classes"), F.struct("place", "token")).alias("home")).select("class", "home.*"))
     sets = _sets(rows, classes.join(open_classes.select("class"), "class").select("doc_id", "class"), words)
-    links = stored(_home_links(open_classes, sets, percent))
+    groups = stored(_groups(open_classes))
+    links = stored(_home_links(groups, sets, percent))
     found = stored(_component_of(open_classes.select("class"), links))
-    more = stored(_matrix_links(postings, found, sets, percent))
+    more = stored(_matrix_links(postings, groups, found, sets, percent))
     found = _component_of(open_classes.select("class"), links.unionByName(more))
     least = stored(classes.select("class", "doc_id").join(found, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component")))
     least = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("class", "component_id")
@@ -218,7 +246,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
 
 def _open_postings(classes: DataFrame, percent: int) -> DataFrame:
-    """(class, n, place, token, classes, pivot): shared first shingles of the classes that can have a partner at all.
+    """(class, n, place, token, classes): shared first shingles of the classes that can have a partner at all.
 
     A token here is a shingle together with a range of set sizes; a set is in its own range and the next, so that sets
     near enough in size meet in one. Similar sets share SHARED tokens (or all, if they are smaller) among the first ones.
@@ -252,7 +280,7 @@ def _open_postings(classes: DataFrame, percent: int) -> DataFrame:
     pairs = a.join(b, ["token", "range"]).where(near).groupBy("class1", "class2").agg(F.count("*").alias("both"), F.min(shared).alias("least")).where("both >= least")
     partner = pairs.select(F.explode(F.array("class1", "class2")).alias("class")).unionByName(met.where(F.col("classes") > FEW).select("class")).distinct()
     left = stored(met.join(partner, "class").select("class", "n", "place", "token"))
-    sizes = left.groupBy("token").agg(F.count("*").alias("classes"), F.min("class").alias("pivot")).where("classes > 1")
+    sizes = left.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
     return left.join(sizes, "token")
 
 
@@ -278,48 +306,50 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return stored(one.mapInPandas(run, "class binary, shingles binary").dropDuplicates(["class"]))
 
 
-def _home_links(open_classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside groups of classes with the same first shared shingle; each group also gets that shingle's pivot."""
-    blocks = F.ceil(F.col("classes") / GROUP)
-    own = open_classes.select("token", F.pmod(F.xxhash64("class"), blocks).alias("block"), "class", F.lit(1).alias("turn"))
-    hubs = own.select("token", "block").distinct().join(open_classes.groupBy("token").agg(F.min("pivot").alias("class")), "token").select("token", "block", "class", F.lit(0).alias("turn"))
-    rows = own.unionByName(hubs).groupBy("token", "block", "class").agg(F.min("turn").alias("turn")).join(sets, "class")
+def _groups(open_classes: DataFrame) -> DataFrame:
+    """(class, grp): classes with the same first shared shingle, dealt out by hash where they are many."""
+    return open_classes.select("class", F.struct("token", F.pmod(F.xxhash64("class"), F.ceil(F.col("classes") / GROUP)).alias("block")).alias("grp"))
+
+
+def _home_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside each group."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(size=group["shingles"].map(len)).sort_values(["turn", "size"])
-        found = _links_in([np.frombuffer(x, np.uint64) for x in group["shingles"]], group["class"].tolist(), percent)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return rows.groupBy("token", "block").applyInPandas(run, "a binary, b binary")
-
-
-def _matrix_links(postings: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between groups of different components, found through the token-group matrix."""
-    size = found.groupBy("component").agg(F.count("*").alias("members"))
-    group = F.struct("component", F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / GROUP)).alias("block"))
-    members = stored(found.join(size, "component").select("class", group.alias("grp")))
-    known = postings.join(members, "class")
-    mixed = known.groupBy("token").agg(F.min("grp.component").alias("low"), F.max("grp.component").alias("high")).where("low <> high").select("token")
-    matrix = stored(known.join(mixed, "token").groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-    left, right = (matrix.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("grp", "least", "most")]) for k in (1, 2))
-    fits = (F.col("grp1.component") < F.col("grp2.component")) & (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
+        names, own = group["class"].map(bytes).tolist(), [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        pairs = similar_pairs(own, own, percent)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        return pd.DataFrame([(names[i], names[j]) for i, j in pairs[_joining(pairs, names, names)].tolist()], columns=["a", "b"])
+
+    return groups.join(sets, "class").groupBy("grp").applyInPandas(run, "a binary, b binary")
+
+
+def _matrix_links(postings: DataFrame, groups: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between groups that aren't of one and the same component, found through the token-group matrix."""
+    members = stored(groups.join(found, "class"))
+    single = members.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    single = single.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).alias("only"))
+    matrix = postings.join(members, "class").groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = stored(matrix.join(single, "grp"))
+    left, right = (matrix.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("grp", "least", "most", "only")]) for k in (1, 2))
+    apart = ~F.coalesce(F.col("only1") == F.col("only2"), F.lit(False))
+    fits = (F.col("grp1") < F.col("grp2")) & apart & (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
     pairs = stored(left.join(right, "token").where(fits).select("grp1", "grp2").distinct())
     with_sets = members.join(sets, "class")
-    sides = [pairs.join(with_sets.withColumnRenamed("grp", f"grp{k}"), f"grp{k}").select("grp1", "grp2", F.lit(k).alias("side"), "class", "shingles") for k in (1, 2)]
+    sides = [pairs.join(with_sets.withColumnRenamed("grp", f"grp{k}"), f"grp{k}").select("grp1", "grp2", F.lit(k).alias("side"), "class", "component", "shingles") for k in (1, 2)]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        queries, opened = ([(c, np.frombuffer(x, np.uint64)) for c, x in zip(g["class"], g["shingles"], strict=True)] for g in (group[group["side"] == k] for k in (1, 2)))
-        union = np.unique(np.concatenate([x for _, x in opened]))
-        least = min(len(x) for _, x in opened)
-        for a, query in queries:
-            at = np.minimum(np.searchsorted(union, query), len(union) - 1)
-            # a similar set of m elements overlaps by percent / (100 + percent) of both sizes together at least
-            if (100 + percent) * int((union[at] == query).sum()) < percent * (len(query) + least):
-                continue
-            for b, other in opened:
-                if similar(query, other, percent):  # the groups' components are joined by one link
-                    return pd.DataFrame([(a, b)], columns=["a", "b"])
-        return pd.DataFrame([], columns=["a", "b"])
+        queries, opened = (group[group["side"] == k] for k in (1, 2))
+        own, other = ([np.frombuffer(x, np.uint64) for x in g["shingles"]] for g in (queries, opened))
+        union, least = np.unique(np.concatenate(other)), min(map(len, other))
+        # a similar set of m elements overlaps by percent / (100 + percent) of both sizes together at least
+        bound = [(100 + percent) * int(np.isin(q, union, assume_unique=True).sum()) >= percent * (len(q) + least) for q in own]
+        queries, own = queries[bound], [q for q, opens in zip(own, bound, strict=True) if opens]
+        if not own:
+            return pd.DataFrame([], columns=["a", "b"])
+        pairs = similar_pairs(own, other, percent)
+        merging = _joining(pairs, queries["component"].map(bytes).tolist(), opened["component"].map(bytes).tolist())
+        a, b = queries["class"].tolist(), opened["class"].tolist()
+        return pd.DataFrame([(a[i], b[j]) for i, j in pairs[merging].tolist()], columns=["a", "b"])
 
     return sides[0].unionByName(sides[1]).groupBy("grp1", "grp2").applyInPandas(run, "a binary, b binary")
 
