@@ -357,6 +357,7 @@ _MEASURES = {
     "V02": (lambda g: _plain(measures.score_grid(g)), "select cast(r_score as bigint) r_score, cast(f_score as bigint) f_score, customer_segment, count(*) customers from g_rfm group by 1,2,3"),
     "V03": (measures.new_and_returning, "select cast(m as varchar) as month, 'new_customers' kind, n customers from g_month union all select cast(m as varchar), 'returning_customers', a-n from g_month"),
     "V04": (measures.cohort_matrix, "select cast(f as varchar) cohort_month, " + ", ".join(f"max(retention_rate) filter (p={k}) m{k}" for k in range(12)) + " from g_cohort group by 1"),
+    "V04_all": (measures.whole_cohort_matrix, "select cast(f as varchar) cohort_month, p//12*12 first_period, " + ", ".join(f"max(retention_rate) filter (p%12={k}) m{k}" for k in range(12)) + " from g_cohort group by 1,2"),
     "V05": (measures.events_by_day, f"select {day('event_timestamp')} as day, event_type, count(*) events from d_events group by 1,2"),
     "V06": (measures.five_steps, " union all ".join(f"select '{c}' step, cast(sum({c}) as bigint) sessions from flags" for c in ("seen", "viewed_product", "added_to_cart", "started_checkout", "purchased"))),
     "V07": (measures.sessions_by_source, "select coalesce(traffic_source,'Unknown') traffic_source, count(distinct session_id) sessions from d_events group by 1"),

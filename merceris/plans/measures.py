@@ -137,6 +137,15 @@ def cohort_matrix(g: Gold, periods: int = 12) -> DataFrame:
     return wide.select("cohort_month", *[F.col(str(k)).alias(n) for k, n in names.items()])
 
 
+def whole_cohort_matrix(g: Gold, width: int = 12) -> DataFrame:
+    """The matrix over all periods: ``width`` of them a row, from ``first_period`` on; rows without any cell are left out."""
+    names = {k: f"m{k}" for k in range(width)}
+    at = F.col("period_number") % width
+    wide = g.cohort.groupBy(F.col("cohort_month").cast("string").alias("cohort_month"), (F.col("period_number") - at).alias("first_period"))
+    wide = wide.agg(*[F.max(F.when(at == k, F.col("retention_rate"))).alias(n) for k, n in names.items()])
+    return wide.select("cohort_month", "first_period", *names.values())
+
+
 def events_by_day(g: Gold) -> DataFrame:
     return g.tables.website_events().groupBy(F.to_date("event_timestamp").cast("string").alias("day"), "event_type").agg(F.count("*").alias("events"))
 
