@@ -215,34 +215,48 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     space and 9 to 13. Null texts and texts without words are linked with nothing. Rows and repeated ids are kept, each
     by its own text; other columns are ignored; an empty table gives no rows. No link between different sets is lost.
     """
-    rows = ids_and_texts(docs, id_col, text_col)
+    described, least = _class_components(ids_and_texts(docs, id_col, text_col), words, percent)
+    least = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("class", "component_id")
+    return described.select("doc_id", "n_shingles", "class").join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _class_components(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class, first) of every row, and (class, unnamed, doc_id, ..., component) of every class.
+
+    A class stands with its least row, those without an id last. ``rows`` holds doc_id, text and, where an id can stand
+    for several texts that must be told apart, their digest.
+    """
+    keys = [c for c in rows.columns if c != "text"]
     order = rows.sparkSession.sparkContext.broadcast(_sketch(rows, words))  # MOST_CELLS bytes at most
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cells = order.value
         for batch, sets in _batches(batches, words):
             out = []
-            for doc, own in zip(batch["doc_id"], sets, strict=True):
+            for own in sets:
                 n = len(own)
                 rank = np.argsort(cells[(own & np.uint64(len(cells) - 1)).astype(np.int64)], kind="stable")
                 first = own[rank[: n - needed(n, percent) + min(SHARED, needed(n, percent))]].view(np.int64) if n else []
-                out.append((doc, n, hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None, first))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "first"]).astype({"doc_id": "Int64"})
+                out.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None, first))
+            found = pd.DataFrame(out, columns=["n_shingles", "class", "first"])
+            yield batch[keys].reset_index(drop=True).join(found).astype({"doc_id": "Int64"})
 
-    described = stored(rows.mapInPandas(describe, "doc_id long, n_shingles long, class binary, first array<long>"))
+    types = dict(rows.dtypes) | {"doc_id": "long"}
+    described = stored(rows.mapInPandas(describe, ", ".join(f"{c} {types[c]}" for c in keys) + ", n_shingles long, class binary, first array<long>"))
     # one row for each class; copies of a set have the same first shingles
-    classes = stored(described.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("first").alias("first")))
+    lowest = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), *keys)).alias("lowest")
+    classes = described.where("class is not null").groupBy("class").agg(lowest, F.first("n_shingles").alias("n"), F.first("first").alias("first"))
+    classes = stored(classes.select("class", "lowest.*", "n", "first"))
     postings = stored(_open_postings(classes, percent))
     open_classes = stored(postings.groupBy("class").agg(F.min_by(F.struct("token", "classes"), F.struct("place", "token")).alias("home")).select("class", "home.*"))
-    sets = _sets(rows, classes.join(open_classes.select("class"), "class").select("doc_id", "class"), words)
+    sets = _sets(rows, classes.join(open_classes.select("class"), "class").select(*keys, "class"), words)
     groups = stored(_groups(open_classes))
     links = stored(_home_links(groups, sets, percent))
     found = stored(_component_of(open_classes.select("class"), links))
     more = stored(_matrix_links(postings, groups, found, sets, percent))
     found = _component_of(open_classes.select("class"), links.unionByName(more))
-    least = stored(classes.select("class", "doc_id").join(found, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component")))
-    least = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("class", "component_id")
-    return described.select("doc_id", "n_shingles", "class").join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = classes.select("class", "unnamed", *keys).join(found, "class", "left")
+    return described, stored(least.withColumn("component", F.coalesce("component", "class")))
 
 
 def _open_postings(classes: DataFrame, percent: int) -> DataFrame:
@@ -302,7 +316,9 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     out.append((want, raw))
             yield pd.DataFrame(out, columns=["class", "shingles"])
 
-    one = rows.join(wanted.withColumnRenamed("doc_id", "want"), F.col("doc_id").eqNullSafe(F.col("want"))).select("text", "class")
+    keys = [c for c in wanted.columns if c != "class"]
+    named = wanted.select("class", *[F.col(c).alias(f"want_{c}") for c in keys])
+    one = rows.join(named, [F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in keys]).select("text", "class")
     return stored(one.mapInPandas(run, "class binary, shingles binary").dropDuplicates(["class"]))
 
 
@@ -355,10 +371,17 @@ def _matrix_links(postings: DataFrame, groups: DataFrame, found: DataFrame, sets
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the near copies: of each component the rows with the least doc_id stay, without repeated rows.
+    """``docs`` without the near copies: of each component one row stays, that of the least doc_id.
 
-    Rows without an id cannot be told apart, so all of them stay.
+    Rows are told apart by id and text: of an id's texts the one of the least digest goes first, and rows without an id
+    come last. Texts without words are near copies of nothing; of those only repeated rows of an id go.
     """
-    named = docs.where("doc_id is not null")
-    found = jaccard_components(named, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+    digest = lambda text: F.unhex(F.sha2(text, 256))
+    rows = ids_and_texts(docs).withColumn("digest", digest(F.col("text")))
+    _, least = _class_components(rows, words, percent)
+    kept = least.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "digest")).alias("row")).select("row.doc_id", "row.digest")
+    wordless = ~F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = docs.where(~wordless)
+    own = own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (digest(own["text"]) == kept["digest"]), "left_semi")
+    named = own.unionByName(docs.where(wordless & docs["doc_id"].isNotNull())).dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where(wordless & docs["doc_id"].isNull()))
