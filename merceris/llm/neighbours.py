@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ GRAPH_DEGREE = 10
 #: Rows of an index block and of a query block that one task compares.
 BLOCK = 4_096
 SALTS = 32
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -135,26 +137,31 @@ def train(sample: np.ndarray, trial: np.ndarray, parts: int, k: int, seed: int =
     return router
 
 
-def _usable(vector: Column, size: int) -> Column:
+def _usable(vector: Column) -> Column:
     whole = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vector.isNotNull() & (F.size(vector) == size) & F.coalesce(whole, F.lit(False)) & F.exists(vector, lambda x: x != 0)
+    return vector.isNotNull() & F.coalesce(whole, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``.
 
     score is the cosine of the original vectors in double precision; ties go to the smaller id; a query is never its own
-    neighbour, though an equal vector of another id is. Vectors that are null, zero, hold null or non-finite components,
-    or differ in length from the longest, take no part, nor do rows without an id. Repeated rows of one id count once.
-    Queries with fewer other vectors get fewer rows; an empty table gives none.
+    neighbour, though an equal vector of another id is. Vectors that are null, zero, or hold null or non-finite components
+    take no part, nor do rows without an id. Vectors are compared with those of their own length, one length after the
+    other. Repeated rows of one id count once. Queries with fewer other vectors get fewer rows; an empty table gives none.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null")
-    size = rows.agg(F.max(F.size("vector"))).first()[0] or 0
-    result = "query_id long, rank int, vec_id long, score double"
-    if size < 1:
-        return spark.createDataFrame([], result)
-    rows = rows.where(_usable(F.col("vector"), size)).select("id", "vector", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b")).alias("key"))
+    rows = rows.where(_usable(F.col("vector")))
+    lengths = [r[0] for r in rows.groupBy(F.size("vector").alias("length")).count().orderBy("length").collect()]  # a row a length
+    parts = [_of_one_length(rows.where(F.size("vector") == n), n, every, k) for n in lengths]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RESULT)
+
+
+def _of_one_length(rows: DataFrame, size: int, every: int, k: int) -> DataFrame:
+    """``nearest_neighbours`` of usable rows (id, vector) whose vectors have ``size`` components."""
+    spark = rows.sparkSession
+    rows = rows.select("id", "vector", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b")).alias("key"))
     # the least ids of each distinct vector: first within salts of the id, so that no task gets all rows of one vector
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     least = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("place") <= k + 1).drop("place")
@@ -164,7 +171,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col:
     classes = stored(one.join(ids, "key"))
     count = classes.count()
     if not count:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], RESULT)
     parts = 1 << int(np.clip(np.ceil(np.log2(count / PARTITION_ROWS)), 2, np.log2(MOST_PARTITIONS)))
     share = F.pmod(F.xxhash64("key", F.lit(9)), F.lit(1 << 30)) < int(min(1.0, 1.15 * (SAMPLE + TRIAL) / count) * (1 << 30))
     drawn = classes.where(share).select("vector").limit(SAMPLE + TRIAL).toPandas()["vector"]  # the bounded sample
