@@ -1,47 +1,49 @@
 """N-gram Jaccard join with token groups.
 
-Documents with the same shingle set are one class. A count sketch of bounded size over all shingles gives a total order that
-puts common shingles last, and two similar classes share a shingle among the first few of each. Classes that share none
-with any other are done. The rest are put into groups of similar classes by their first shared shingle, and linked inside
-them. The token-group matrix holds, for each shared shingle, the groups that have it. Two groups that meet in it, and
-aren't of one component already, are compared: a group's token union bounds the overlap of each query of the other
-group, and only where the bound suffices is the group opened and all pairs counted at once by a product of 0/1 matrices.
+Documents with the same shingle set are one class. Two similar classes share a shingle among the first few of each in any
+common order; here that of the shingles' hashes, with the most frequent shingles of the corpus last. Classes that meet
+in a shingle are kept apart at once if a parity signature shows that too many of their shingles differ. What is left
+falls into groups of similar classes. Inside a group, classes are dealt into blocks; a block's token union bounds the
+overlap of each query of another block, and only where the bound suffices is the block opened and all pairs counted at
+once by a product of 0/1 matrices. Blocks that are of one component already are never compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, ids_and_texts, in_key_set, key_set, stored
+from .common import SLICE_BYTES, ids_and_texts, stored
 from .components import components
 
-#: The most cells of the count sketch (a byte each where it is used), and its rows in a shuffle.
-MOST_CELLS = 1 << 24
-SKETCH_ROWS = 256
-#: Classes of one group; larger ones are dealt out by hash.
-GROUP = 128
+#: Shingles in more first parts than this are put last, the most frequent ones of the corpus if they are very many.
+FREQUENT = 8
+MOST_FREQUENT = 1 << 21
+#: Classes of a shingle up to which its pairs are tested one by one; the list of a shingle with more is dealt into blocks.
+FEW = 64
+#: Most classes and bytes of one block: of signatures, and of sets.
+SIGNATURES = (512, 4 << 20)
+SETS = (256, 4 << 20)
 #: Tokens of one step of a matrix product.
 WIDTH = 1 << 13
-#: First shingles that similar classes share at least; and classes of a token up to which its pairs are counted.
-SHARED = 3
-FEW = 64
+#: Places in a word up to which a table holds the letters' hashes.
+NEAR = 64
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _random = np.random.default_rng(11)
-_BYTE = _random.integers(0, 2**64, 256, np.uint64)
+_LETTERS = _random.integers(0, 2**64, NEAR * 256, np.uint64)
 _PLACE = _random.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
-_BASE = int(_random.integers(0, 2**62)) * 2 + 1
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_powers: list[np.ndarray] = []
+
+#: Tells which pairs of two lists of (sizes, rows) may be linked.
+Test = Callable[[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]], np.ndarray]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,16 +52,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers
+def _word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word: sums of a random number for each letter at each place, so no two places can make up for each other."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(letters)) - np.repeat(first, sizes)
+    values = _LETTERS[np.minimum(place, NEAR - 1) << 8 | letters]
+    far = np.flatnonzero(place >= NEAR)
+    values[far] = _mix(_mix((place[far] << 8 | letters[far]).astype(np.uint64) * _LENGTH) + _LETTERS[0])
+    return _mix(np.add.reduceat(values, first) + sizes.astype(np.uint64) * _LENGTH)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one."""
+    """The sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one.
+
+    Words and shingles are told apart by 64 bits.
+    """
     at = 0
     while at < len(texts):
         parts, size = [], 0
@@ -68,13 +77,10 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
             size += len(parts[-1]) + 1
             at += 1
         data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-        up, down = _power_tables(len(data) + 1)
         inside = ~_SPACE[data]
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
         starts, stops = edge[::2], edge[1::2]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-        hashes = _mix((sums[stops] - sums[starts]) * down[starts])
+        hashes = _word_hashes(data[inside].astype(np.int64), stops - starts)
         ends = np.cumsum([len(p) + 1 for p in parts])
         last = np.searchsorted(starts, ends)
         first = np.concatenate([[0], last[:-1]])
@@ -110,58 +116,6 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _batches(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[pd.DataFrame, Iterator[np.ndarray]]]:
-    for batch in batches:
-        yield batch, shingle_sets(batch["text"].tolist(), words)
-
-
-def _sketch(rows: DataFrame, words: int) -> np.ndarray:
-    """How often each cell's shingles occur, as half powers of two: one byte a cell.
-
-    There is about a cell for each four shingles, and at most MOST_CELLS, so its size is bounded.
-    """
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = 1 << int(np.clip(np.ceil(np.log2(max(size / 32, 1))), 12, np.log2(MOST_CELLS)))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, waiting, size = np.zeros(cells, np.uint16), [], 0
-
-        def settle() -> None:
-            places, n = np.unique(np.concatenate(waiting), return_counts=True)
-            total[places] = np.minimum(total[places] + n, 65535)
-            waiting.clear()
-
-        for _, sets in _batches(batches, words):
-            for own in sets:
-                waiting.append((own & np.uint64(cells - 1)).astype(np.int32))
-                size += len(own)
-                if size > 2_000_000:
-                    settle()
-                    size = 0
-        if waiting:
-            settle()
-        if total.any():
-            some = TaskContext.get().partitionId() % 64
-            yield pd.DataFrame({"row": np.arange(SKETCH_ROWS), "some": some, "cells": [zlib.compress(x.astype("<u4").tobytes(), 1) for x in total.reshape(SKETCH_ROWS, -1)]})
-
-    def added(group: pd.DataFrame) -> np.ndarray:
-        return sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in group["cells"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.minimum(added(group), 2**32 - 1).astype("<u4")
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "some": [group["some"].iloc[0]], "cells": [zlib.compress(total.tobytes(), 1)]})
-
-    def rank(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "ranks": [np.round(2 * np.log2(np.maximum(added(group), 1))).astype(np.uint8).tobytes()]})
-
-    schema = "row int, some int, cells binary"
-    parts = rows.select("text").mapInPandas(count, schema).groupBy("row", "some").applyInPandas(add, schema)
-    out = np.zeros((SKETCH_ROWS, cells // SKETCH_ROWS), np.uint8)
-    for r in parts.groupBy("row").applyInPandas(rank, "row int, ranks binary").collect():  # one byte a cell
-        out[r["row"]] = np.frombuffer(r["ranks"], np.uint8)
-    return out.ravel()
-
-
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each set of ``a`` with each of ``b``: products of 0/1 matrices over shared tokens."""
     flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b)]
@@ -181,18 +135,88 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _first_size(n: int, percent: int) -> int:
+    """Shingles of a set of n, of which two similar sets share one at least in any common order."""
+    return n - needed(n, percent) + 1
+
+
+def _frequent_last(own: np.ndarray, frequent: np.ndarray, order: np.ndarray, size: int) -> np.ndarray | None:
+    """The first ``size`` of rising hashes once frequent ones are put last, in their order; None if there are too few others."""
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        often = frequent[at] == own
+        if often[:size].any():
+            rare = own[~often]
+            if len(rare) < size:
+                return None
+            return rare[:size]
+    return own[:size] if len(own) >= size else None
+
+
+def signature(own: np.ndarray) -> np.ndarray:
+    """Parities of the number of hashes in each of at least len(own) cells (a power of two), 64 to a word.
+
+    The parities in which two signatures of one width differ are never more than the hashes in which the sets differ.
+    """
+    cells = max(64, 1 << int(np.ceil(np.log2(max(len(own), 1)))))
+    parity = np.bincount((own >> np.uint64(7) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(parity.astype(bool), bitorder="little").view("<u8")
+
+
+def _fold(signs: np.ndarray, width: int) -> np.ndarray:
+    """Rows of signatures at a smaller width: cells that become one add their parities."""
+    while signs.shape[1] > width:
+        half = signs.shape[1] // 2
+        signs = signs[:, :half] ^ signs[:, half:]
+    return signs
+
+
+def close_pairs(n: np.ndarray, a: list[np.ndarray], m: np.ndarray, b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Index pairs whose sizes and signatures don't rule out 100 * intersection >= percent * union."""
+    widths = [np.array([len(x) for x in rows]) for rows in (a, b)]
+    found = [np.zeros((0, 2), np.int64)]
+    for v in np.unique(widths[0]):
+        for w in np.unique(widths[1]):
+            rows, columns = np.flatnonzero(widths[0] == v), np.flatnonzero(widths[1] == w)
+            sizes = n[rows][:, None], m[columns][None, :]
+            fits = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+            if not fits.any():
+                continue
+            x, y = (_fold(np.stack([part[k] for k in own]), min(v, w)) for part, own in ((a, rows), (b, columns)))
+            differ = np.zeros(fits.shape, np.int64)
+            for k in range(x.shape[1]):
+                differ += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+            i, j = np.nonzero(fits & ((100 + percent) * differ <= (100 - percent) * (sizes[0] + sizes[1])))
+            found.append(np.stack([rows[i], columns[j]], axis=1))
+    return np.concatenate(found)
+
+
 def similar_pairs(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
-    """Index pairs with 100 * intersection >= percent * union."""
-    both = overlaps(a, b)
-    total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :]
-    return np.argwhere(100 * both >= percent * (total - both))
+    """Index pairs with 100 * intersection >= percent * union.
+
+    A set of ``a`` is compared only if its overlap with the union of all of ``b`` suffices for the smallest of them.
+    """
+    if not a or not b:
+        return np.zeros((0, 2), np.int64)
+    rows = np.arange(len(a))
+    if a is not b:
+        union, least = np.unique(np.concatenate(b)), min(map(len, b))
+        # a similar set of m elements overlaps by percent / (100 + percent) of both sizes together at least
+        rows = np.array([k for k, q in enumerate(a) if (100 + percent) * int(np.isin(q, union, assume_unique=True).sum()) >= percent * (len(q) + least)], np.int64)
+        if not len(rows):
+            return np.zeros((0, 2), np.int64)
+    own = [a[k] for k in rows]
+    both = overlaps(own, b)
+    total = np.array([len(x) for x in own])[:, None] + np.array([len(x) for x in b])[None, :]
+    pairs = np.argwhere(100 * both >= percent * (total - both))
+    return np.stack([rows[pairs[:, 0]], pairs[:, 1]], axis=1)
 
 
-def _joining(pairs: np.ndarray, a: list[bytes], b: list[bytes]) -> list[int]:
+def _joining(pairs: np.ndarray, a: list, b: list) -> list[int]:
     """Those of the pairs (indexes of names) that join names that no earlier pair has joined."""
-    root: dict[bytes, bytes] = {}
+    root: dict = {}
 
-    def find(x: bytes) -> bytes:
+    def find(x):
         while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
@@ -207,6 +231,68 @@ def _joining(pairs: np.ndarray, a: list[bytes], b: list[bytes]) -> list[int]:
     return out
 
 
+def _edges(group: pd.DataFrame, test: Test) -> pd.DataFrame:
+    """Links that join the components (column ``component``) of one block, or of two blocks (column ``side``)."""
+    sides = [group[group["side"] == k] for k in (1, 2)]
+    own, other = ((g["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["data"]]) for g in sides)
+    if not len(sides[1]):
+        other, sides = own, [sides[0], sides[0]]
+    pairs = test(*own, *other)
+    merging = _joining(pairs, *(g["component"].tolist() for g in sides))
+    a, b = (g["cid"].to_numpy() for g in sides)
+    return pd.DataFrame({"a": a[pairs[merging, 0]], "b": b[pairs[merging, 1]]})
+
+
+def _linked(lists: DataFrame, links: DataFrame, test: Test, block: tuple[int, int]) -> DataFrame:
+    """``links`` and such others that all classes that have a key in common and pass ``test`` are joined by links.
+
+    lists: (key, home, cid, n, data). At first each class is compared within a block of its home key. As long as that
+    joins many, the least class of each component goes to blocks of its keys again; so a list of similar classes becomes
+    one component by a number of comparisons in proportion to its length. At last, in keys that still hold several
+    components, blocks of different components are compared.
+    """
+    most, most_bytes = block
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / most), F.ceil(size / most_bytes))
+    names = ["key", "cid", "component", "n", "data"]
+    run = lambda group: _edges(group, test)
+    light = lists.select("key", "cid", F.length("data").alias("size"))
+
+    def within(rows: DataFrame) -> DataFrame:
+        dealt = rows.groupBy("key").agg(blocks(F.count("*"), F.sum(F.length("data"))).alias("blocks"))
+        rows = rows.join(dealt, "key").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).select(*names, F.lit(1).alias("side"), "block")
+        return stored(rows.groupBy("key", "block").applyInPandas(run, "a long, b long"))
+
+    def open_keys(links: DataFrame) -> DataFrame:
+        found = stored(components(links))
+        rows = stored(light.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+        several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        return stored(rows.join(several, "key"))
+
+    links = links.unionByName(within(lists.where("home").withColumn("component", F.col("cid"))))
+    before = None
+    while True:
+        rows = open_keys(links)
+        leaders = stored(rows.groupBy("key", "component").agg(F.min("cid").alias("cid")))
+        count = leaders.count()
+        if not count:
+            return links
+        if before is not None and 2 * count > before:
+            break
+        before = count
+        links = links.unionByName(within(lists.join(leaders, ["key", "cid"])))
+    total = rows.groupBy("key").agg(blocks(F.count("*"), F.sum("size")).alias("parts"))
+    each = rows.groupBy("key", "component").agg(blocks(F.count("*"), F.sum("size")).alias("own"))
+    part = F.struct(F.pmod(F.xxhash64("component"), "parts").alias("part"), F.when(F.col("own") > 1, F.col("component")).otherwise(-1).alias("of"), F.pmod(F.xxhash64("cid"), "own").alias("block"))
+    members = stored(rows.join(total, "key").join(each, ["key", "component"]).select("key", "cid", "component", part.alias("grp")))
+    groups = stored(members.groupBy("key", "grp").agg(F.min("component").alias("low"), F.max("component").alias("high")))
+    left, right = (groups.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("grp", "low", "high")]) for k in (1, 2))
+    one = (F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2"))
+    met = stored(left.join(right, "key").where((F.col("grp1") <= F.col("grp2")) & ~one).select("key", "grp1", "grp2"))
+    full = members.join(lists.select("key", "cid", "n", "data"), ["key", "cid"])
+    sides = [met.where(F.lit(k == 1) | (F.col("grp1") < F.col("grp2"))).join(full.withColumnRenamed("grp", f"grp{k}"), ["key", f"grp{k}"]).select(*names, F.lit(k).alias("side"), "grp1", "grp2") for k in (1, 2)]
+    return links.unionByName(stored(sides[0].unionByName(sides[1]).groupBy("key", "grp1", "grp2").applyInPandas(run, "a long, b long")))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
 
@@ -215,159 +301,172 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     space and 9 to 13. Null texts and texts without words are linked with nothing. Rows and repeated ids are kept, each
     by its own text; other columns are ignored; an empty table gives no rows. No link between different sets is lost.
     """
-    described, least = _class_components(ids_and_texts(docs, id_col, text_col), words, percent)
-    least = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("class", "component_id")
-    return described.select("doc_id", "n_shingles", "class").join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = ids_and_texts(docs, id_col, text_col)
+    least = _class_components(rows, words, percent)
+    least = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes"), F.max("copies").alias("most")), "component")
+    # of all others, the component is the row's own id
+    least = stored(least.where((F.col("classes") > 1) | (F.col("most") > 1)).select("class", "component_id"))
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch, sets in _batches(batches, words):
+            found = pd.DataFrame([(len(own), _name(own)) for own in sets], columns=["n_shingles", "class"])
+            yield batch[["doc_id"]].reset_index(drop=True).join(found).astype({"doc_id": "Int64"})
 
+    described = rows.mapInPandas(describe, "doc_id long, n_shingles long, class binary")
+    return described.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-def _class_components(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class, first) of every row, and (class, unnamed, doc_id, ..., component) of every class.
+
+def _batches(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[pd.DataFrame, Iterator[np.ndarray]]]:
+    for batch in batches:
+        yield batch, shingle_sets(batch["text"].tolist(), words)
+
+
+def _name(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
+def _class_components(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(class, cid, unnamed, doc_id, ..., copies, component) of every class: a distinct set of shingles.
 
     A class stands with its least row, those without an id last. ``rows`` holds doc_id, text and, where an id can stand
     for several texts that must be told apart, their digest.
     """
     keys = [c for c in rows.columns if c != "text"]
-    order = rows.sparkSession.sparkContext.broadcast(_sketch(rows, words))  # MOST_CELLS bytes at most
+    types = dict(rows.dtypes) | {"doc_id": "long"}
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = order.value
         for batch, sets in _batches(batches, words):
             out = []
             for own in sets:
-                n = len(own)
-                rank = np.argsort(cells[(own & np.uint64(len(cells) - 1)).astype(np.int64)], kind="stable")
-                first = own[rank[: n - needed(n, percent) + min(SHARED, needed(n, percent))]].view(np.int64) if n else []
-                out.append((n, hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None, first))
-            found = pd.DataFrame(out, columns=["n_shingles", "class", "first"])
-            yield batch[keys].reset_index(drop=True).join(found).astype({"doc_id": "Int64"})
+                size = _first_size(len(own), percent)
+                # some more, as frequent shingles will be put last
+                out.append((len(own), _name(own), own[: size + size // 8 + 8].view(np.int64), signature(own).view(np.int64)))
+            found = pd.DataFrame(out, columns=["n", "class", "first", "signs"])
+            yield batch[keys].reset_index(drop=True).join(found).astype({"doc_id": "Int64"})[found["n"].to_numpy() > 0]
 
-    types = dict(rows.dtypes) | {"doc_id": "long"}
-    described = stored(rows.mapInPandas(describe, ", ".join(f"{c} {types[c]}" for c in keys) + ", n_shingles long, class binary, first array<long>"))
-    # one row for each class; copies of a set have the same first shingles
+    described = rows.mapInPandas(describe, ", ".join(f"{c} {types[c]}" for c in keys) + ", n long, class binary, first array<long>, signs array<long>")
     lowest = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), *keys)).alias("lowest")
-    classes = described.where("class is not null").groupBy("class").agg(lowest, F.first("n_shingles").alias("n"), F.first("first").alias("first"))
-    classes = stored(classes.select("class", "lowest.*", "n", "first"))
-    postings = stored(_open_postings(classes, percent))
-    open_classes = stored(postings.groupBy("class").agg(F.min_by(F.struct("token", "classes"), F.struct("place", "token")).alias("home")).select("class", "home.*"))
-    sets = _sets(rows, classes.join(open_classes.select("class"), "class").select(*keys, "class"), words)
-    groups = stored(_groups(open_classes))
-    links = stored(_home_links(groups, sets, percent))
-    found = stored(_component_of(open_classes.select("class"), links))
-    more = stored(_matrix_links(postings, groups, found, sets, percent))
-    found = _component_of(open_classes.select("class"), links.unionByName(more))
-    least = classes.select("class", "unnamed", *keys).join(found, "class", "left")
-    return described, stored(least.withColumn("component", F.coalesce("component", "class")))
-
-
-def _open_postings(classes: DataFrame, percent: int) -> DataFrame:
-    """(class, n, place, token, classes): shared first shingles of the classes that can have a partner at all.
-
-    A token here is a shingle together with a range of set sizes; a set is in its own range and the next, so that sets
-    near enough in size meet in one. Similar sets share SHARED tokens (or all, if they are smaller) among the first ones.
-    Where a token has few classes its pairs are counted; where it has many, all its classes stay.
-    """
-    tokens = classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    known = classes.sparkSession.sparkContext.broadcast(key_set(tokens.select("token"), "token"))  # of a fixed size
+    # copies of a set have the same first shingles
+    classes = described.groupBy("class").agg(lowest, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("signs").alias("signs"))
+    classes = stored(classes.select("class", F.monotonically_increasing_id().alias("cid"), "lowest.*", "copies", "n", "first", "signs"))
+    postings = _postings(rows, classes, keys, words, percent)
+    coarse = stored(components(_coarse_links(postings, classes.select("cid", "n", "signs"), percent)))
+    wanted = stored(classes.join(coarse, classes["cid"] == coarse["node"]).select(*keys, "class", "cid", F.col("component").alias("key")))
+    sets = _sets(rows, wanted, words)
+    none = rows.sparkSession.createDataFrame([], "a long, b long")
+    found = components(_linked(sets, none, lambda n, a, m, b: similar_pairs(a, b, percent), SETS))
+    least = classes.select("class", "cid", "unnamed", *keys, "copies").join(found.withColumnRenamed("node", "cid"), "cid", "left")
+    return stored(least.withColumn("component", F.coalesce("component", "cid")))
+
+
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles with a count over FREQUENT, MOST_FREQUENT at most, in rising order; and their places by count."""
+    least = FREQUENT
+    total = 0
+    for r in counts.where(F.col("n") > FREQUENT).groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).collect():  # a row a count
+        total += r["tokens"]
+        if total > MOST_FREQUENT:
+            least = r["n"]
+            break
+    found = counts.where(F.col("n") > least).toPandas()  # MOST_FREQUENT rows at most
+    tokens, n = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    place = np.empty(len(n), np.int64)
+    place[np.lexsort((tokens, n))] = np.arange(len(n))
+    order = np.argsort(tokens)
+    return tokens[order], place[order]
+
+
+def _postings(rows: DataFrame, classes: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
+    """(token, cid, n): the first shingles of each class that another class has among its own."""
+    counts = stored(classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    often = rows.sparkSession.sparkContext.broadcast(_frequent(counts))  # 16 bytes for each of MOST_FREQUENT at most
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = known.value
+        """Rows of all classes but those that have too few rare shingles among those kept: they get one row without a token."""
         for batch in batches:
-            if not len(batch):
-                continue
-            sizes = batch["first"].map(len).to_numpy()
-            flat = np.concatenate(batch["first"].to_list())
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = in_key_set(bits, flat)
-            yield pd.DataFrame({"class": np.repeat(batch["class"].to_numpy(), sizes)[keep], "n": np.repeat(batch["n"].to_numpy(), sizes)[keep], "place": place[keep], "shingle": flat[keep]})
-
-    some = classes.select("class", "n", "first").mapInPandas(pick, "class binary, n long, place int, shingle long")
-    # a little wider than the largest ratio of similar sizes, so that rounding never parts two of them
-    width = float(np.log(max(100 / percent, 1.01) * (1 + 1e-6)))
-    some = some.withColumn("own", F.floor(F.log("n") / width).cast("int"))
-    some = some.withColumn("range", F.explode(F.array("own", F.col("own") + 1))).withColumn("token", F.xxhash64("shingle", "range"))
-    sizes = some.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
-    met = stored(some.join(sizes, "token").select("class", "n", "place", "own", "range", "token", "classes"))
-    few = met.where(F.col("classes") <= FEW)
-    a, b = (few.select("token", "range", *[F.col(c).alias(f"{c}{k}") for c in ("class", "n", "own")]) for k in (1, 2))
-    near = (F.col("class1") < F.col("class2")) & (F.col("range") == F.greatest("own1", "own2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-    shared = F.least(F.lit(SHARED), F.ceil(F.least("n1", "n2") * F.lit(percent) / 100))
-    pairs = a.join(b, ["token", "range"]).where(near).groupBy("class1", "class2").agg(F.count("*").alias("both"), F.min(shared).alias("least")).where("both >= least")
-    partner = pairs.select(F.explode(F.array("class1", "class2")).alias("class")).unionByName(met.where(F.col("classes") > FEW).select("class")).distinct()
-    left = stored(met.join(partner, "class").select("class", "n", "place", "token"))
-    sizes = left.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
-    return left.join(sizes, "token")
-
-
-def _component_of(classes: DataFrame, links: DataFrame) -> DataFrame:
-    labels = components(links)
-    return classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("component", "class").alias("component"))
+            tokens, cids, sizes, total = [], [], [], []
+            for cid, n, first in zip(batch["cid"], batch["n"], batch["first"], strict=True):
+                size = _first_size(n, percent)
+                found = _frequent_last(first.view(np.uint64), *often.value, size)
+                found = np.zeros(0, np.int64) if found is None else found.view(np.int64)
+                tokens.append(found)
+                cids.append(cid)
+                sizes.append(max(len(found), 1))
+                total.append(n)
+            if tokens:
+                whole = np.repeat([len(t) > 0 for t in tokens], sizes)
+                flat = np.concatenate([t if len(t) else np.zeros(1, np.int64) for t in tokens])
+                yield pd.DataFrame({"token": flat, "cid": np.repeat(cids, sizes), "n": np.repeat(total, sizes), "short": ~whole})
+
+    schema = "token long, cid long, n long, short boolean"
+    picked = classes.select("cid", "n", "first").mapInPandas(pick, schema)
+    short = stored(classes.join(picked.where("short").select("cid"), "cid").select(*keys, "class", "cid", F.lit(0).cast("long").alias("key")))
+
+    def pick_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent, place = often.value
+        for batch in batches:
+            for cid, n, raw in zip(batch["cid"], batch["n"], batch["data"], strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                at = np.searchsorted(frequent, own)
+                known = (at < len(frequent)) & (frequent[np.minimum(at, max(len(frequent) - 1, 0))] == own) if len(frequent) else np.zeros(len(own), bool)
+                order = np.concatenate([own[~known], own[known][np.argsort(place[at[known]])]])
+                found = order[: _first_size(n, percent)].view(np.int64)
+                yield pd.DataFrame({"token": found, "cid": cid, "n": n})
+
+    more = stored(_sets(rows, short, words).mapInPandas(pick_whole, "token long, cid long, n long"))
+    # a token that one class alone has is of no use; those of the short classes have not been counted
+    shared = counts.select("token").unionByName(more.select("token")).distinct()
+    return stored(picked.where("not short").select("token", "cid", "n").join(shared, "token").unionByName(more))
+
+
+def _differ(a: Column, b: Column) -> Column:
+    """The parities in which two signatures differ, the wider one folded; null where their widths are further apart."""
+    half = lambda x: F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, F.size(x)), lambda u, v: u.bitwiseXOR(v))
+    ones = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, k: s + k)
+    return F.when(F.size(a) == F.size(b), ones(a, b)).when(F.size(a) == 2 * F.size(b), ones(half(a), b)).when(2 * F.size(a) == F.size(b), ones(a, half(b)))
+
+
+def _coarse_links(postings: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of cids; every two similar classes are joined by them, and few others."""
+    lists = stored(postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1"))
+    few = stored(postings.join(lists.where(F.col("classes") <= FEW).select("token"), "token"))
+    left, right = (few.select("token", F.col("cid").alias(f"cid{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    fits = (F.col("cid1") < F.col("cid2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    pairs = left.join(right, "token").where(fits).select("cid1", "cid2").distinct()
+    signs = stored(signs)
+    for k in (1, 2):
+        pairs = pairs.join(signs.select(F.col("cid").alias(f"cid{k}"), F.col("n").alias(f"n{k}"), F.col("signs").alias(f"signs{k}")), f"cid{k}")
+    near = F.coalesce((100 + percent) * _differ(F.col("signs1"), F.col("signs2")) <= (100 - percent) * (F.col("n1") + F.col("n2")), F.lit(True))
+    links = stored(pairs.where(near).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")))
+    many = postings.join(lists.where(F.col("classes") > FEW), "token")
+    # home is the longest list: the classes of one large group are likely to have it in common
+    home = many.groupBy("cid").agg(F.max_by("token", F.struct("classes", "token")).alias("home"))
+
+    def as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(signs=[x.tobytes() for x in batch["signs"]]).rename(columns={"signs": "data"})
+
+    signs = signs.mapInPandas(as_bytes, "cid long, n long, data binary")
+    many = stored(many.select("token", "cid").join(home, "cid").join(signs, "cid").select(F.col("token").alias("key"), (F.col("token") == F.col("home")).alias("home"), "cid", "n", "data"))
+    return _linked(many, links, lambda n, a, m, b: close_pairs(n, a, m, b, percent), SIGNATURES)
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(class, shingles) of the wanted classes, from the text of one document each."""
+    """(key, home, cid, n, data): the set of each wanted class (keys, class, cid, key), from the text of one document each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch, sets in _batches(batches, words):
             out = []
-            for want, own in zip(batch["class"], sets, strict=True):
-                raw = own.tobytes()
+            for key, cid, want, own in zip(batch["key"], batch["cid"], batch["class"], sets, strict=True):
                 # rows that share an id can have other sets
-                if hashlib.blake2b(raw, digest_size=16).digest() == bytes(want):
-                    out.append((want, raw))
-            yield pd.DataFrame(out, columns=["class", "shingles"])
-
-    keys = [c for c in wanted.columns if c != "class"]
-    named = wanted.select("class", *[F.col(c).alias(f"want_{c}") for c in keys])
-    one = rows.join(named, [F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in keys]).select("text", "class")
-    return stored(one.mapInPandas(run, "class binary, shingles binary").dropDuplicates(["class"]))
-
-
-def _groups(open_classes: DataFrame) -> DataFrame:
-    """(class, grp): classes with the same first shared shingle, dealt out by hash where they are many."""
-    return open_classes.select("class", F.struct("token", F.pmod(F.xxhash64("class"), F.ceil(F.col("classes") / GROUP)).alias("block")).alias("grp"))
-
-
-def _home_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside each group."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        names, own = group["class"].map(bytes).tolist(), [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        pairs = similar_pairs(own, own, percent)
-        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-        return pd.DataFrame([(names[i], names[j]) for i, j in pairs[_joining(pairs, names, names)].tolist()], columns=["a", "b"])
-
-    return groups.join(sets, "class").groupBy("grp").applyInPandas(run, "a binary, b binary")
-
-
-def _matrix_links(postings: DataFrame, groups: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between groups that aren't of one and the same component, found through the token-group matrix."""
-    members = stored(groups.join(found, "class"))
-    single = members.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    single = single.select("grp", F.when(F.col("low") == F.col("high"), F.col("low")).alias("only"))
-    matrix = postings.join(members, "class").groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = stored(matrix.join(single, "grp"))
-    left, right = (matrix.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("grp", "least", "most", "only")]) for k in (1, 2))
-    apart = ~F.coalesce(F.col("only1") == F.col("only2"), F.lit(False))
-    fits = (F.col("grp1") < F.col("grp2")) & apart & (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1"))
-    pairs = stored(left.join(right, "token").where(fits).select("grp1", "grp2").distinct())
-    with_sets = members.join(sets, "class")
-    sides = [pairs.join(with_sets.withColumnRenamed("grp", f"grp{k}"), f"grp{k}").select("grp1", "grp2", F.lit(k).alias("side"), "class", "component", "shingles") for k in (1, 2)]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        queries, opened = (group[group["side"] == k] for k in (1, 2))
-        own, other = ([np.frombuffer(x, np.uint64) for x in g["shingles"]] for g in (queries, opened))
-        union, least = np.unique(np.concatenate(other)), min(map(len, other))
-        # a similar set of m elements overlaps by percent / (100 + percent) of both sizes together at least
-        bound = [(100 + percent) * int(np.isin(q, union, assume_unique=True).sum()) >= percent * (len(q) + least) for q in own]
-        queries, own = queries[bound], [q for q, opens in zip(own, bound, strict=True) if opens]
-        if not own:
-            return pd.DataFrame([], columns=["a", "b"])
-        pairs = similar_pairs(own, other, percent)
-        merging = _joining(pairs, queries["component"].map(bytes).tolist(), opened["component"].map(bytes).tolist())
-        a, b = queries["class"].tolist(), opened["class"].tolist()
-        return pd.DataFrame([(a[i], b[j]) for i, j in pairs[merging].tolist()], columns=["a", "b"])
+                if _name(own) == bytes(want):
+                    out.append((key, True, cid, len(own), own.tobytes()))
+            yield pd.DataFrame(out, columns=["key", "home", "cid", "n", "data"])
 
-    return sides[0].unionByName(sides[1]).groupBy("grp1", "grp2").applyInPandas(run, "a binary, b binary")
+    keys = [c for c in wanted.columns if c not in ("class", "cid", "key")]
+    named = wanted.select("class", "cid", "key", *[F.col(c).alias(f"want_{c}") for c in keys])
+    one = rows.join(named, [F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in keys]).select("text", "class", "cid", "key")
+    return stored(one.mapInPandas(run, "key long, home boolean, cid long, n long, data binary").dropDuplicates(["cid"]))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -378,10 +477,13 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     digest = lambda text: F.unhex(F.sha2(text, 256))
     rows = ids_and_texts(docs).withColumn("digest", digest(F.col("text")))
-    _, least = _class_components(rows, words, percent)
-    kept = least.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "digest")).alias("row")).select("row.doc_id", "row.digest")
+    least = _class_components(rows, words, percent)
+    kept = least.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "digest")).alias("row")).select("row.*")
     wordless = ~F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    own = docs.where(~wordless)
-    own = own.join(kept, own["doc_id"].eqNullSafe(kept["doc_id"]) & (digest(own["text"]) == kept["digest"]), "left_semi")
-    named = own.unionByName(docs.where(wordless & docs["doc_id"].isNotNull())).dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where(wordless & docs["doc_id"].isNull()))
+    # one shuffle of the texts: by id and digest, for the look-up and for repeated rows alike
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    whole = docs.select(row.alias("__row"), F.coalesce(docs["doc_id"].cast("string"), F.lit("")).alias("__id"), F.coalesce(digest(docs["text"]), F.lit(b"")).alias("__digest"), wordless.alias("__wordless"), docs["doc_id"].isNull().alias("__unnamed"))
+    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("digest").alias("__digest"), F.lit(True).alias("__kept"))
+    joined = whole.where("not (__wordless and __unnamed)").join(kept, ["__id", "__digest"], "left").where("__wordless or __kept")
+    named = joined.dropDuplicates(["__id", "__digest"]).select("__row.*")
+    return named.unionByName(whole.where("__wordless and __unnamed").select("__row.*"))
