@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -12,17 +12,19 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over links (a, b), for every node of a link.
 
     Each round a node takes the least label among its own, its neighbours' and its label's; so chains shorten by more
-    than half. Every round is written to the shared folder; the driver sees one number a round. Nodes may be of any
-    type with an order. Sums over a hub's links are partial before they move, and its joins can be split.
+    than half. Every round is one aggregation, written to the shared folder; the driver sees one number a round. Nodes
+    may be of any type with an order. Minima over a hub's links are partial before they move.
     """
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
+    links = links.where("a <> b")
+    both = stored(links.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("near"))))
+    labels = stored(both.groupBy("node").agg(F.least("node", F.min("near")).alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        step = stored(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        moved = step.where("component <> old").limit(1).count()
-        labels = step.select("node", "component")
-        if not moved:
+        label = labels.select(F.col("node").alias("near"), F.col("component").alias("value"))
+        jump = labels.select("node", F.col("component").alias("near")).join(label, "near").select("node", "value")
+        own = labels.select("node", F.col("component").alias("value"), F.col("component").alias("old"))
+        told = both.join(label, "near").select("node", "value").unionByName(jump).unionByName(own, allowMissingColumns=True)
+        moved = Observation()
+        step = told.groupBy("node").agg(F.min("value").alias("component"), F.max("old").alias("old"))
+        labels = stored(step.observe(moved, F.count(F.when(F.col("component") < F.col("old"), 1)).alias("n"))).select("node", "component")
+        if not moved.get["n"]:
             return labels

@@ -246,40 +246,43 @@ def _edges(group: pd.DataFrame, test: Test) -> pd.DataFrame:
 def _linked(lists: DataFrame, links: DataFrame, test: Test, block: tuple[int, int]) -> DataFrame:
     """``links`` and such others that all classes that have a key in common and pass ``test`` are joined by links.
 
-    lists: (key, home, cid, n, data). At first each class is compared within a block of its home key. As long as that
-    joins many, the least class of each component goes to blocks of its keys again; so a list of similar classes becomes
-    one component by a number of comparisons in proportion to its length. At last, in keys that still hold several
-    components, blocks of different components are compared.
+    lists: (key, home, cid, n, data). The list of a key is dealt into blocks. Inside a block all classes are compared, if
+    it is the only one of its key or the key is the class's home. As long as that joins many, the least class of each
+    component goes to blocks of its keys again; so a long list of similar classes becomes one component by a number of
+    comparisons in proportion to its length. At last, in keys of several blocks that still hold several components,
+    blocks of different components are compared.
     """
     most, most_bytes = block
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / most), F.ceil(size / most_bytes))
     names = ["key", "cid", "component", "n", "data"]
     run = lambda group: _edges(group, test)
-    light = lists.select("key", "cid", F.length("data").alias("size"))
+    dealt = stored(lists.groupBy("key").agg(blocks(F.count("*"), F.sum(F.length("data"))).alias("blocks")))
 
     def within(rows: DataFrame) -> DataFrame:
-        dealt = rows.groupBy("key").agg(blocks(F.count("*"), F.sum(F.length("data"))).alias("blocks"))
-        rows = rows.join(dealt, "key").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).select(*names, F.lit(1).alias("side"), "block")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).select(*names, F.lit(1).alias("side"), "block")
         return stored(rows.groupBy("key", "block").applyInPandas(run, "a long, b long"))
 
-    def open_keys(links: DataFrame) -> DataFrame:
-        found = stored(components(links))
-        rows = stored(light.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-        several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        return stored(rows.join(several, "key"))
-
-    links = links.unionByName(within(lists.where("home").withColumn("component", F.col("cid"))))
+    at_home = lists.join(dealt, "key").where("home or blocks = 1").withColumn("component", F.col("cid"))
+    links = links.unionByName(within(at_home))
+    large = stored(dealt.where("blocks > 1").select("key"))
+    if large.isEmpty():
+        return links
+    light = stored(lists.join(large, "key").select("key", "cid", F.length("data").alias("size")))
     before = None
     while True:
-        rows = open_keys(links)
-        leaders = stored(rows.groupBy("key", "component").agg(F.min("cid").alias("cid")))
+        found = components(links).withColumnRenamed("node", "cid")
+        rows = light.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        rows = stored(rows.join(several, "key"))
+        leaders = stored(rows.groupBy("key", "component").agg(F.min("cid").alias("cid"), F.max("size").alias("size")))
         count = leaders.count()
         if not count:
             return links
         if before is not None and 2 * count > before:
             break
         before = count
-        links = links.unionByName(within(lists.join(leaders, ["key", "cid"])))
+        again = leaders.groupBy("key").agg(blocks(F.count("*"), F.count("*") * F.max("size")).alias("blocks"))
+        links = links.unionByName(within(lists.join(leaders.drop("size"), ["key", "cid"]).join(again, "key")))
     total = rows.groupBy("key").agg(blocks(F.count("*"), F.sum("size")).alias("parts"))
     each = rows.groupBy("key", "component").agg(blocks(F.count("*"), F.sum("size")).alias("own"))
     part = F.struct(F.pmod(F.xxhash64("component"), "parts").alias("part"), F.when(F.col("own") > 1, F.col("component")).otherwise(-1).alias("of"), F.pmod(F.xxhash64("cid"), "own").alias("block"))
@@ -350,7 +353,7 @@ def _class_components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     classes = described.groupBy("class").agg(lowest, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("signs").alias("signs"))
     classes = stored(classes.select("class", F.monotonically_increasing_id().alias("cid"), "lowest.*", "copies", "n", "first", "signs"))
     postings = _postings(rows, classes, keys, words, percent)
-    coarse = stored(components(_coarse_links(postings, classes.select("cid", "n", "signs"), percent)))
+    coarse = components(_coarse_links(postings, classes.select("cid", "n", "signs"), percent))
     wanted = stored(classes.join(coarse, classes["cid"] == coarse["node"]).select(*keys, "class", "cid", F.col("component").alias("key")))
     sets = _sets(rows, wanted, words)
     none = rows.sparkSession.createDataFrame([], "a long, b long")
@@ -438,7 +441,10 @@ def _coarse_links(postings: DataFrame, signs: DataFrame, percent: int) -> DataFr
         pairs = pairs.join(signs.select(F.col("cid").alias(f"cid{k}"), F.col("n").alias(f"n{k}"), F.col("signs").alias(f"signs{k}")), f"cid{k}")
     near = F.coalesce((100 + percent) * _differ(F.col("signs1"), F.col("signs2")) <= (100 - percent) * (F.col("n1") + F.col("n2")), F.lit(True))
     links = stored(pairs.where(near).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")))
-    many = postings.join(lists.where(F.col("classes") > FEW), "token")
+    long = stored(lists.where(F.col("classes") > FEW))
+    if long.isEmpty():
+        return links
+    many = postings.join(long, "token")
     # home is the longest list: the classes of one large group are likely to have it in common
     home = many.groupBy("cid").agg(F.max_by("token", F.struct("classes", "token")).alias("home"))
 
