@@ -4,7 +4,8 @@ Every window of ``span`` bytes picks an anchor, its substring of least hash; equ
 same place. Neighbouring windows with one anchor make a run. Runs whose anchor occurs once hold nothing repeated, and
 runs that are equal wherever their anchor occurs are repeated as a whole; both are settled by counts. The other runs,
 one of each distinct content, go to shards by anchor, so equal windows always meet. A shard is sorted by external
-induced sorting, and a window is repeated if its suffix shares ``span`` bytes with a neighbour in suffix order.
+induced sorting, whose queues spill to disk, and a window is repeated if its suffix shares ``span`` bytes with a
+neighbour in suffix order.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from .suffixes import neighbours
 
 #: Window starts that are hashed together; longer texts are cut there, which only makes their border runs distinct.
 CHUNK = 1 << 20
-#: Bytes of one shard; and distinct runs of one anchor that a shard may hold beyond that: up to about 3 MB of text,
-#: which takes 300 MB to sort. Of an anchor with more, the windows are dealt out one by one.
-SHARD_BYTES = 1_000_000
-MANY_RUNS = 12_000
+#: Bytes of one shard; and distinct runs of one anchor that a shard may hold: up to about 1.3 MB of text. The runs of an
+#: anchor with more are cut into shorter ones by anchors of so many parts of a hundred of the window, the last the whole.
+SHARD_BYTES = 500_000
+MANY_RUNS = 4_000
+ANCHORS = (36, 75, 100)
 
 _random = np.random.default_rng(23)
-_BYTES = _random.integers(0, 2**64, (2, 256), np.uint64)
-_BASES = [int(x) * 2 + 1 for x in _random.integers(0, 2**62, 2)]
+_BYTES = _random.integers(0, 2**64, 256, np.uint64)
+_BASE = int(_random.integers(0, 2**62)) * 2 + 1
 _powers: list[np.ndarray] = []
 
 
@@ -40,33 +42,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(n: int) -> list[np.ndarray]:
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial hash, and the factors that make hashes independent of their place."""
+    n = len(data) + 1
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        _powers.clear()
-        for base in _BASES:
-            up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 2**64), np.uint64)
-            up[0] = down[0] = 1
-            _powers.extend((np.cumprod(up), np.cumprod(down)))
-    return _powers
-
+        size = max(n, 1 << 16)
+        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        _powers[:] = [np.cumprod(up), np.cumprod(down)]
+    out = np.zeros(n, np.uint64)
+    np.cumsum(_BYTES[data] * _powers[0][: n - 1], out=out[1:])
+    return out, _powers[1]
 
-def _sums(data: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of a polynomial hash, and the factors that make hashes independent of their place."""
-    tables = _tables(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[which][data] * tables[2 * which][: len(data)], out=out[1:])
-    return out, tables[2 * which + 1]
 
+def runs(raw: bytes, span: int, share: int = ANCHORS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, mark, start, windows) of each run of windows with one anchor; mark is a digest of the run's bytes.
 
-def runs(raw: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, mark, start, windows) of each run of windows with one anchor; mark is a hash of the run's bytes."""
-    gram = max(4, span * 9 // 25)
+    An anchor is a substring of ``share`` hundredths of ``span``. Different ones of equal hash do no harm, they only meet.
+    """
+    gram = max(4, span * share // 100)
     width = span - gram + 1
     data, parts = np.frombuffer(raw, np.uint8), []
     for chunk in range(0, len(data) - span + 1, CHUNK):
         own = data[chunk : chunk + CHUNK + span - 1]
-        sums, factors = _sums(own, 0)
+        sums, factors = _sums(own)
         grams = _mix((sums[gram:] - sums[:-gram]) * factors[: len(own) - gram + 1])
         # the place in the low bits makes the leftmost of equal grams the least
         least, step = grams >> np.uint64(21) << np.uint64(21) | np.arange(len(grams), dtype=np.uint64), 1
@@ -77,8 +76,8 @@ def runs(raw: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
         starts = np.flatnonzero(np.diff(least, prepend=least[:1] ^ np.uint64(1)))
         ends = np.append(starts[1:], len(least))
-        marks = _mix((sums[ends + span - 1] - sums[starts]) * factors[starts])
-        parts.append((_mix(least[starts] >> np.uint64(21)).view(np.int64), marks.view(np.int64), starts + chunk, ends - starts))
+        digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip((starts + chunk).tolist(), (ends + (chunk + span - 1)).tolist(), strict=True)]
+        parts.append((_mix(least[starts] >> np.uint64(21)).view(np.int64), np.frombuffer(b"".join(digests), np.int64), starts + chunk, ends - starts))
     if not parts:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -86,7 +85,7 @@ def runs(raw: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def repeated_in_shard(contents: list[bytes], windows: list[int], copies: list[int], span: int) -> list[np.ndarray]:
     """For each run, which of its windows are repeated, in the shard or by the run's copies."""
-    symbols = np.concatenate([x for raw in contents for x in (np.frombuffer(raw, np.uint8).astype(np.int64) + 2, [1])] + [[0]])
+    symbols = np.concatenate([x for raw in contents for x in (np.frombuffer(raw, np.uint8).astype(np.uint16) + np.uint16(2), np.ones(1, np.uint16))] + [np.zeros(1, np.uint16)])
     common = neighbours(symbols, span)
     out, at = [], 0
     for raw, n, c in zip(contents, windows, copies, strict=True):
@@ -95,14 +94,6 @@ def repeated_in_shard(contents: list[bytes], windows: list[int], copies: list[in
     return out
 
 
-def window_hashes(raw: bytes, windows: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    data, found = np.frombuffer(raw, np.uint8), []
-    for which in (0, 1):
-        sums, factors = _sums(data, which)
-        found.append(_mix((sums[span : span + windows] - sums[:windows]) * factors[:windows]).view(np.int64))
-    return tuple(found)
-
-
 def spans_of(starts: np.ndarray, size: int, span: int) -> np.ndarray:
     """Maximal covered runs (start, end) of windows that begin at ``starts`` (any order)."""
     if not len(starts):
@@ -119,6 +110,53 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
 
 
+def _verdicts(contents: DataFrame, span: int, anchors: tuple[int, ...], many_runs: int) -> DataFrame:
+    """(anchor, mark, bits) of the runs with repeated windows; null bits mean all.
+
+    contents: distinct runs (anchor, mark, copies, windows, content). Runs of one anchor go to one shard, which is put into
+    suffix order. Where they are too many for a shard, they are cut by longer anchors; equal windows have these in common
+    too. With an anchor as long as the window every run is one window, and its copies alone decide.
+    """
+    kinds = stored(contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.length("content") + 1).alias("size")))
+    most = many_runs if anchors else 1 << 62
+    total = kinds.where((F.col("kinds") > 1) & (F.col("kinds") <= most)).agg(F.sum("size")).first()[0] or 0
+    shards = max(1, -(-total // SHARD_BYTES))
+
+    def shard(group: pd.DataFrame) -> pd.DataFrame:
+        found = repeated_in_shard(group["content"].tolist(), group["windows"].tolist(), group["copies"].tolist(), span)
+        out = group[["anchor", "mark"]].assign(bits=[np.packbits(x).tobytes() for x in found])
+        return out[[bool(x.any()) for x in found]]
+
+    schema = "anchor long, mark long, bits binary"
+    known = contents.join(kinds.select("anchor", "kinds"), "anchor")
+    alone = known.where((F.col("kinds") == 1) & (F.col("copies") > 1)).select("anchor", "mark", F.lit(None).cast("binary").alias("bits"))
+    shared = known.where((F.col("kinds") > 1) & (F.col("kinds") <= most)).select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), *contents.columns)
+    out = alone.unionByName(shared.groupBy("shard").applyInPandas(shard, schema))
+    if not anchors or kinds.where(F.col("kinds") > most).isEmpty():
+        return out
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                anchor, mark, start, windows = runs(row.content, span, anchors[0])
+                parts = [row.content[a : a + n + span - 1] for a, n in zip(start.tolist(), windows.tolist(), strict=True)]
+                yield pd.DataFrame({"of": row.anchor, "of_mark": row.mark, "at": start, "anchor": anchor, "mark": mark, "copies": row.copies, "windows": windows, "content": parts})
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(int((group["at"] + group["windows"]).max()), bool)
+        for at, n, own in zip(group["at"], group["windows"], group["bits"], strict=True):
+            told = np.ones(n, np.uint8) if own is None else np.unpackbits(np.frombuffer(own, np.uint8))[:n]
+            bits[at : at + len(told)] = told  # what is missing at the end is 0
+        return pd.DataFrame({"anchor": [group["of"].iloc[0]], "mark": [group["of_mark"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    crowded = known.where(F.col("kinds") > most).drop("kinds")
+    parts = stored(crowded.mapInPandas(split, "of long, of_mark long, at int, anchor long, mark long, copies int, windows int, content binary"))
+    finer = parts.groupBy("anchor", "mark").agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), F.first("windows").alias("windows"), F.first("content").alias("content"))
+    below = stored(_verdicts(stored(finer), span, anchors[1:], many_runs))
+    found = parts.select("of", "of_mark", "at", "windows", "anchor", "mark").join(below, ["anchor", "mark"])
+    return out.unionByName(found.groupBy("of", "of_mark").applyInPandas(gather, schema))
+
+
 def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) -> DataFrame:
     """(key, cover): for each distinct text with repeated windows, structs (start, windows, bits); null bits mean all."""
     spark = keyed.sparkSession
@@ -155,9 +193,9 @@ def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) ->
     live = stored(live.join(repeated, "anchor"))
     kinds = live.where("open").groupBy("anchor", "mark").agg(F.sum("texts").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("at"))
     kinds = stored(kinds)
-    crowded = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > many_runs).select("anchor", F.lit(True).alias("crowded"))
-    wanted = kinds.join(crowded, "anchor", "left").select("at.*", "anchor", "mark", F.least("copies", F.lit(2)).cast("int").alias("copies"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "mark", "copies", "crowded")).alias("wanted"))
+    wanted = kinds.select("at.*", "anchor", "mark", F.least("copies", F.lit(2)).cast("int").alias("copies"))
+    listed = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "mark", "copies")).alias("wanted"))
+    names = ["anchor", "mark", "copies", "windows", "content"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,42 +204,15 @@ def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) ->
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     content = raw[w["start"] : w["start"] + w["windows"] + span - 1]
-                    out.append((w["anchor"], w["mark"], w["copies"], w["crowded"], w["windows"], content))
+                    out.append((w["anchor"], w["mark"], w["copies"], w["windows"], content))
                     size += len(content)
                 if size > 8_000_000:
-                    yield pd.DataFrame(out, columns=["anchor", "mark", "copies", "crowded", "windows", "content"])
+                    yield pd.DataFrame(out, columns=names)
                     out, size = [], 0
-            yield pd.DataFrame(out, columns=["anchor", "mark", "copies", "crowded", "windows", "content"])
+            yield pd.DataFrame(out, columns=names)
 
-    schema = "anchor long, mark long, copies int, crowded boolean, windows int, content binary"
-    contents = stored(keyed.select("key", "text").join(listed, "key").select("text", "wanted").mapInPandas(cut, schema).dropDuplicates(["anchor", "mark"]))
-    total = contents.where("not crowded").agg(F.sum(F.length("content") + 1)).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-
-    def shard(group: pd.DataFrame) -> pd.DataFrame:
-        found = repeated_in_shard(group["content"].tolist(), group["windows"].tolist(), group["copies"].tolist(), span)
-        out = group[["anchor", "mark"]].assign(bits=[np.packbits(x).tobytes() for x in found])
-        return out[[bool(x.any()) for x in found]]
-
-    verdict_schema = "anchor long, mark long, bits binary"
-    sorted_out = contents.where("not crowded").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "mark", "copies", "windows", "content").groupBy("shard").applyInPandas(shard, verdict_schema)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                a, b = window_hashes(row.content, row.windows, span)
-                yield pd.DataFrame({"anchor": row.anchor, "mark": row.mark, "copies": row.copies, "place": np.arange(row.windows), "a": a, "b": b})
-
-    def gather(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(int(group["place"].max()) + 1, bool)
-        bits[group["place"].to_numpy()] = True
-        return pd.DataFrame({"anchor": [group["anchor"].iloc[0]], "mark": [group["mark"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
-
-    # anchors with very many distinct runs: each window is a key of its own, so no task gets them all
-    dealt = contents.where("crowded").mapInPandas(deal, "anchor long, mark long, copies int, place int, a long, b long")
-    twice = dealt.groupBy("a", "b").agg(F.sum("copies").alias("n")).where("n > 1").select("a", "b")
-    dealt = dealt.join(twice, ["a", "b"], "left_semi").groupBy("anchor", "mark").applyInPandas(gather, verdict_schema)
-    verdicts = stored(sorted_out.unionByName(dealt))
+    contents = keyed.select("key", "text").join(listed, "key").select("text", "wanted").mapInPandas(cut, "anchor long, mark long, copies int, windows int, content binary")
+    verdicts = stored(_verdicts(stored(contents.dropDuplicates(["anchor", "mark"])), span, ANCHORS[1:], many_runs))
     cover = live.where("open").join(verdicts, ["anchor", "mark"]).select("key", "start", "windows", "bits").unionByName(live.where("not open").select("key", "start", "windows", F.lit(None).cast("binary").alias("bits")))
     return cover.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "bits")).alias("cover"))
 

@@ -14,8 +14,8 @@ from collections import defaultdict
 
 import numpy as np
 
-#: Bytes that the queues of a shard keep in memory.
-QUEUE_BYTES = 64 << 20
+#: Bytes that one queue of a shard keeps in memory; an ordinary shard has more.
+QUEUE_BYTES = 1 << 20
 
 
 class DiskQueue:
@@ -29,7 +29,7 @@ class DiskQueue:
 
     def push(self, key: int, positions: np.ndarray, commons: np.ndarray) -> None:
         self.rows[key].append((positions, commons))
-        self.size += 9 * len(positions)
+        self.size += 5 * len(positions)
         if self.size > self.limit:
             self._spill()
 
@@ -40,7 +40,7 @@ class DiskQueue:
             positions, commons = (np.concatenate(x) for x in zip(*parts, strict=True))
             self.file.seek(0, 2)
             self.spilled[key].append((self.file.tell(), len(positions)))
-            self.file.write(positions.astype(np.int64).tobytes() + commons.astype(np.uint8).tobytes())
+            self.file.write(positions.astype(np.int32).tobytes() + commons.astype(np.uint8).tobytes())
         self.rows.clear()
         self.size = 0
 
@@ -49,13 +49,13 @@ class DiskQueue:
         parts = []
         for at, n in self.spilled.pop(key, ()):
             self.file.seek(at)
-            raw = self.file.read(9 * n)
-            parts.append((np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint8, n, 8 * n)))
+            raw = self.file.read(5 * n)
+            parts.append((np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.uint8, n, 4 * n)))
         own = self.rows.pop(key, [])
-        self.size -= 9 * sum(len(p) for p, _ in own)
+        self.size -= 5 * sum(len(p) for p, _ in own)
         parts += own
         if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            return np.zeros(0, np.int32), np.zeros(0, np.uint8)
         positions, commons = (np.concatenate(x) for x in zip(*parts, strict=True))
         return positions, commons
 
@@ -134,6 +134,7 @@ def _starred(text: np.ndarray, small: np.ndarray, stars: np.ndarray, cap: int) -
     words = -(-(ends - stars + 1) // 6)
     names = np.zeros(m, np.int64)
     padded = np.append(typed, np.zeros(6, np.uint64))
+    del typed
     for k in range(int(words.max(initial=1)) - 1, -1, -1):
         own = np.flatnonzero(words > k)
         at = stars[own] + 6 * k
@@ -146,6 +147,7 @@ def _starred(text: np.ndarray, small: np.ndarray, stars: np.ndarray, cap: int) -
         ranks = np.empty(len(own), np.int64)
         ranks[order] = np.cumsum(changed)
         names[own] = ranks
+    del padded, words
     # a starred substring is two symbols or more, so cap names are enough; only names that are shared are doubled
     ranks = np.empty(m, np.int64)
     order = np.argsort(names, kind="stable")
@@ -167,6 +169,7 @@ def _starred(text: np.ndarray, small: np.ndarray, stars: np.ndarray, cap: int) -
     words = far[:n]
     for i in range(1, 7):
         words = words << np.uint64(9) | far[i : n + i]
+    del far
     commons = np.zeros(m, np.int64)
     live = np.arange(1, m)
     for k in range(0, cap, 7):
@@ -195,18 +198,21 @@ def neighbours(text: np.ndarray, cap: int = 200, limit: int = QUEUE_BYTES) -> np
     text: symbols of 0 to 511, of which the last is smaller than any other.
     """
     n = len(text)
-    text = text.astype(np.int64)
+    text = text.astype(np.uint16)
     out = np.zeros(n, np.uint8)
     if n < 2:
         return out
     # small: S-type. Equal neighbours are of the type at the end of their run.
-    turn = np.flatnonzero(text[1:] != text[:-1])
-    run_end = turn[np.minimum(np.searchsorted(turn, np.arange(n)), len(turn) - 1)]
+    turn = np.flatnonzero(text[1:] != text[:-1]).astype(np.int32)
+    places = np.arange(n, dtype=np.int32)
+    run_end = turn[np.minimum(np.searchsorted(turn, places), len(turn) - 1)]
     small = np.ones(n, bool)
     small[:-1] = text[run_end[:-1]] < text[run_end[:-1] + 1]
-    runs = np.minimum(np.where(np.arange(n) <= turn[-1], run_end - np.arange(n) + 1, n - np.arange(n)), cap).astype(np.uint8)
-    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    runs = np.minimum(np.where(places <= turn[-1], run_end - places + 1, n - places), cap).astype(np.uint8)
+    del turn, places, run_end
+    stars = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     order, commons = _starred(text, small, stars, cap)
+    del stars
     symbols = int(text.max()) + 1
     bounds = np.searchsorted(text[order], np.arange(symbols + 1))
     zero = np.zeros(1, np.uint8)

@@ -183,3 +183,29 @@ def test_isotonic_and_statistics():
     stats = quality.statistics(["", None, "Good words here.\nGood words here.", "$$$ ###"])
     assert stats.shape == (4, len(quality.NAMES)) and np.isfinite(stats).all()
     assert (stats[0] == 0).all() and (stats[1] == 0).all()
+
+
+def test_shards_spill_and_keep_their_order(monkeypatch):
+    spilled, plain = [], suffixes.DiskQueue._spill
+    monkeypatch.setattr(suffixes.DiskQueue, "_spill", lambda self: (spilled.append(self.size), plain(self)))
+    r = random.Random(9)
+    base = [r.randint(2, 27) for _ in range(300)]
+    text = []
+    for _ in range(1500):
+        own = list(base)
+        own[r.randrange(300)] = r.randint(2, 27)
+        text += own + [1]
+    text = np.array([*text, 0])
+    found = suffixes.neighbours(text, 200)
+    assert spilled, "an ordinary shard is larger than its queues"
+    assert (found == suffixes.neighbours(text, 200, 1 << 40)).all()
+
+
+def test_runs_that_a_polynomial_hash_takes_for_equal():
+    first = bytes(b"an"[bin(k).count("1") & 1] for k in range(2048))
+    marks = [repeats.runs(x, 60)[1].tolist() for x in (first, first.translate(bytes.maketrans(b"an", b"na")))]
+    contents = [[x[a : a + n + 59] for a, n in zip(*repeats.runs(x, 60)[2:], strict=True)] for x in (first, first.translate(bytes.maketrans(b"an", b"na")))]
+    by = {}
+    for own, texts in zip(marks, contents, strict=True):
+        for mark, text in zip(own, texts, strict=True):
+            assert by.setdefault(mark, text) == text
