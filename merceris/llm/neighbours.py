@@ -36,7 +36,13 @@ SALTS = 32
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their squares neither overflow nor vanish; a cosine stays what it is."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
+    rows = scaled(rows)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -206,7 +212,7 @@ def _of_one_length(rows: DataFrame, size: int, every: int, k: int) -> DataFrame:
     def compare(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
             return pd.DataFrame({"asker": [], "score": [], "ids": []})
-        q, c = (np.stack(x["vector"].to_numpy()) for x in (asked, held))
+        q, c = (scaled(np.stack(x["vector"].to_numpy())) for x in (asked, held))
         q_norm, c_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
         ids, least = held["ids"].to_numpy(), np.array([x[0] for x in held["ids"]])
         out = []

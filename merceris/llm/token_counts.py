@@ -136,7 +136,9 @@ class Counter:
         self.code = random.integers(0, 2**64, 0x110001, np.uint64)
         self.base = int(random.integers(0, 2**62)) * 2 + 1
         self.powers = np.ones(0, np.uint64)
+        # remembered pieces by hash: their counts, and where their characters stand, as a hash alone proves nothing
         self.hashes, self.totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.places, self.lengths, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.beside: dict[int, bool] = {}
         self.border, self.kept = np.array([1 << 62]), np.array([False])
         codes = sorted((rolled(token), k) for token, k in self.ids.items())
@@ -289,12 +291,15 @@ class Counter:
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(self.code[codes] * self.powers[: len(codes)], out=sums[1:])
         starts, stops, whose = starts[real], stops[real], whose[real]
+        lengths = stops - starts
         hashes = (sums[stops] - sums[starts]) * self.back[starts]
         fresh, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        # pieces of one hash that are not the same are counted one by one
+        other = np.flatnonzero(~_equal(codes, starts, codes, starts[first[which]], lengths, lengths[first[which]]))
         at = np.searchsorted(self.hashes, fresh)
         known = np.zeros(len(fresh), bool)
-        if len(self.hashes):
-            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == fresh
+        met = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == fresh) if len(self.hashes) else np.zeros(0, np.int64)
+        known[met] = _equal(codes, starts[first[met]], self.letters, self.places[at[met]], lengths[first[met]], self.lengths[at[met]])
         totals = np.zeros(len(fresh), np.int64)
         totals[known] = self.totals[at[known]]
         new = np.flatnonzero(~known)
@@ -309,14 +314,42 @@ class Counter:
             for at_once in range(0, len(own), 1 << 17 >> width.bit_length()):
                 part = own[at_once : at_once + (1 << 17 >> width.bit_length())]
                 totals[[k for k, _ in part]] = self.pieces([raw for _, raw in part], width)
-        if len(self.hashes) + len(new) > REMEMBERED:
-            self.hashes, self.totals = fresh, totals
-        elif len(new):
-            self.hashes = np.insert(self.hashes, at[new], fresh[new])
-            self.totals = np.insert(self.totals, at[new], totals[new])
-        out += np.bincount(whose, weights=totals[which], minlength=len(texts)).astype(np.int64)
+        each = totals[which]
+        for k in other.tolist():
+            each[k] = self.piece(codes[starts[k] : stops[k]].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"))
+        # a piece whose hash is taken by another is never remembered, nor is a long one
+        taken = np.zeros(len(fresh), bool)
+        taken[met] = True
+        self._remember(codes, *(x[new[~taken[new] & (lengths[first[new]] <= LONG)]] for x in (fresh, totals, starts[first], lengths[first])))
+        out += np.bincount(whose, weights=each, minlength=len(texts)).astype(np.int64)
         return out
 
+    def _remember(self, codes: np.ndarray, hashes: np.ndarray, totals: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        if not len(hashes):
+            return
+        if len(self.hashes) + len(hashes) > REMEMBERED:
+            self.hashes, self.totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.places, self.lengths, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        before = np.cumsum(lengths) - lengths
+        letters = codes[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.totals = np.insert(self.hashes, at, hashes), np.insert(self.totals, at, totals)
+        self.places, self.lengths = np.insert(self.places, at, before + len(self.letters)), np.insert(self.lengths, at, lengths)
+        self.letters = np.concatenate([self.letters, letters])
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the n characters of ``a`` from each place ``at`` are the m characters of ``b`` from ``bt``."""
+    out = n == m
+    own = np.flatnonzero(out & ((at != bt) if a is b else True))
+    if len(own):
+        sizes = n[own]
+        before = np.cumsum(sizes) - sizes
+        steps = np.arange(int(sizes.sum()))
+        differ = a[np.repeat(at[own] - before, sizes) + steps] != b[np.repeat(bt[own] - before, sizes) + steps]
+        out[own] = ~np.logical_or.reduceat(differ, before)
+    return out
+
 
 _counters: dict[str, Counter] = {}
 

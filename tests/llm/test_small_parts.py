@@ -209,3 +209,23 @@ def test_runs_that_a_polynomial_hash_takes_for_equal():
     for own, texts in zip(marks, contents, strict=True):
         for mark, text in zip(own, texts, strict=True):
             assert by.setdefault(mark, text) == text
+
+
+def test_token_counts_of_pieces_that_a_polynomial_hash_takes_for_equal():
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs, mine = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json")), token_counts.Counter(P.path("byte_bpe_50k.json"))
+    texts = []
+    for a, b, n in (("a", "n", 1024), ("i", "q", 1024), ("1", "2", 2048)):
+        first = "".join((a, b)[bin(k).count("1") & 1] for k in range(n))
+        texts += [first, first.translate(str.maketrans(a + b, b + a)), first + " x"]
+    want = [len(theirs.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert mine.count(texts).tolist() == want
+    assert [mine.count([t])[0] for t in texts] == want and mine.count(texts[::-1]).tolist() == want[::-1]
+
+
+def test_remembered_pieces_are_compared():
+    mine = token_counts.Counter(P.path("byte_bpe_50k.json"))
+    mine.code[:] = 1  # now all pieces of one length have one hash
+    texts = ["hello there general", "aaaaa bbbbb zzzzzzz", "hello"] + ODD
+    plain = token_counts.Counter(P.path("byte_bpe_50k.json")).count(texts).tolist()
+    assert mine.count(texts).tolist() == plain and mine.count(texts).tolist() == plain
