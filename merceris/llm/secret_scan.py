@@ -6,6 +6,10 @@ long token is a secret if the mean log-likelihood ratio of its character pairs i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +28,31 @@ THRESHOLD = 0.5
 #: About so many documents give labelled samples; one in ORDINARY of them gives ordinary words.
 TRAINING_DOCUMENTS = 20_000
 ORDINARY = 10
+#: Items of an array that a running sum adds up one by one.
+BLOCK = 256
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where it stands inside another function's lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, start: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each item, ``op`` over ``start`` and all items before it, and at last over all: one item more than ``values``.
+
+    Blocks of BLOCK items are first taken together, so no array grows by one item at a time over its whole length.
+    """
+    grow = lambda array, first: F.aggregate(array, F.struct(first.alias("at"), F.array(first).alias("out")), lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(op(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+    count = lambda v: F.ceil(F.size(v) / BLOCK).cast("int")
+    cut = lambda v: F.transform(F.filter(F.sequence(F.lit(0), count(v)), lambda k: k < count(v)), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+    # a block's last value is the next one's first
+    within = lambda blocks, firsts: F.flatten(F.zip_with(blocks, F.slice(firsts, 1, F.size(blocks)), lambda block, first: F.slice(grow(block, first), 1, F.size(block))))
+    sums = lambda blocks: grow(F.transform(blocks, lambda block: F.aggregate(F.slice(block, 2, BLOCK), F.element_at(block, 1), op)), start)
+    joined = lambda blocks: _let(sums(blocks), lambda firsts: F.concat(within(blocks, firsts), F.array(F.element_at(firsts, -1))))
+    return _let(values, lambda v: _let(cut(v), joined))
+
+
 def spans_of(text: Column, pattern: str, kind: str, order: int, group: int = 0, least: int = 0) -> Column:
     """Leftmost non-overlapping matches with code-point positions; those whose group is too short are dropped."""
     p = F.lit(pattern)
@@ -34,16 +60,16 @@ def spans_of(text: Column, pattern: str, kind: str, order: int, group: int = 0,
     # the text before the k-th match is the k-th piece, so positions are running sums of lengths
     gaps = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, p, F.lit(group)) if group else hits
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("found"))
+    sizes = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("pos"), F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def placed(sizes: Column) -> Column:
+        ends = _before(F.transform(sizes, lambda x: x["gap"] + x["hit"]), F.lit(0), lambda a, x: a + x)
+        return F.zip_with(F.slice(ends, 2, F.size(sizes)), F.transform(sizes, lambda x: x["hit"]), lambda end, hit: F.struct((end - hit).alias("start"), end.alias("end")))
 
-    return F.when(_may_hold(text, kind) & text.rlike(pattern), F.aggregate(pairs, begin, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+    span = lambda x, value: F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), x["end"].alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
+    found = _let(F.filter(sizes, lambda x: x["hit"].isNotNull()), placed)
+    found = F.filter(F.zip_with(found, values, span), lambda x: F.length(x["value"]) >= least)
+    return F.when(_may_hold(text, kind) & text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def _may_hold(text: Column, kind: str) -> Column:
@@ -55,16 +81,33 @@ def _may_hold(text: Column, kind: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All spans of the fixed kinds, by start and then by kind as listed."""
-    found = [spans_of(text, pattern, kind, k, group, least) for k, (kind, pattern, group, least) in enumerate(KINDS)]
-    return F.array_sort(F.concat(*found))
+    return F.array_sort(F.concat(*_base_kinds(text)))
+
+
+def _base_kinds(text: Column) -> list[Column]:
+    return [spans_of(text, pattern, kind, k, group, least) for k, (kind, pattern, group, least) in enumerate(KINDS)]
 
 
 def _pairs(value: Column) -> Column:
     """Codes of the neighbouring character pairs of the alphabet."""
     n = len(ALPHABET)
-    code = lambda k: F.instr(F.lit(ALPHABET), F.substring(value, k, F.lit(1))) - 1
-    all_pairs = F.transform(F.sequence(F.lit(1), F.length(value) - 1), lambda k: F.when((code(k) >= 0) & (code(k + 1) >= 0), code(k) * n + code(k + 1)))
-    return F.when(F.length(value) >= 2, F.filter(all_pairs, lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(F.split(value, ""), lambda c: F.when(c != "", F.instr(F.lit(ALPHABET), c) - 1).otherwise(-1))
+    pairs = lambda v: F.zip_with(v, F.slice(v, 2, F.size(v)), lambda a, b: F.when((a >= 0) & (b >= 0), a * n + b))
+    return F.filter(_let(codes, pairs), lambda x: x.isNotNull())
+
+
+def _overlap(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of ``spans``, which rise and don't overlap, has a place in common with start to end (exclusive)."""
+    # how many begin before the end: a binary search
+    begin = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        less = (acc["low"] < acc["high"]) & (F.get(spans, middle)["start"] < end)
+        return F.struct(F.when(less, middle + 1).otherwise(acc["low"]).alias("low"), F.when(less, acc["high"]).otherwise(F.least(middle, acc["high"])).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + F.lit(1.0))).cast("int"))
+    return F.coalesce(F.get(spans, F.aggregate(steps, begin, step, lambda acc: acc["low"]) - 1)["end"] > start, F.lit(False))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -105,7 +148,8 @@ def find_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
 
     Spans are structs (start, ord, end, kind, value), sorted; positions are code points, the end exclusive. A candidate
     that overlaps a base span is left out. A null text is empty and has no spans; rows and repeated ids are kept; an
-    empty table gives no rows. Narrow: no shuffle.
+    empty table gives no rows. Texts are taken whole, in time about in proportion to their length and their spans. Narrow:
+    no shuffle.
     """
     n = len(ALPHABET)
     table = F.expr("cast(split('" + ",".join(f"{x:.6f}" for x in model) + "', ',') as array<double>)")
@@ -113,10 +157,13 @@ def find_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
     assert len(model) == n * n
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"), *[F.col(k).alias(k) for k in keep if k != "doc_id"])
-    rows = rows.withColumn("base", base_spans(F.col("__text")))
-    long = spans_of(F.col("__text"), CANDIDATE, "markov", len(KINDS))
-    fresh = F.filter(long, lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & (score(c["value"]) >= threshold))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", fresh))).drop("__text")
+    kinds = [f"__kind{k}" for k in range(len(KINDS))]
+    # each is used more than once below, so it isn't computed anew inside a lambda
+    rows = rows.select("*", *[c.alias(k) for k, c in zip(kinds, _base_kinds(F.col("__text")), strict=True)], spans_of(F.col("__text"), CANDIDATE, "markov", len(KINDS)).alias("__long"))
+    rows = rows.withColumn("base", F.array_sort(F.concat(*kinds)))
+    hidden = lambda c: reduce(or_, [_overlap(F.col(k), c["start"], c["end"]) for k in kinds])
+    fresh = F.when(F.size("__long") == 0, F.col("__long")).otherwise(F.filter("__long", lambda c: (score(c["value"]) >= threshold) & ~hidden(c)))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", fresh))).drop("__text", "__long", *kinds)
 
 
 def as_text(spans: Column) -> Column:
@@ -128,13 +175,16 @@ def redact(docs: DataFrame, model: list[float], mark: str = "[secret]") -> DataF
     names = docs.columns
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
     found = find_secrets(rows, model, keep=("text", "__row"))
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    # four bytes a code point, so that a piece is cut out without a walk from the start
+    piece = lambda raw, a, b: F.decode(F.substring(raw, 4 * a + 1, 4 * (b - a)), "UTF-32")
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"])
-        return F.when(s["start"] >= acc["pos"], F.struct(s["end"].alias("pos"), F.concat(acc["out"], piece, F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out")))
+    def masked(raw: Column) -> Column:
+        ends = _before(F.col("spans")["end"], F.lit(0), lambda a, x: F.greatest(a, x))
+        gaps = lambda ends: F.filter(F.zip_with(F.slice(ends, 1, F.size("spans")), F.col("spans")["start"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"] >= x["a"])
+        last = lambda ends: F.decode(F.substring(raw, 4 * F.element_at(ends, -1) + 1, F.length(raw)), "UTF-32")
+        return _let(ends, lambda ends: F.array_join(F.concat(F.transform(gaps(ends), lambda x: piece(raw, x["a"], x["b"])), F.array(last(ends))), mark))
 
-    masked = F.aggregate("spans", begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
+    masked = _let(F.encode("text", "UTF-32"), masked)
     found = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
     row = F.col("__row")
     new = {"text": F.col("text")}
