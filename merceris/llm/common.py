@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,14 +30,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/merceris-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that are in use, in the order in which they were written.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path, partitionBy=partition_by)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` returns, stored; those stored on the way to it are removed, as nothing reads them again."""
+    first = len(_written)
+    out = stored(make())
+    jvm = out.sparkSession.sparkContext._jvm
+    for path in _written[first:-1]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(out.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del _written[first:-1]
+    return out
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so that other columns and their names never matter."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -18,14 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, ids_and_texts, stored
+from .common import SLICE_BYTES, finished, ids_and_texts, stored
 from .components import components
 
 #: Shingles in more first parts than this are put last, the most frequent ones of the corpus if they are very many.
 FREQUENT = 8
 MOST_FREQUENT = 1 << 21
-#: Classes of a shingle up to which its pairs are tested one by one; the list of a shingle with more is dealt into blocks.
-FEW = 64
+#: Classes of a shingle up to which its pairs are tested one by one; the list of a shingle with more is dealt into blocks,
+#: each of which gives fewer links than it has classes.
+FEW = 8
 #: Most classes and bytes of one block: of signatures, and of sets.
 SIGNATURES = (512, 4 << 20)
 SETS = (256, 4 << 20)
@@ -233,6 +234,7 @@ def _joining(pairs: np.ndarray, a: list, b: list) -> list[int]:
 
 def _edges(group: pd.DataFrame, test: Test) -> pd.DataFrame:
     """Links that join the components (column ``component``) of one block, or of two blocks (column ``side``)."""
+    group = group.sort_values("cid")  # so that lists of the same classes give the same links
     sides = [group[group["side"] == k] for k in (1, 2)]
     own, other = ((g["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["data"]]) for g in sides)
     if not len(sides[1]):
@@ -305,7 +307,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     by its own text; other columns are ignored; an empty table gives no rows. No link between different sets is lost.
     """
     rows = ids_and_texts(docs, id_col, text_col)
-    least = _class_components(rows, words, percent)
+    least = finished(lambda: _class_components(rows, words, percent))
     least = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes"), F.max("copies").alias("most")), "component")
     # of all others, the component is the row's own id
     least = stored(least.where((F.col("classes") > 1) | (F.col("most") > 1)).select("class", "component_id"))
@@ -352,14 +354,14 @@ def _class_components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     # copies of a set have the same first shingles
     classes = described.groupBy("class").agg(lowest, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("signs").alias("signs"))
     classes = stored(classes.select("class", F.monotonically_increasing_id().alias("cid"), "lowest.*", "copies", "n", "first", "signs"))
-    postings = _postings(rows, classes, keys, words, percent)
-    coarse = components(_coarse_links(postings, classes.select("cid", "n", "signs"), percent))
+    postings = finished(lambda: _postings(rows, classes, keys, words, percent))
+    coarse = finished(lambda: components(_coarse_links(postings, classes.select("cid", "n", "signs"), percent)))
     wanted = stored(classes.join(coarse, classes["cid"] == coarse["node"]).select(*keys, "class", "cid", F.col("component").alias("key")))
     sets = _sets(rows, wanted, words)
     none = rows.sparkSession.createDataFrame([], "a long, b long")
-    found = components(_linked(sets, none, lambda n, a, m, b: similar_pairs(a, b, percent), SETS))
+    found = finished(lambda: components(_linked(sets, none, lambda n, a, m, b: similar_pairs(a, b, percent), SETS)))
     least = classes.select("class", "cid", "unnamed", *keys, "copies").join(found.withColumnRenamed("node", "cid"), "cid", "left")
-    return stored(least.withColumn("component", F.coalesce("component", "cid")))
+    return least.withColumn("component", F.coalesce("component", "cid"))
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -419,7 +421,7 @@ def _postings(rows: DataFrame, classes: DataFrame, keys: list[str], words: int,
     more = stored(_sets(rows, short, words).mapInPandas(pick_whole, "token long, cid long, n long"))
     # a token that one class alone has is of no use; those of the short classes have not been counted
     shared = counts.select("token").unionByName(more.select("token")).distinct()
-    return stored(picked.where("not short").select("token", "cid", "n").join(shared, "token").unionByName(more))
+    return picked.where("not short").select("token", "cid", "n").join(shared, "token").unionByName(more)
 
 
 def _differ(a: Column, b: Column) -> Column:
@@ -483,7 +485,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     digest = lambda text: F.unhex(F.sha2(text, 256))
     rows = ids_and_texts(docs).withColumn("digest", digest(F.col("text")))
-    least = _class_components(rows, words, percent)
+    least = finished(lambda: _class_components(rows, words, percent))
     kept = least.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "digest")).alias("row")).select("row.*")
     wordless = ~F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # one shuffle of the texts: by id and digest, for the look-up and for repeated rows alike

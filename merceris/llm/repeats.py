@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_key_set, key_set, stored
+from .common import finished, in_key_set, key_set, stored
 from .suffixes import neighbours
 
 #: Window starts that are hashed together; longer texts are cut there, which only makes their border runs distinct.
@@ -212,7 +212,7 @@ def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) ->
             yield pd.DataFrame(out, columns=names)
 
     contents = keyed.select("key", "text").join(listed, "key").select("text", "wanted").mapInPandas(cut, "anchor long, mark long, copies int, windows int, content binary")
-    verdicts = stored(_verdicts(stored(contents.dropDuplicates(["anchor", "mark"])), span, ANCHORS[1:], many_runs))
+    verdicts = finished(lambda: _verdicts(stored(contents.dropDuplicates(["anchor", "mark"])), span, ANCHORS[1:], many_runs))
     cover = live.where("open").join(verdicts, ["anchor", "mark"]).select("key", "start", "windows", "bits").unionByName(live.where("not open").select("key", "start", "windows", F.lit(None).cast("binary").alias("bits")))
     return cover.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "bits")).alias("cover"))
 
@@ -231,7 +231,7 @@ def remove_repeats(docs: DataFrame, span: int = 200, id_col: str = "doc_id", tex
     is empty; repeated rows repeat each other; other columns are ignored; an empty table gives no rows.
     """
     keyed = _keyed(docs, id_col, text_col)
-    cover = stored(repeated_windows(keyed, span, many_runs))
+    cover = finished(lambda: repeated_windows(keyed, span, many_runs))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +256,7 @@ def without_repeats(docs: DataFrame, span: int = 200, text_col: str = "text", si
     A cut inside a character drops that character's other bytes too, so the text stays valid UTF-8.
     """
     keyed = _keyed(docs, text_col, text_col)
-    cover = stored(repeated_windows(keyed, span).withColumnRenamed("key", "__key").withColumnRenamed("cover", "__cover"))
+    cover = finished(lambda: repeated_windows(keyed, span).withColumnRenamed("key", "__key").withColumnRenamed("cover", "__cover"))
     rows = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).join(cover, "__key", "left").select(*docs.columns, "__cover")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
