@@ -24,10 +24,10 @@ from .suffixes import neighbours
 
 #: Window starts that are hashed together; longer texts are cut there, which only makes their border runs distinct.
 CHUNK = 1 << 20
-#: Bytes of one shard; and distinct runs of one anchor that a shard may hold: up to about 1.3 MB of text. The runs of an
+#: Bytes of one shard; and distinct runs of one anchor that a shard may hold: up to about 4 MB of text, 200 MB to sort. The runs of an
 #: anchor with more are cut into shorter ones by anchors of so many parts of a hundred of the window, the last the whole.
 SHARD_BYTES = 500_000
-MANY_RUNS = 4_000
+MANY_RUNS = 12_000
 ANCHORS = (36, 75, 100)
 
 _random = np.random.default_rng(23)
