@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, finished, ids_and_texts, stored
+from .common import SLICE_BYTES, finished, ids_and_texts, in_key_set, key_set, stored
 from .components import components
 
 #: Shingles in more first parts than this are put last, the most frequent ones of the corpus if they are very many.
@@ -330,6 +330,11 @@ def _name(own: np.ndarray) -> bytes | None:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
 
+def _mark(own: np.ndarray) -> int:
+    """A long of which a bounded set can be kept; it alone proves nothing."""
+    return int(own[0] ^ own[-1] ^ np.uint64(len(own))) - 2**63 if len(own) else 0
+
+
 def _class_components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(class, cid, unnamed, doc_id, ..., copies, component) of every class: a distinct set of shingles.
 
@@ -345,18 +350,18 @@ def _class_components(rows: DataFrame, words: int, percent: int) -> DataFrame:
             for own in sets:
                 size = _first_size(len(own), percent)
                 # some more, as frequent shingles will be put last
-                out.append((len(own), _name(own), own[: size + size // 8 + 8].view(np.int64), signature(own).view(np.int64)))
-            found = pd.DataFrame(out, columns=["n", "class", "first", "signs"])
+                out.append((len(own), _name(own), _mark(own), own[: size + size // 8 + 8].view(np.int64), signature(own).view(np.int64)))
+            found = pd.DataFrame(out, columns=["n", "class", "mark", "first", "signs"])
             yield batch[keys].reset_index(drop=True).join(found).astype({"doc_id": "Int64"})[found["n"].to_numpy() > 0]
 
-    described = rows.mapInPandas(describe, ", ".join(f"{c} {types[c]}" for c in keys) + ", n long, class binary, first array<long>, signs array<long>")
+    described = rows.mapInPandas(describe, ", ".join(f"{c} {types[c]}" for c in keys) + ", n long, class binary, mark long, first array<long>, signs array<long>")
     lowest = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), *keys)).alias("lowest")
     # copies of a set have the same first shingles
-    classes = described.groupBy("class").agg(lowest, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("signs").alias("signs"))
-    classes = stored(classes.select("class", F.monotonically_increasing_id().alias("cid"), "lowest.*", "copies", "n", "first", "signs"))
-    postings = finished(lambda: _postings(rows, classes, keys, words, percent))
+    classes = described.groupBy("class").agg(lowest, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "mark", "first", "signs")])
+    classes = stored(classes.select("class", "mark", F.monotonically_increasing_id().alias("cid"), "lowest.*", "copies", "n", "first", "signs"))
+    postings = finished(lambda: _postings(rows, classes, words, percent))
     coarse = finished(lambda: components(_coarse_links(postings, classes.select("cid", "n", "signs"), percent)))
-    wanted = stored(classes.join(coarse, classes["cid"] == coarse["node"]).select(*keys, "class", "cid", F.col("component").alias("key")))
+    wanted = stored(classes.join(coarse, classes["cid"] == coarse["node"]).select("class", "mark", "cid", F.col("component").alias("key")))
     sets = _sets(rows, wanted, words)
     none = rows.sparkSession.createDataFrame([], "a long, b long")
     found = finished(lambda: components(_linked(sets, none, lambda n, a, m, b: similar_pairs(a, b, percent), SETS)))
@@ -381,7 +386,7 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], place[order]
 
 
-def _postings(rows: DataFrame, classes: DataFrame, keys: list[str], words: int, percent: int) -> DataFrame:
+def _postings(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """(token, cid, n): the first shingles of each class that another class has among its own."""
     counts = stored(classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
     often = rows.sparkSession.sparkContext.broadcast(_frequent(counts))  # 16 bytes for each of MOST_FREQUENT at most
@@ -405,7 +410,7 @@ def _postings(rows: DataFrame, classes: DataFrame, keys: list[str], words: int,
 
     schema = "token long, cid long, n long, short boolean"
     picked = classes.select("cid", "n", "first").mapInPandas(pick, schema)
-    short = stored(classes.join(picked.where("short").select("cid"), "cid").select(*keys, "class", "cid", F.lit(0).cast("long").alias("key")))
+    short = stored(classes.join(picked.where("short").select("cid"), "cid").select("class", "mark", "cid", F.lit(0).cast("long").alias("key")))
 
     def pick_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, place = often.value
@@ -460,21 +465,35 @@ def _coarse_links(postings: DataFrame, signs: DataFrame, percent: int) -> DataFr
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(key, home, cid, n, data): the set of each wanted class (keys, class, cid, key), from the text of one document each."""
+    """(key, home, cid, n, data): the set of each wanted class (class, mark, cid, key).
+
+    Texts never move: each task takes their sets anew, and of those only the ones whose mark is among the wanted go on.
+    """
+    if wanted.isEmpty():
+        return rows.sparkSession.createDataFrame([], "key long, home boolean, cid long, n long, data binary")
+    marks = rows.sparkSession.sparkContext.broadcast(key_set(wanted, "mark"))  # of a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, sets in _batches(batches, words):
-            out = []
-            for key, cid, want, own in zip(batch["key"], batch["cid"], batch["class"], sets, strict=True):
-                # rows that share an id can have other sets
-                if _name(own) == bytes(want):
-                    out.append((key, True, cid, len(own), own.tobytes()))
-            yield pd.DataFrame(out, columns=["key", "home", "cid", "n", "data"])
-
-    keys = [c for c in wanted.columns if c not in ("class", "cid", "key")]
-    named = wanted.select("class", "cid", "key", *[F.col(c).alias(f"want_{c}") for c in keys])
-    one = rows.join(named, [F.col(c).eqNullSafe(F.col(f"want_{c}")) for c in keys]).select("text", "class", "cid", "key")
-    return stored(one.mapInPandas(run, "key long, home boolean, cid long, n long, data binary").dropDuplicates(["cid"]))
+        seen: set[bytes] = set()  # copies within a task; it is emptied before it grows large
+        for _, sets in _batches(batches, words):
+            out, size = [], 0
+            for own in sets:
+                if len(own) and in_key_set(marks.value, np.array([_mark(own)]))[0]:
+                    name = _name(own)
+                    if name in seen:
+                        continue
+                    seen.add(name)
+                    out.append((name, len(own), own.tobytes()))
+                    size += len(own) * 8
+                if size > 4_000_000:
+                    yield pd.DataFrame(out, columns=["class", "n", "data"])
+                    out, size = [], 0
+            yield pd.DataFrame(out, columns=["class", "n", "data"])
+            if len(seen) > 100_000:
+                seen.clear()
+
+    found = rows.select("text").mapInPandas(run, "class binary, n long, data binary")
+    return stored(found.join(wanted.drop("mark"), "class").select("key", F.lit(True).alias("home"), "cid", "n", "data").dropDuplicates(["cid"]))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
