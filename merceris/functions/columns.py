@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def cents(amount: Column) -> Column:
-    """Whole cents of a decimal amount."""
-    return (amount * 100).cast("long")
+    """Whole cents of an amount, rounded: doubles of raw files lie a little beside their cents."""
+    return F.round(amount * 100).cast("long")
 
 
 def money(whole_cents: Column) -> Column:

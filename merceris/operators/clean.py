@@ -49,7 +49,7 @@ def keep_values(df: DataFrame, column: str, allowed: Iterable[str]) -> DataFrame
 
 def split_orphans(facts: DataFrame, parents: DataFrame, key: str, small: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows whose parent exists, the others); a null key is an orphan. ``small`` is for parents of a known small size."""
-    known = parents.select(key).where(F.col(key).isNotNull()).distinct()
+    known = parents.select(key).where(F.col(key).isNotNull())  # semi and anti joins don't mind repeated keys
     known = F.broadcast(known) if small else known
     return facts.join(known, key, "left_semi"), facts.join(known, key, "left_anti")
 

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 
 def session_summary(events: DataFrame) -> DataFrame:
-    """One row for each session and set of attributes seen in it, with numbers of the whole session."""
-    named = events.where(F.col("session_id").isNotNull())
-    whole = named.groupBy("session_id").agg(
+    """One row for each session and set of attributes seen in it, with numbers of the whole session.
+
+    Events without a session are one session. As that one can be large, its numbers are one row that all its rows get.
+    """
+    attributes = ["session_id", "customer_id", "device", "traffic_source"]
+    numbers = {"event_count": F.sum, "session_start": F.min, "session_end": F.max, "converted": F.max}
+    parts = events.groupBy(*attributes).agg(
         F.count("*").alias("event_count"),
         F.min("event_timestamp").alias("session_start"),
         F.max("event_timestamp").alias("session_end"),
-        F.max((F.col("event_type") == "purchase").cast("int")).alias("converted"),
-        F.collect_set(F.struct("customer_id", "device", "traffic_source")).alias("seen"),
-    )
-    return whole.select("session_id", F.explode("seen").alias("s"), "event_count", "session_start", "session_end", F.coalesce("converted", F.lit(0)).alias("converted")).select(
-        "session_id", "s.customer_id", "s.device", "s.traffic_source", "event_count", "session_start", "session_end", "converted",
-        (F.unix_timestamp("session_end") - F.unix_timestamp("session_start")).alias("duration_seconds"),
+        F.coalesce(F.max((F.col("event_type") == "purchase").cast("int")), F.lit(0)).alias("converted"),
     )
+    one = Window.partitionBy("session_id")
+    named = parts.where(F.col("session_id").isNotNull()).select(*attributes, *[f(c).over(one).alias(c) for c, f in numbers.items()])
+    others = parts.where(F.col("session_id").isNull())
+    whole = others.agg(*[f(c).alias(c) for c, f in numbers.items()])
+    others = others.select(*attributes).crossJoin(F.broadcast(whole))  # one row
+    return named.unionByName(others).withColumn("duration_seconds", F.unix_timestamp("session_end") - F.unix_timestamp("session_start"))
 
 
 def top_viewed(events: DataFrame, top: int = 5) -> DataFrame:

@@ -234,7 +234,7 @@ def _dq_sql(check: str) -> str:
 
 
 for _id in _DQ:
-    _add(_id, lambda g, i=_id: quality.results(_dirty(g)).where(F.col("check_id") == i).select("check_id", "total", "failed"), _dq_sql(_id))
+    _add(_id, lambda g, i=_id: quality.results(_dirty(g), only=[i]).select("check_id", "total", "failed"), _dq_sql(_id))
 _ALL = " union all ".join(_dq_sql(c) for c in _DQ)
 _META = "(values " + ",".join(f"('{c}','{d}','{m}',{str(k).lower()})" for c, d, _, m, k in quality.CHECKS) + ") m(check_id, dataset, dimension, critical)"
 _RATED = f"(select r.*, dataset, dimension, critical, case when total=0 then 1.0 else round((total-failed)::double/total,4) end pass_rate from ({_ALL}) r join {_META} using (check_id))"
@@ -261,13 +261,13 @@ _add("C04", lambda g: g.web_stats(), "select customer_id, website_sessions, webs
 _add("C05", lambda g: g.ticket_stats(), "select customer_id, support_tickets, resolved_tickets, average_resolution_time from c_tickets")
 _add("C06", lambda g: g.campaign_stats(), "select customer_id, campaign_interactions from c_touches")
 _add("C07", lambda g: _plain(g.base_profile), f"select * replace ({_CASTS}) from base")
-_add("C08", lambda g: g.base_profile.select("customer_id", "age"), "select customer_id, cast(age as bigint) age from base")
-_add("C09", lambda g: g.base_profile.select("customer_id", "purchase_frequency"), "select customer_id, purchase_frequency from base")
+_add("C08", lambda g: g.people.select("customer_id", "age"), "select customer_id, cast(age as bigint) age from base")
+_add("C09", lambda g: g.buying.select("customer_id", "purchase_frequency"), "select customer_id, purchase_frequency from base")
 _R = "customer_id, recency_days, frequency, spend, cast(r_score as bigint) r_score, cast(f_score as bigint) f_score, cast(m_score as bigint) m_score, rfm_score, cast(rfm_sum as bigint) rfm_sum"
 _add("R01", lambda g: _plain(g.rfm.where("frequency > 0").drop("customer_segment", "registration_date")), f"select {_R} from g_rfm where frequency>0")
 _add("R02", lambda g: _plain(g.rfm.where("frequency = 0").drop("customer_segment", "registration_date")), f"select {_R} from g_rfm where frequency=0")
 _add("R03", lambda g: g.rfm.select("customer_id", "customer_segment"), "select customer_id, customer_segment from g_rfm")
-_add("R04", lambda g: g.profile.select("customer_id", "rfm_score", "customer_segment"), "select customer_id, rfm_score, customer_segment from g_profile")
+_add("R04", lambda g: g.buying_profile.select("customer_id", "rfm_score", "customer_segment"), "select customer_id, rfm_score, customer_segment from g_profile")
 _add("T01", lambda g: g.customer_months().select("customer_id", _M("month")), "select customer_id, cast(m as varchar) as month from cm")
 _add("T02", lambda g: g.first_months().select("customer_id", _M("cohort_month")), "select customer_id, cast(f as varchar) cohort_month from fm")
 _add("T03", lambda g: g.spine().select(_M("metric_month")), "select cast(m as varchar) metric_month from spine")

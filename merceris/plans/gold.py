@@ -40,6 +40,10 @@ def segment_of(frequency: Column, registered: Column, as_of: Column, r: Column,
     return out
 
 
+def _zero(name: str) -> Column:
+    return F.coalesce(name, F.lit(0)).alias(name)
+
+
 class Gold:
     """Gold DataFrames over the logical datasets at an explicit date."""
 
@@ -92,24 +96,30 @@ class Gold:
         return self.tables.campaign_interactions().groupBy("customer_id").agg(F.count("*").alias("campaign_interactions"))
 
     @cached_property
-    def base_profile(self) -> DataFrame:
-        df = with_full_name(self.tables.customers())
-        for part in (self.order_stats(), self.favourite_product(), self.favourite_category(), self.web_stats(), self.ticket_stats(), self.campaign_stats()):
-            df = df.join(part, "customer_id", "left")
-        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-        months = F.greatest(months_between_whole(self.as_of, F.col("first_purchase_date")), F.lit(1))
+    def people(self) -> DataFrame:
+        """What the profile takes from the customers alone."""
         place = F.nullif(F.trim(F.concat_ws(", ", "city", "province")), F.lit(""))
-        return df.select(
-            "customer_id", F.col("full_name").alias("customer_name"),
-            F.call_function("div", months_between_whole(self.as_of, F.col("date_of_birth")), F.lit(12)).cast("long").alias("age"),
-            "gender", place.alias("location"), "province", "registration_date",
-            *map(zero, ("total_orders", "completed_orders", "cancelled_orders", "spend")),
+        age = F.call_function("div", months_between_whole(self.as_of, F.col("date_of_birth")), F.lit(12)).cast("long")
+        return with_full_name(self.tables.customers()).select("customer_id", F.col("full_name").alias("customer_name"), age.alias("age"), "gender", place.alias("location"), "province", "registration_date")
+
+    @cached_property
+    def buying(self) -> DataFrame:
+        """The part of the profile that needs customers and orders only; Catalyst can't drop the other joins by itself."""
+        months = F.greatest(months_between_whole(self.as_of, F.col("first_purchase_date")), F.lit(1))
+        return self.people.join(self.order_stats(), "customer_id", "left").select(
+            *self.people.columns, *map(_zero, ("total_orders", "completed_orders", "cancelled_orders", "spend")),
             F.coalesce(half_up(F.col("spend"), F.col("completed_orders") * 100, 2), F.lit(0.0)).alias("average_order_value"),
             "first_purchase_date", "last_purchase_date", F.datediff(self.as_of, "last_purchase_date").cast("long").alias("days_since_last_purchase"),
             F.coalesce(half_up(F.col("completed_orders"), months, 4), F.lit(0.0)).alias("purchase_frequency"),
-            "favorite_category", "favorite_product", *map(zero, ("website_sessions", "website_events", "support_tickets", "resolved_tickets")), "average_resolution_time", zero("campaign_interactions"),
         )
 
+    @cached_property
+    def base_profile(self) -> DataFrame:
+        df = self.buying
+        for part in (self.favourite_product(), self.favourite_category(), self.web_stats(), self.ticket_stats(), self.campaign_stats()):
+            df = df.join(part, "customer_id", "left")
+        return df.select(*self.buying.columns, "favorite_category", "favorite_product", *map(_zero, ("website_sessions", "website_events", "support_tickets", "resolved_tickets")), "average_resolution_time", _zero("campaign_interactions"))
+
     @cached_property
     def rfm(self) -> DataFrame:
         """Scores of buyers by three distributed NTILE(5), and 1/1/1 for those who never bought."""
@@ -127,6 +137,11 @@ class Gold:
         every = every.withColumn("rfm_score", F.concat(*[s.cast("string") for s in scores])).withColumn("rfm_sum", scores[0] + scores[1] + scores[2])
         return every.withColumn("customer_segment", segment_of(F.col("frequency"), F.col("registration_date"), self.as_of, *scores))
 
+    @cached_property
+    def buying_profile(self) -> DataFrame:
+        """``profile`` without the columns that lines, events, tickets and campaigns give."""
+        return self.buying.join(self.rfm.select("customer_id", "rfm_score", "customer_segment"), "customer_id", "left")
+
     @cached_property
     def profile(self) -> DataFrame:
         return self.base_profile.join(self.rfm.select("customer_id", "rfm_score", "customer_segment"), "customer_id", "left")
@@ -187,7 +202,7 @@ class Gold:
 
     @cached_property
     def clv(self) -> DataFrame:
-        df = self.base_profile.select("customer_id", "spend", "average_order_value", "purchase_frequency").join(F.broadcast(self.lifespan()))  # one row
+        df = self.buying.select("customer_id", "spend", "average_order_value", "purchase_frequency").join(F.broadcast(self.lifespan()))  # one row
         worth = F.round(F.col("average_order_value") * 100).cast("decimal(38,0)") * F.round(F.col("purchase_frequency") * 10000).cast("long") * F.col("top")
         return df.select("customer_id", money(F.col("spend")).alias("historical_clv"), "average_order_value", "purchase_frequency", half_up(F.col("top"), F.col("bottom"), 2).alias("estimated_lifespan_months"), half_up(worth, F.col("bottom") * 1000000, 2).alias("estimated_clv"))
 

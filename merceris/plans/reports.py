@@ -23,7 +23,7 @@ def _with_total(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def top_customers(g: Gold, limit: int = 10) -> DataFrame:
-    best = g.profile.orderBy(F.desc("spend"), "customer_id").limit(limit)
+    best = g.buying_profile.orderBy(F.desc("spend"), "customer_id").limit(limit)
     return best.select("customer_id", "customer_name", "customer_segment", "total_orders", money(F.col("spend")).alias("revenue"))
 
 
@@ -33,7 +33,7 @@ def top_products(g: Gold, limit: int = 10) -> DataFrame:
 
 
 def by_segment(g: Gold) -> DataFrame:
-    found = g.profile.groupBy("customer_segment").agg(F.count("*").alias("customer_count"), F.sum("spend").alias("s"))
+    found = g.buying_profile.groupBy("customer_segment").agg(F.count("*").alias("customer_count"), F.sum("spend").alias("s"))
     return found.select("customer_segment", "customer_count", money(F.col("s")).alias("total_revenue"), half_up(F.col("s"), F.col("customer_count") * 100, 2).alias("avg_revenue_per_customer"))
 
 
@@ -53,7 +53,7 @@ def retention_trend(g: Gold, months: int = 12) -> DataFrame:
 
 def lost_customers(g: Gold) -> DataFrame:
     reason = F.when(F.col("total_orders") == 0, "Never purchased").when(F.col("days_since_last_purchase") > 365, "Inactive > 1 year").otherwise("Inactive 90-365 days")
-    lost = g.profile.where(F.col("customer_segment") == "Lost Customers")
+    lost = g.buying_profile.where(F.col("customer_segment") == "Lost Customers")
     return lost.select("customer_id", "customer_name", "total_orders", money(F.col("spend")).alias("total_spend"), text(F.col("last_purchase_date")).alias("last_purchase_date"), "days_since_last_purchase", reason.alias("churn_reason"))
 
 
