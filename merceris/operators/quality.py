@@ -115,6 +115,11 @@ def gate(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("checks"), bad.alias("critical_failures"), F.when(bad == 0, "PASS").otherwise("FAIL").alias("overall"))
 
 
+def summary(found: DataFrame) -> DataFrame:
+    """The status of each check beside that of the batch."""
+    return found.select("check_id", "status").join(F.broadcast(gate(found).select("overall")))  # one row
+
+
 def by_dimension(found: DataFrame) -> DataFrame:
     return found.groupBy("dimension").agg(F.count("*").alias("checks"), F.count_if(F.col("status") == "PASS").alias("passed"), F.sum("failed").alias("failed_records"))
 

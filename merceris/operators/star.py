@@ -16,6 +16,11 @@ UNKNOWN = "Unknown"
 
 def dim_date(spark: SparkSession, first: str = "2019-01-01", last: str = "2027-12-31") -> DataFrame:
     days = spark.sql(f"select explode(sequence(date'{first}', date'{last}', interval 1 day)) as full_date")
+    return date_columns(days)
+
+
+def date_columns(days: DataFrame) -> DataFrame:
+    """The date dimension's columns of each ``full_date``."""
     d = F.col("full_date")
     return days.select(
         date_key(d).alias("date_key"), d, F.year(d).alias("year"), F.quarter(d).alias("quarter"), F.month(d).alias("month"), F.date_format(d, "MMMM").alias("month_name"),
@@ -59,13 +64,15 @@ def dim_campaign(campaigns: DataFrame) -> DataFrame:
 def lookup(facts: DataFrame, dimension: DataFrame, natural: str, key: str, required: bool = False) -> DataFrame:
     """``facts`` with the surrogate ``key``; rows without one are dropped if it is required.
 
-    Rows with a null natural key are not joined, so they stay in their tasks in place of meeting in one.
+    Rows with a null natural key are spread by a hash of the whole row, so they don't meet in one task.
     """
     keys = dimension.select(natural, key)
     if required:
         return facts.join(keys, natural)
-    found = facts.where(F.col(natural).isNotNull()).join(keys, natural, "left")
-    return found.unionByName(facts.where(F.col(natural).isNull()).withColumn(key, F.lit(None).cast(dict(keys.dtypes)[key])))
+    spread = facts.withColumn("__salt", F.when(F.col(natural).isNull(), F.xxhash64(*facts.columns)).otherwise(0))
+    # always 0, but not a literal, which would be taken out of the join's keys
+    keys = keys.withColumn("__salt", F.pmod(F.xxhash64(natural), F.lit(1)))
+    return spread.join(keys, [natural, "__salt"], "left").drop("__salt")
 
 
 def with_line_amount(items: DataFrame) -> DataFrame:

@@ -112,6 +112,51 @@ def _replaced(g: Gold) -> DataFrame:
     return g.tables.spark.read.parquet(path).groupBy(F.col("batch_date").cast("string").alias("batch_date")).agg(F.count("*").alias("rows"))
 
 
+def _replaced_by_status(g: Gold) -> DataFrame:
+    """Batches are order statuses; a second load brings the completed orders only, with other amounts, and replaces just that batch."""
+    path = scratch(g.tables.spark)
+    rows = _orders(g).select("order_id", F.col("total_amount").cast("double").alias("total_amount"), F.col("order_status").alias("batch"))
+    io.replace_batches(rows, path, "batch")
+    io.replace_batches(rows.where("batch = 'completed'").withColumn("total_amount", F.lit(0.0)), path, "batch")
+    return g.tables.spark.read.parquet(path).groupBy("batch").agg(F.count("*").alias("rows"), F.count_if(F.col("total_amount") == 0).alias("zeros"))
+
+
+def _status_batch(g: Gold, status: str) -> DataFrame:
+    root = scratch(g.tables.spark)
+    io.write_processed(_orders(g), io.folder(root, "processed", "orders"), ("order_status",))
+    return g.tables.spark.read.parquet(io.folder(root, "processed", "orders")).where(F.col("order_status") == status)
+
+
+def _kept_results(g: Gold) -> DataFrame:
+    """Results of two batches are stored; the second load of the later batch replaces it."""
+    path = scratch(g.tables.spark)
+    found = quality.results(_dirty(g)).select("check_id", F.when(F.col("total") > 0, F.col("pass_rate")).alias("pass_rate"))
+    found = _stored(g, found)
+    for batch in ("2024-01-31", BATCH, BATCH):
+        io.replace_batches(found.withColumn("batch_date", F.lit(batch)), path)
+    kept = g.tables.spark.read.parquet(path).withColumn("batch_date", F.col("batch_date").cast("string"))
+    return kept.where(F.col("batch_date") == BATCH).select("check_id", "batch_date", "pass_rate")
+
+
+def _stored(g: Gold, df: DataFrame) -> DataFrame:
+    path = scratch(g.tables.spark)
+    df.write.parquet(path)
+    return g.tables.spark.read.parquet(path)
+
+
+def _star(g: Gold) -> dict[str, DataFrame]:
+    t = g.tables
+    built = star.build_star({"customers": t.customers(), "products": t.products(), "orders": t.orders(), "order_items": t.order_items(), "website_events": t.website_events()}, lambda df: _stored(g, df))
+    return {n: df for n, df in built.items() if n != "dim_location"}
+
+
+def _calendar(g: Gold) -> DataFrame:
+    """Each day from the first to the last order with its orders."""
+    days = _orders(g).groupBy(F.col("order_date").cast("date").alias("full_date")).agg(F.count("*").alias("orders"))
+    ends = days.agg(F.min("full_date").alias("a"), F.max("full_date").alias("z"))
+    return star.date_columns(ends.select(F.explode(F.sequence("a", "z", F.expr("interval 1 day"))).alias("full_date"))).join(days, "full_date", "left").na.fill(0, ["orders"])
+
+
 def _year_events(g: Gold) -> DataFrame:
     path = scratch(g.tables.spark)
     io.write_events(g.tables.website_events(), path)
@@ -142,8 +187,12 @@ _add("SRC7", lambda g: io.source_status(_dirty(g)), "select * from (values " + "
 _add("SNK1", lambda g: _plain(_once(g, g.tables.customers())), _shape("customers", "d_customers"))
 _add("SNK2", lambda g: _plain(_once(g, _orders(g))), _shape("orders", "d_orders"))
 _add("SNK3", _replaced, "select '2024-02-01' batch_date, count(*) filter (order_id<'ORD00000100') as rows from d_orders union all select '2024-02-02', count(*) from d_orders")
+_add("SNK3_status", _replaced_by_status, "select order_status batch, count(*) as rows, count(*) filter (order_status='completed' or total_amount=0) zeros from d_orders group by 1")
+_add("SRC3_status", lambda g: _plain(_status_batch(g, "completed")), _shape("orders", "d_orders") + " where order_status='completed'")
+_add("SRC6_status", lambda g: _status_batch(g, "pending").groupBy("payment_method").agg(F.count("*").alias("rows")), "select payment_method, count(*) as rows from d_orders where order_status='pending' group by 1")
 _add("SNK4", lambda g: _plain(_year_events(g)), "select cast(2024 as bigint) event_year, event_type, count(*) as rows from d_events where year(event_timestamp)=2024 group by 2")
 _add("SNK5", lambda g: _plain(io.insert_absent(g.tables.products().where(F.col("product_id") < "PROD00000100"), g.tables.products(), "product_id")), _shape("products", "d_products"))
+_add("SNK5_category", lambda g: _plain(io.insert_absent(g.tables.products().where("category = 'SMALL'").withColumn("brand", F.lit("old")), g.tables.products(), "product_id")), _shape("products", "(select * replace (case when category='SMALL' then 'old' else brand end as brand) from d_products)"))
 _add("SNK6", lambda g: io.update_from(g.tables.customers().select("customer_id", F.lit("none").alias("customer_segment")), g.rfm.select("customer_id", "customer_segment"), "customer_id", ["customer_segment"]), "select customer_id, customer_segment from g_rfm")
 _add("SNK7", lambda g: quality.report(quality.results(_dirty(g))))
 _CASTS = "cast(age as bigint) as age, cast(registration_date as varchar) as registration_date, cast(first_purchase_date as varchar) as first_purchase_date, cast(last_purchase_date as varchar) as last_purchase_date"
@@ -182,6 +231,13 @@ _PIPES = {"PIP1": "customers", "PIP2": "products", "PIP3": "orders", "PIP4": "or
 for _id, _name in _PIPES.items():
     _add(_id, lambda g, n=_name: _plain(_clean(g)[n]), _shape(_name, CLEAN[_name]).replace("customer_status from", "customer_status, is_valid_email from"))
 _add("PIP10", lambda g: clean.row_counts({n: _clean(g)[n] for n in _PIPES.values()}), " union all ".join(f"select '{n}' dataset, count(*) as rows from {CLEAN[n]}" for n in _PIPES.values()))
+_add(
+    "PIP10_all",
+    lambda g: clean.row_counts({n: df if n.startswith(("session", "top")) else _plain(df) for n, df in _clean(g).items()}),
+    " union all ".join(f"select '{n}' dataset, count(*) as rows from {CLEAN[n]}" for n in _PIPES.values())
+    + " union all select 'session_summary', count(*) from (select distinct session_id, customer_id, device, traffic_source from k_events)"
+    + " union all select 'top_products_daily', count(*) from (select rank() over (partition by event_timestamp::date order by count(*) desc) r from k_events where event_type='product_view' and product_id is not null group by event_timestamp::date, product_id) where r<=5",
+)
 
 # star schema
 
@@ -196,6 +252,12 @@ _add(
     """select cast(strftime(d,'%Y%m%d') as bigint) date_key, cast(d as varchar) full_date, year(d) as year, quarter(d) as quarter, month(d) as month, monthname(d) month_name, day(d) as day, dayofweek(d) day_of_week, dayname(d) day_name, weekofyear(d) as week, dayofweek(d) in (0,6) is_weekend
     from (select unnest(generate_series(date '2019-01-01', date '2027-12-31', interval 1 day))::date as d) where (select count(*) from d_orders)>0""",
 )
+_add(
+    "DIM1_days",
+    lambda g: _plain(_calendar(g)),
+    """select cast(strftime(d,'%Y%m%d') as bigint) date_key, cast(d as varchar) full_date, year(d) as year, quarter(d) as quarter, month(d) as month, monthname(d) month_name, day(d) as day, dayofweek(d) day_of_week, dayname(d) day_name, weekofyear(d) as week, dayofweek(d) in (0,6) is_weekend, coalesce(n,0) orders
+    from (select unnest(generate_series((select min(order_date)::date from d_orders), (select max(order_date)::date from d_orders), interval 1 day))::date as d) left join (select order_date::date x, count(*) n from d_orders group by 1) on x=d""",
+)
 _add("DIM2", lambda g: _S.dim_location(_C(g)), "select city, province, country, location_key from w_places")
 _add("DIM3", lambda g: _S.dim_device(g.tables.spark).join(g.tables.website_events().groupBy(F.coalesce("device", F.lit("Unknown")).alias("device_name")).agg(F.count("*").alias("events")), "device_name", "left"), "select cast(device_key as bigint) device_key, device_name, events from w_devices left join (select coalesce(device,'Unknown') device_name, count(*) events from d_events group by 1) using (device_name)")
 _add("DIM4", lambda g: _plain(_S.dim_customer(_C(g), _S.dim_location(_C(g)))), f"select customer_key, customer_id, first_name||' '||last_name full_name, email, gender, {_T('date_of_birth')}, location_key, {_T('registration_date')}, customer_status from w_customers join w_places using (city, province, country)")
@@ -209,9 +271,8 @@ _CK = lambda g: ranking.dense_key(_C(g), "customer_id", "customer_key")  # noqa:
 _add("FCT4", lambda g: _plain(_S.fact_tickets(g.tables.customer_support(), _CK(g))), f"select ticket_id, customer_key, cast(strftime(created_at,'%Y%m%d') as bigint) date_key, issue_type, priority, status, {_D('resolution_time')} from d_tickets left join w_customers using (customer_id)")
 _add("FCT5", lambda g: _plain(_S.fact_interactions(g.tables.campaign_interactions(), _S.dim_campaign(g.tables.marketing_campaigns()), _CK(g))), "select interaction_id, campaign_key, customer_key, interaction_type, cast(strftime(interaction_timestamp,'%Y%m%d') as bigint) date_key from d_touches left join w_campaigns using (campaign_id) left join w_customers using (customer_id)")
 _add("FCT6", lambda g: _plain(_S.fact_events(g.tables.website_events(), _CK(g), ranking.dense_key(_P(g), "product_id", "product_key"), _S.dim_device(g.tables.spark))), f"select event_id, customer_key, product_key, cast(device_key as bigint) device_key, session_id, event_type, traffic_source, {_U('event_timestamp')}, year(event_timestamp) event_year from d_events left join w_customers using (customer_id) left join w_products using (product_id) left join w_devices on device_name=coalesce(device,'Unknown')")
-_STAR = lambda g: {"dim_customer": _C(g), "dim_product": _P(g), "fact_orders": _O(g), "fact_order_items": g.tables.order_items(), "fact_website_events": g.tables.website_events()}
-_add("WHS1", lambda g: clean.row_counts(_STAR(g)), " union all ".join(f"select '{n}' dataset, count(*) as rows from {s}" for n, s in (("dim_customer", "d_customers"), ("dim_product", "d_products"), ("fact_orders", "d_orders"), ("fact_order_items", "d_items"), ("fact_website_events", "d_events"))))
-_add("WHS2", lambda g: _S.load_checks(_STAR(g), {"fact_orders": "customer_id"}), " union all ".join(f"select '{n}' table_name, count(*) as rows, {k} null_keys, true as ok from {s}" for n, s, k in (("dim_customer", "d_customers", "0"), ("dim_product", "d_products", "0"), ("fact_orders", "d_orders", "count(*) filter (customer_id is null)"), ("fact_order_items", "d_items", "0"), ("fact_website_events", "d_events", "0"))))
+_add("WHS1", lambda g: clean.row_counts(_star(g)), " union all ".join(f"select '{n}' dataset, count(*) as rows from {s}" for n, s in (("dim_customer", "d_customers"), ("dim_product", "d_products"), ("fact_orders", "d_orders"), ("fact_order_items", "d_items"), ("fact_website_events", "d_events"))))
+_add("WHS2", lambda g: _S.load_checks(_star(g), {"fact_orders": "customer_key"}), " union all ".join(f"select '{n}' table_name, count(*) as rows, {k} null_keys, true as ok from {s}" for n, s, k in (("dim_customer", "d_customers", "0"), ("dim_product", "d_products", "0"), ("fact_orders", "d_orders", "count(*) filter (customer_id is null)"), ("fact_order_items", "d_items", "0"), ("fact_website_events", "d_events", "0"))))
 
 # data quality
 
@@ -241,9 +302,10 @@ _RATED = f"(select r.*, dataset, dimension, critical, case when total=0 then 1.0
 _STATUS = "case when pass_rate>=0.95 then 'PASS' else 'FAIL' end"
 _RESULTS = lambda g: quality.results(_dirty(g))
 _add("DQG1", lambda g: _RESULTS(g).drop("check_name"), f"select check_id, dataset, dimension, critical, total, failed, pass_rate, {_STATUS} status from {_RATED}")
-_add("DQG2", lambda g: _RESULTS(g).select("check_id", F.lit(BATCH).alias("batch_date"), F.when(F.col("total") > 0, F.col("pass_rate")).alias("pass_rate")), f"select check_id, '{BATCH}' batch_date, case when total>0 then pass_rate end pass_rate from {_RATED}")
+_add("DQG2", _kept_results, f"select check_id, '{BATCH}' batch_date, case when total>0 then pass_rate end pass_rate from {_RATED}")
 _add("DQG3", lambda g: quality.gate(_RESULTS(g)), f"select count(*) checks, count(*) filter (critical and pass_rate<0.95) critical_failures, case when count(*) filter (critical and pass_rate<0.95)=0 then 'PASS' else 'FAIL' end overall from {_RATED}")
 _add("DQG4", lambda g: _RESULTS(g).select("check_id", "status"), f"select check_id, {_STATUS} status from {_RATED}")
+_add("DQG4_all", lambda g: quality.summary(_RESULTS(g)), f"select check_id, {_STATUS} status, case when max((critical and pass_rate<0.95)::int) over ()=1 then 'FAIL' else 'PASS' end overall from {_RATED}")
 _add("DQG5", lambda g: quality.by_dimension(_RESULTS(g)), f"select dimension, count(*) checks, count(*) filter (pass_rate>=0.95) passed, cast(sum(failed) as bigint) failed_records from {_RATED} group by 1")
 
 # events
@@ -373,13 +435,23 @@ for _id, (_build, _body) in _MEASURES.items():
 # run log: each day of events is a run, its steps are the tables of that day
 
 _LOG = lambda g: runlog.steps_of_tables({"events": g.tables.website_events().withColumnRenamed("event_timestamp", "at"), "tickets": g.tables.customer_support().withColumnRenamed("created_at", "at")}, "at")
+
+
+def _log(g: Gold) -> DataFrame:
+    """The stored log, to which each table's steps have been added in turn."""
+    path = scratch(g.tables.spark)
+    for name, df, at in (("events", g.tables.website_events(), "event_timestamp"), ("tickets", g.tables.customer_support(), "created_at")):
+        runlog.append_steps(runlog.steps_of_tables({name: df.withColumnRenamed(at, "at")}, "at"), path)
+    return g.tables.spark.read.parquet(path)
+
+
 _CHECKED = lambda g: g.tables.customer_support().groupBy(F.to_date("created_at").cast("string").alias("run_id"), "priority").agg(F.count("*").alias("failed")).select("run_id", F.when(F.col("failed") > 20, "FAIL").otherwise("PASS").alias("status"), "failed")
 _STEPS = " union all ".join(f"select {day(c)} run_id, '{n}' step, min({c}) a, max({c}) z, count(*) records, case when count(*)<10 then 'FAILED' else 'SUCCESS' end status from {s} group by 1" for n, s, c in (("events", "d_events", "event_timestamp"), ("tickets", "d_tickets", "created_at")))
 _SECONDS = "cast(epoch_us(z)//1000000-epoch_us(a)//1000000 as double)"
 _CHECKS = f"select {day('created_at')} run_id, priority, count(*) failed from d_tickets group by 1,2"
 _RUNS = f"select run_id, count(*) steps, sum({_SECONDS}) duration_seconds, cast(sum(records) as bigint) records, count(*) filter (status='FAILED') failed_steps from ({_STEPS}) group by 1"
-_add("RUN1", lambda g: _LOG(g).select("run_id", "step", "status", "records"), f"select run_id, step, status, records from ({_STEPS})")
-_add("RUN2", lambda g: runlog.with_duration(_LOG(g)).select("run_id", "step", "duration_seconds"), f"select run_id, step, {_SECONDS} duration_seconds from ({_STEPS})")
+_add("RUN1", lambda g: _log(g).select("run_id", "step", "status", "records"), f"select run_id, step, status, records from ({_STEPS})")
+_add("RUN2", lambda g: runlog.with_duration(_log(g)).select("run_id", "step", "duration_seconds"), f"select run_id, step, {_SECONDS} duration_seconds from ({_STEPS})")
 _add("RUN3", lambda g: runlog.close_runs(_LOG(g), _CHECKED(g)), f"select r.*, coalesce(n,0) quality_checks, coalesce(f,0) failed_records, case when coalesce(bad,0)>0 then 'FAIL' else 'PASS' end quality_status, case when failed_steps>0 then 'FAILED' else 'SUCCESS' end status from ({_RUNS}) r left join (select run_id, count(*) n, cast(sum(failed) as bigint) f, count(*) filter (failed>20) bad from ({_CHECKS}) group by 1) using (run_id)")
 _add("RUN4", lambda g: runlog.newest(_LOG(g), 5).select("run_id"), f"select run_id from ({_STEPS}) group by 1 order by max(z) desc, run_id limit 5")
 _add("RUN5", lambda g: runlog.close_runs(_LOG(g), _CHECKED(g)).select("run_id", "status"), f"select run_id, case when failed_steps>0 then 'FAILED' else 'SUCCESS' end status from ({_RUNS})")

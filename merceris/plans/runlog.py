@@ -12,6 +12,11 @@ def with_duration(steps: DataFrame) -> DataFrame:
     return steps.withColumn("duration_seconds", (F.unix_timestamp("ended_at") - F.unix_timestamp("started_at")).cast("double"))
 
 
+def append_steps(steps: DataFrame, path: str) -> None:
+    """Add steps to the stored log; rows that it holds already stay as they are."""
+    steps.write.mode("append").parquet(path)
+
+
 def record_step(log: DataFrame, step: DataFrame) -> DataFrame:
     """The log with one more step (a one-row DataFrame of STEPS)."""
     return log.unionByName(step)
