@@ -301,6 +301,8 @@ _META = "(values " + ",".join(f"('{c}','{d}','{m}',{str(k).lower()})" for c, d,
 _RATED = f"(select r.*, dataset, dimension, critical, case when total=0 then 1.0 else round((total-failed)::double/total,4) end pass_rate from ({_ALL}) r join {_META} using (check_id))"
 _STATUS = "case when pass_rate>=0.95 then 'PASS' else 'FAIL' end"
 _RESULTS = lambda g: quality.results(_dirty(g))
+_REPORT = "{'check_id':check_id,'dataset':dataset,'dimension':dimension,'critical':critical,'total':total,'failed':failed,'status':" + _STATUS + "}"
+ORACLES["SNK7"] = sql(f"select cast(to_json({{'checks':count(*),'failed_checks':count(*) filter (pass_rate<0.95),'results':list({_REPORT} order by check_id)}}) as varchar) report from {_RATED}")
 _add("DQG1", lambda g: _RESULTS(g).drop("check_name"), f"select check_id, dataset, dimension, critical, total, failed, pass_rate, {_STATUS} status from {_RATED}")
 _add("DQG2", _kept_results, f"select check_id, '{BATCH}' batch_date, case when total>0 then pass_rate end pass_rate from {_RATED}")
 _add("DQG3", lambda g: quality.gate(_RESULTS(g)), f"select count(*) checks, count(*) filter (critical and pass_rate<0.95) critical_failures, case when count(*) filter (critical and pass_rate<0.95)=0 then 'PASS' else 'FAIL' end overall from {_RATED}")

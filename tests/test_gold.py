@@ -7,7 +7,8 @@ from conftest import SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from merceris.operators import ranking, star
+from merceris.functions.columns import cents
+from merceris.operators import events, quality, ranking, star
 from merceris.plans.gold import Gold
 from merceris.sources import io
 from merceris.sources.adapter import Tables
@@ -73,3 +74,38 @@ def test_raw_files_null_bad_values(spark, tmp_path):
     (tmp_path / "o.csv").write_text("order_id,customer_id,order_date,order_status,payment_method,total_amount\nO1,C1,2024-01-01T00:00:00,completed,card,abc\n")
     row = io.read_raw(spark, f"file://{tmp_path}/o.csv", "orders").first()
     assert (row["order_id"], row["total_amount"]) == ("O1", None)
+
+
+def test_null_keys_are_spread_and_stay(spark):
+    facts = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("P"), (F.col("id") % 10).cast("string"))).alias("product_id"), "id")
+    keys = spark.createDataFrame([("P0", 1), ("P2", 2), (None, 9)], "product_id string, product_key long")
+    found = star.lookup(facts, keys, "product_id", "product_key")
+    assert found.columns == ["product_id", "id", "product_key"]
+    assert found.count() == 2000 and found.where("product_id is null and product_key is null").count() == 1000
+    assert found.where("product_key is not null").count() == 400
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks = star.lookup(facts, keys, "product_id", "product_key").where("product_id is null").groupBy(F.spark_partition_id()).count().count()
+        plan = star.lookup(facts, keys, "product_id", "product_key")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert tasks >= 1 and "hashpartitioning(product_id" in plan and ", __salt" in plan.split("hashpartitioning(product_id", 1)[1].split(")")[0]
+
+
+def test_events_without_a_session_are_one_session(spark):
+    rows = [(1, None, "C1", "mobile", None, "page_view", 10), (2, None, "C2", "mobile", None, "purchase", 40), (3, "S", "C1", None, "direct", "page_view", 5), (4, "S", None, None, "direct", None, 7)]
+    df = spark.createDataFrame(rows, "event_id long, session_id string, customer_id string, device string, traffic_source string, event_type string, s long")
+    found = {(r["session_id"], r["customer_id"]): (r["event_count"], r["converted"], r["duration_seconds"]) for r in events.session_summary(df.withColumn("event_timestamp", F.timestamp_seconds("s"))).collect()}
+    assert found == {(None, "C1"): (2, 1, 30), (None, "C2"): (2, 1, 30), ("S", "C1"): (2, 0, 2), ("S", None): (2, 0, 2)}
+    assert events.session_summary(df.where("false").withColumn("event_timestamp", F.timestamp_seconds("s"))).count() == 0
+
+
+def test_cents_of_doubles_are_rounded(spark):
+    df = spark.createDataFrame([(1.15,), (-1.15,), (0.29,), (None,)], "v double")
+    assert [r[0] for r in df.select(cents(F.col("v"))).collect()] == [115, -115, 29, None]
+
+
+def test_chosen_checks_read_only_their_tables(spark):
+    orders = spark.createDataFrame([("O1", None), ("O1", "C1")], "order_id string, customer_id string")
+    found = {r["check_id"]: r["failed"] for r in quality.results({"orders": orders}, only=["DQ04", "DQ07"]).collect()}
+    assert found == {"DQ04": 1, "DQ07": 1}
