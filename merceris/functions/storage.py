@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="merceris-")
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the folder of ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """An eager checkpoint in the session's checkpoint folder, or in the shared one where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="merceris-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def scratch(spark) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or a temporary one where unset."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="merceris-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"

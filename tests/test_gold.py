@@ -109,3 +109,15 @@ def test_chosen_checks_read_only_their_tables(spark):
     orders = spark.createDataFrame([("O1", None), ("O1", "C1")], "order_id string, customer_id string")
     found = {r["check_id"]: r["failed"] for r in quality.results({"orders": orders}, only=["DQ04", "DQ07"]).collect()}
     assert found == {"DQ04": 1, "DQ07": 1}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from merceris.functions.storage import shared_folder
+
+    fake = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(fake("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_folder(fake("local[2]", None)).startswith("file://")
+    with pytest.raises(ValueError):
+        shared_folder(fake("yarn", None))
