@@ -34,13 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Folders of the tables that are in use, in the order in which they were written.
 _written: list[str] = []
+#: Whether Spark removes the shuffle files of an action as soon as it has ended.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage is cut and a lost executor costs nothing."""
+    """``df`` written to the shared folder and read back: lineage is cut and a lost executor costs nothing.
+
+    The write's shuffle files go when it has ended, as only the table is read again.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path, partitionBy=partition_by)
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path, partitionBy=partition_by)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLES_GO)
+        else:
+            spark.conf.set(_SHUFFLES_GO, before)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
