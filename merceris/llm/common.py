@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy code in pieces of about so many bytes, which bounds a task's memory.
@@ -43,33 +43,72 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 
     The write's shuffle files go when it has ended, as only the table is read again.
     """
+    path, out = _write(df, partition_by)
+    _written.append(path)
+    return out
+
+
+def _write(df: DataFrame, partition_by: list[str] | None = None, compression: str | None = None) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = shared_folder(spark)
     before = spark.conf.get(_SHUFFLES_GO, None)
     spark.conf.set(_SHUFFLES_GO, "true")
     try:
-        df.write.parquet(path, partitionBy=partition_by)
+        df.write.parquet(path, partitionBy=partition_by, compression=compression)
     finally:
         if before is None:
             spark.conf.unset(_SHUFFLES_GO)
         else:
             spark.conf.set(_SHUFFLES_GO, before)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scope:
+    """The tables that one call of an operator writes, so that calls side by side never touch each other's."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
+        """``stored``, and remembered here."""
+        path, out = _write(df, partition_by, compression)
+        self.paths[id(out)] = path
+        self.tables.append(out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables of this scope that nothing reads again."""
+        for t in tables:
+            _remove(self.spark, self.paths.pop(id(t)))
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these."""
+        self.drop(*(t for t in self.tables if id(t) in self.paths and all(t is not k for k in tables)))
 
 
 def finished(make: Callable[[], DataFrame]) -> DataFrame:
     """The table that ``make`` returns, stored; those stored on the way to it are removed, as nothing reads them again."""
     first = len(_written)
     out = stored(make())
-    jvm = out.sparkSession.sparkContext._jvm
     for path in _written[first:-1]:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(out.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _remove(out.sparkSession, path)
     del _written[first:-1]
     return out
 
 
+def column(name: str) -> Column:
+    """A column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so that other columns and their names never matter."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, jaccard, neighbours, packing, quality, repeats, secret_scan, token_counts, url_filter
+from . import bpe, gif, jaccard, manifest, neighbours, packing, quality, repeats, secret_scan, token_counts, url_filter, word_table
 from .common import table
 
 
@@ -76,6 +76,59 @@ def op10_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.gif_columns(table(spark, sf_dir, "documents"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = manifest.merkle_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], changed=tampered, values={"text": F.translate("text", UPPER, LOWER)})
+    found = rows.withColumn("folded_root", manifest.folded(F.coalesce("offered", "leaf"), F.col("path")))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+#: The CRC-32 of a list of bytes in DuckDB, by the usual table of 256 entries.
+CRC_SQL = """
+with recursive crc_table as materialized (select list_transform(range(256), lambda k: list_reduce(range(8), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, k)) t)
+"""
+
+
+def crc_sql(codes: str) -> str:
+    """SQL for the CRC-32 of ``codes``, a list of bytes; needs CRC_SQL and ``crc_table`` among the tables."""
+    return f"xor(4294967295, list_reduce({codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint))"
+
+
+OP12_SQL = rf"""{CRC_SQL},
+l as (select *, {crc_sql("list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)")} % 3 = 0 odd from documents, crc_table),
+f as (select doc_id, lang, coalesce(odd, false) odd, list_transform([doc_id::varchar, source, lang, n_chars::varchar, text], lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')) v,
+             coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') low from l),
+leaves as (select doc_id, lang, odd, sha256(v[1]||v[2]||v[3]||v[4]||v[5]) leaf, sha256(v[1]||v[2]||v[3]||v[4]||low) offered from f),
+ranked as (select *, dense_rank() over (order by encode(lang) nulls first) - 1 tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by lang) n from leaves),
+lv as (select tree, 0 lev, pos, n, leaf d from ranked union all
+       select tree, lev + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(d, '' order by pos)) from lv where n > 1 group by tree, lev, pos // 8),
+sub as (select tree, lev h, d from lv where n = 1),
+tp as (select 0 lev, tree pos, (select count(*) from sub) n, d from sub union all
+       select lev + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(d, '' order by pos)) from tp where n > 1 group by lev, pos // 8),
+root as (select d root from tp where n = 1),
+nodes as (select tree, lev, pos, d from lv where n > 1 union all select -1, 1000 + lev, pos, d from tp where n > 1),
+sib as (select a.tree, a.lev, a.pos, coalesce(string_agg(b.d, '' order by b.pos) filter (b.pos < a.pos), '') lft, coalesce(string_agg(b.d, '' order by b.pos) filter (b.pos > a.pos), '') rgt
+        from nodes a join nodes b on a.tree = b.tree and a.lev = b.lev and a.pos // 8 = b.pos // 8 group by all),
+steps as (select r.doc_id, r.tree, r.pos own, s.lev, s.lft, s.rgt from ranked r join sib s on s.tree = r.tree and s.lev < 1000 and s.pos = r.pos >> (3 * s.lev)
+          union all select r.doc_id, r.tree, r.pos, s.lev, s.lft, s.rgt from ranked r join sib s on s.tree = -1 and s.pos = r.tree >> (3 * (s.lev - 1000))),
+stepped as (select *, row_number() over (partition by tree, own order by lev) k from steps),
+fold as (select tree, pos own, 0::bigint k, case when odd then offered else leaf end d from ranked union all
+         select f.tree, f.own, s.k, sha256(s.lft || f.d || s.rgt) from fold f join stepped s on s.tree = f.tree and s.own = f.own and s.k = f.k + 1),
+proofs as (select tree, own, string_agg(lft || rgt, '' order by k) p from stepped group by all),
+ends as (select tree, own, max_by(d, k) d from fold group by all)
+select r.doc_id, r.leaf, sub.d subroot, root.root, sha256(coalesce(p.p, '')) proof_sha256, e.d folded_root, e.d = root.root verified
+from ranked r join sub on sub.tree = r.tree cross join root join ends e on e.tree = r.tree and e.own = r.pos left join proofs p on p.tree = r.tree and p.own = r.pos
+"""
+
+
+def op13_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_table.bpe_by_words(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,6 +140,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_gif_columns": op10_gif_columns,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_bpe_words": op13_bpe_words,
 }
 
-ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
