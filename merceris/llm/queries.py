@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, jaccard, manifest, neighbours, packing, quality, repeats, secret_scan, token_counts, url_filter, word_table
+from . import bpe, gif, jaccard, manifest, neighbours, packing, quality, repeats, secret_scan, spelling, token_counts, url_filter, word_table
 from .common import table
 
 
@@ -76,6 +76,11 @@ def op10_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.gif_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), least=7).where("n >= 2")
+    return spelling.spelling_variants(words)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,6 +103,24 @@ def crc_sql(codes: str) -> str:
     return f"xor(4294967295, list_reduce({codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint))"
 
 
+OP11_SQL = rf"""{CRC_SQL},
+runs as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r from documents),
+each as (select coalesce(doc_id::varchar, '') || ':' d, r, count(*) n from runs where length(r) >= 7 group by all),
+hashed as (select r, n, {crc_sql("list_concat(list_transform(string_split(d, ''), lambda c: ord(c)::bigint), flatten(list_transform(string_split(r, ''), lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [195, ord(c)::bigint - 64] end)))")} h from each, crc_table),
+results as (select case when h % 31 = 0 then substr(r, 1, (h % length(r))::bigint) || substr(r, (h % length(r))::bigint + 2) else r end word, n from hashed),
+words as (select word, sum(n)::bigint n from results where length(word) >= 7 group by word having sum(n) >= 2),
+holes as (select word, n, substr(word, 1, k - 1) b, substr(word, k + 1) e from (select word, n, unnest(range(1, length(word) + 1)) k from words)),
+pairs as (select a.word w, b.word v, b.n from holes a join holes b on a.b = b.b and a.e = b.e and length(a.word) = length(b.word) and a.word <> b.word
+          union select h.word, s.word, s.n from holes h join words s on s.word = h.b || h.e
+          union select s.word, h.word, h.n from holes h join words s on s.word = h.b || h.e),
+best as (select w, count(*) n_near, first(v order by n desc, encode(v)) v, max(n) n from pairs group by w),
+forms as (select word, words.n, coalesce(n_near, 0)::bigint n_near, case when best.n >= 10 * words.n then v end form, case when best.n >= 10 * words.n then best.n end form_n from words left join best on w = word),
+chain as (select word, form root, 1 k from forms where form is not null union all select c.word, f.form, c.k + 1 from chain c join forms f on f.word = c.root where f.form is not null),
+ends as (select word, max_by(root, k) root from chain group by word)
+select f.word, form, coalesce(root, f.word) root, n, n_near, form_n from forms f left join ends e on e.word = f.word
+"""
+
+
 OP12_SQL = rf"""{CRC_SQL},
 l as (select *, {crc_sql("list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)")} % 3 = 0 odd from documents, crc_table),
 f as (select doc_id, lang, coalesce(odd, false) odd, list_transform([doc_id::varchar, source, lang, n_chars::varchar, text], lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')) v,
@@ -140,8 +163,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_gif_columns": op10_gif_columns,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_bpe_words": op13_bpe_words,
 }
 
-ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES: dict[str, str] = {"op8_url_filter": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
