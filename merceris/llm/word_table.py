@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -76,20 +77,21 @@ class Numbers(dict):
         return number
 
 
-def planes(numbers: list[int]) -> bytes:
+def planes(numbers: np.ndarray) -> bytes:
     """Numbers as bytes, all low bytes first, so that what is stored and moved compresses."""
-    return np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-SPLIT = "stretch long, doc_id long, numbers binary, words array<string>"
+SPLIT = "slice int, stretch long, doc_id long, numbers binary, first int, words array<string>"
 
 
 def split_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """A row for each text (doc_id, its word numbers) and one for each stretch (its words in order); all carry the stretch."""
+    """Rows of texts (stretch, doc_id, numbers of their words), in slices 0 to SLICES - 1 by stretch, and after these of a
+    stretch's words (stretch, the number of the first, words in order), in slices by the words' CRC-32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -98,14 +100,22 @@ def split_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         find = regex.compile(pattern).findall
         special = list(vocabulary(path).special)
         apart = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-        stretch, numbers, size = TaskContext.get().partitionId() << 32, Numbers(), 0
-        schema = pa.schema([("stretch", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("words", pa.list_(pa.string()))])
-        rows: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-            rows.clear()
-            return batch
+        part = TaskContext.get().partitionId()
+        stretch, numbers, size, texts = part << 32, Numbers(), 0, []
+        schema = pa.schema([("slice", pa.int32()), ("stretch", pa.int64()), ("doc_id", pa.int64()), ("numbers", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.string()))])
+
+        def ended() -> pa.RecordBatch:
+            """The stretch's rows. Words are numbered anew, slice by slice."""
+            words = list(numbers)
+            of = np.fromiter((zlib.crc32(w.encode()) % SLICES for w in words), np.int64, len(words))
+            order = np.argsort(of, kind="stable")
+            anew = np.empty(len(words), np.int64)
+            anew[order] = np.arange(len(words))
+            ends = np.searchsorted(of[order], np.arange(SLICES + 1)).tolist()
+            own = (part + (stretch & 0xFFFF)) % SLICES
+            rows = [(own, stretch, doc, planes(anew[found]), None, None) for doc, found in texts]
+            rows += [(SLICES + k, stretch, None, None, ends[k], [words[w] for w in order[ends[k] : ends[k + 1]].tolist()]) for k in range(SLICES)]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -113,17 +123,14 @@ def split_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 if apart is None or not any(s in text for s in special):
                     found = find(text)
                 else:  # every second part is a special string, which no word equals
-                    found = [w for k, part in enumerate(apart(text)) for w in ([part] if k % 2 else find(part))]
-                rows.append((stretch, doc, planes([numbers[w] for w in found]), None))
-                size += len(text)
+                    found = [w for k, own in enumerate(apart(text)) for w in ([own] if k % 2 else find(own))]
+                texts.append((doc, np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))))
+                size += len(text) + 64
                 if size >= STRETCH:
-                    rows.append((stretch, None, None, list(numbers)))
-                    yield out()
-                    stretch, numbers, size = stretch + 1, Numbers(), 0
-            if rows:
-                yield out()
-        rows.append((stretch, None, None, list(numbers)))
-        yield out()
+                    yield ended()
+                    stretch, numbers, size, texts = stretch + 1, Numbers(), 0, []
+        if texts:
+            yield ended()
 
     return docs.mapInArrow(run, SPLIT)
 
@@ -152,6 +159,11 @@ def word_codes(words: DataFrame, path: str) -> DataFrame:
     return put.select("word", F.col("own.id").alias("ids"), F.reduce("own", F.lit(b""), lambda text, p: F.concat(text, p["piece"])).alias("decoded"))
 
 
+def _text_slice(stretch: Column) -> Column:
+    """The slice of a stretch's texts."""
+    return ((F.shiftright(stretch, 32) + stretch.bitwiseAND(F.lit(0xFFFF).cast("long"))) % SLICES).cast("int")
+
+
 def bpe_by_words(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Encode every whole text through a table of distinct words, and decode its ids through a table of pieces.
 
@@ -164,31 +176,33 @@ def bpe_by_words(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     task as word numbers and as words; a very long word is encoded in n log n steps and its ids are one group of the join with the pieces.
     """
     scope = Scope(docs.sparkSession)
-    slice_of = lambda c: F.pmod(c, F.lit(SLICES)).alias("slice")
-    parts = split_words(ids_and_texts(docs, id_col, text_col), path, pattern)
-    parts = scope.stored(parts.select("*", F.when(F.col("words").isNull(), slice_of(F.col("stretch"))).otherwise(-1).alias("slice")), ["slice"], "zstd")
-    words = parts.where("slice = -1").select("stretch", F.posexplode("words").alias("number", "word")).withColumn("part", slice_of(F.xxhash64("word")))
-    codes = [word_codes(own, path).join(own, "word") for own in (words.where(F.col("part") == k) for k in range(SLICES))]
-    back = [scope.stored(c.select("stretch", "number", "ids", "decoded", slice_of(F.col("stretch"))), ["slice"], "zstd") for c in codes]
+    parts = scope.stored(split_words(ids_and_texts(docs, id_col, text_col), path, pattern), ["slice"], "zstd")
+    back = []
+    for k in range(SLICES):
+        listed = parts.where(F.col("slice") == SLICES + k).select("stretch", "first", F.posexplode("words").alias("place", "word"))
+        words = listed.select("stretch", (F.col("first") + F.col("place")).alias("number"), "word")
+        coded = words.join(word_codes(words, path), "word").select("stretch", "number", "ids", "decoded", _text_slice(F.col("stretch")).alias("slice"))
+        back.append(scope.stored(coded, ["slice"], "zstd"))
 
     def put(texts: pa.Table, words: pa.Table) -> pa.Table:
         words = words.take(np.argsort(words["number"].to_numpy()))
         ids = words["ids"].combine_chunks()
         flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        decoded = words["decoded"].to_pylist()
         size = np.diff(ends) if len(words) else np.zeros(0, np.int64)
-        said = [",".join(map(str, w)).encode() for w in ids.to_pylist()] if digests else []
+        decoded, said = np.empty(len(words), object), np.empty(len(words), object)
+        decoded[:] = words["decoded"].to_pylist()
+        if digests:
+            said[:] = [",".join(map(str, w)).encode() for w in ids.to_pylist()]
         rows: list[tuple] = []
         for numbers in texts["numbers"].to_pylist():
             own = from_planes(numbers)
             total = int(size[own].sum())
             if digests:
-                mine = own.tolist()
-                shown = b",".join([said[k] for k in mine]), b"".join([decoded[k] for k in mine])
+                shown = b",".join(said[own].tolist()), b"".join(decoded[own].tolist())
                 rows.append((total, *(hashlib.sha256(x).hexdigest() for x in shown)))
             else:
                 before = np.cumsum(size[own]) - size[own]
-                rows.append((total, flat[np.repeat(ends[own] - before, size[own]) + np.arange(total)], b"".join([decoded[k] for k in own.tolist()])))
+                rows.append((total, flat[np.repeat(ends[own] - before, size[own]) + np.arange(total)], b"".join(decoded[own].tolist())))
         types = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.list_(pa.int32()), pa.binary())
         return pa.table([texts["doc_id"], *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=names)
 
