@@ -89,6 +89,10 @@ class Scope:
         for t in tables:
             _remove(self.spark, self.paths.pop(id(t)))
 
+    def drop_part(self, table: DataFrame, part: str) -> None:
+        """Remove one partition (``column=value``) of a table that nothing reads again."""
+        _remove(self.spark, f"{self.paths[id(table)]}/{part}")
+
     def keep(self, *tables: DataFrame) -> None:
         """Remove all tables but these."""
         self.drop(*(t for t in self.tables if id(t) in self.paths and all(t is not k for k in tables)))

@@ -181,18 +181,21 @@ def bpe_by_words(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     for k in range(SLICES):
         listed = parts.where(F.col("slice") == SLICES + k).select("stretch", "first", F.posexplode("words").alias("place", "word"))
         words = listed.select("stretch", (F.col("first") + F.col("place")).alias("number"), "word")
-        coded = words.join(word_codes(words, path), "word").select("stretch", "number", "ids", "decoded", _text_slice(F.col("stretch")).alias("slice"))
+        codes = word_codes(words, path).select("word", F.size("ids").alias("n"), (F.array_join("ids", ",") if digests else F.col("ids")).alias("ids"), "decoded")
+        # a partition of a slice's distinct words is small, and hashing it spares sorting both sides by word
+        coded = words.join(codes.hint("shuffle_hash"), "word").select("stretch", "number", "n", "ids", "decoded", _text_slice(F.col("stretch")).alias("slice"))
         back.append(scope.stored(coded, ["slice"], "zstd"))
+        scope.drop_part(parts, f"slice={SLICES + k}")
 
     def put(texts: pa.Table, words: pa.Table) -> pa.Table:
         words = words.take(np.argsort(words["number"].to_numpy()))
-        ids = words["ids"].combine_chunks()
-        flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        size = np.diff(ends) if len(words) else np.zeros(0, np.int64)
-        decoded, said = np.empty(len(words), object), np.empty(len(words), object)
+        size, decoded, said = words["n"].to_numpy(), np.empty(len(words), object), np.empty(len(words), object)
         decoded[:] = words["decoded"].to_pylist()
         if digests:
-            said[:] = [",".join(map(str, w)).encode() for w in ids.to_pylist()]
+            said[:] = [w.encode() for w in words["ids"].to_pylist()]
+        else:
+            ids = words["ids"].combine_chunks()
+            flat, starts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()[:-1]
         rows: list[tuple] = []
         for numbers in texts["numbers"].to_pylist():
             own = from_planes(numbers)
@@ -202,7 +205,7 @@ def bpe_by_words(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 rows.append((total, *(hashlib.sha256(x).hexdigest() for x in shown)))
             else:
                 before = np.cumsum(size[own]) - size[own]
-                rows.append((total, flat[np.repeat(ends[own] - before, size[own]) + np.arange(total)], b"".join(decoded[own].tolist())))
+                rows.append((total, flat[np.repeat(starts[own] - before, size[own]) + np.arange(total)], b"".join(decoded[own].tolist())))
         types = (pa.int64(), pa.string(), pa.string()) if digests else (pa.int64(), pa.list_(pa.int32()), pa.binary())
         return pa.table([texts["doc_id"], *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=names)
 
@@ -211,7 +214,7 @@ def bpe_by_words(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     done = []
     for k in range(SLICES):
         texts = parts.where(F.col("slice") == k).select("stretch", "doc_id", "numbers")
-        coded = reduce(DataFrame.unionByName, (b.where(F.col("slice") == k).select("stretch", "number", "ids", "decoded") for b in back))
+        coded = reduce(DataFrame.unionByName, (b.where(F.col("slice") == k).select("stretch", "number", "n", "ids", "decoded") for b in back))
         done.append(scope.stored(texts.groupBy("stretch").cogroup(coded.groupBy("stretch")).applyInArrow(put, schema)))
     scope.keep(*done)
     return reduce(DataFrame.unionByName, done)
