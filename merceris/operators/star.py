@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,17 +110,6 @@ def fact_events(events: DataFrame, customers: DataFrame, products: DataFrame, de
     return keyed.select("event_id", "customer_key", "product_key", "device_key", "session_id", "event_type", "traffic_source", "event_timestamp", F.year("event_timestamp").alias("event_year"))
 
 
-def build_star(tables: dict[str, DataFrame], store: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
-    """All dimensions, then the facts that take their keys. ``store`` writes a table and gives it back as read, so each is built once."""
-    out = {"dim_location": store(dim_location(tables["customers"]))}
-    out["dim_customer"] = store(dim_customer(tables["customers"], out["dim_location"]))
-    out["dim_product"] = store(dim_product(tables["products"]))
-    out["fact_orders"] = store(fact_orders(tables["orders"], out["dim_customer"]))
-    out["fact_order_items"] = store(fact_order_items(tables["order_items"], out["fact_orders"], out["dim_product"]))
-    out["fact_website_events"] = store(fact_events(tables["website_events"], out["dim_customer"], out["dim_product"], dim_device(tables["orders"].sparkSession)))
-    return out
-
-
 def load_checks(tables: dict[str, DataFrame], required: dict[str, str]) -> DataFrame:
     """For each table its rows, null required keys, and whether it is fit for use."""
     out = None

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from merceris.functions.columns import date_key, money
 from merceris.functions.storage import scratch
 from merceris.operators import clean, dirt, events, quality, ranking, star
-from merceris.plans import lookup, measures, reports, runlog
+from merceris.plans import lookup, measures, reports, runlog, warehouse
 from merceris.plans.gold import Gold
 from merceris.plans.oracle import AS_OF, EMAIL, b, day, half_up, pct, sql, usd
-from merceris.sources import io
+from merceris.sources import io, versions
 from merceris.sources.adapter import Tables
 
 FLAGSHIP = "Q02"
@@ -144,10 +144,31 @@ def _stored(g: Gold, df: DataFrame) -> DataFrame:
     return g.tables.spark.read.parquet(path)
 
 
-def _star(g: Gold) -> dict[str, DataFrame]:
-    t = g.tables
-    built = star.build_star({"customers": t.customers(), "products": t.products(), "orders": t.orders(), "order_items": t.order_items(), "website_events": t.website_events()}, lambda df: _stored(g, df))
-    return {n: df for n, df in built.items() if n != "dim_location"}
+def _sources(g: Gold) -> dict[str, DataFrame]:
+    return {name: getattr(g.tables, name)() for name in DIRTY}
+
+
+def _star(g: Gold, wanted: list[str] | None = None) -> dict[str, DataFrame]:
+    built = warehouse.load(_sources(g), lambda name, df, key: _stored(g, df), wanted=wanted)
+    return built if wanted is None else {n: built[n] for n in wanted}
+
+
+def _recorded(g: Gold) -> str:
+    """Where the log of a load of all twelve tables is: run ``first`` fails at the events, tries them again and is closed, run ``second`` loads two tables."""
+    spark, root = g.tables.spark, scratch(g.tables.spark)
+    first = runlog.Recorder(spark, f"{root}/log", "first")
+    broken = _sources(g)["website_events"].withColumn("customer_key", F.when(F.col("event_id") >= 0, F.raise_error(F.lit("no space left"))).cast("long"))
+    try:
+        first.write("fact_website_events", broken, "customer_key", f"{root}/fact_website_events")
+    except Exception as failed:
+        if "no space left" not in str(failed):
+            raise
+    warehouse.load(_sources(g), first.store(root))
+    first.close()
+    second = runlog.Recorder(spark, f"{root}/log", "second")
+    warehouse.load(_sources(g), second.store(f"{root}/again"), wanted=["dim_customer"])
+    second.close()
+    return f"{root}/log"
 
 
 def _calendar(g: Gold) -> DataFrame:
@@ -177,6 +198,27 @@ def _once(g: Gold, df: DataFrame) -> DataFrame:
     return g.tables.spark.read.parquet(path)
 
 
+def _refreshed(g: Gold) -> DataFrame:
+    """What readers see after a first load, after a refresh that failed half way, and after one that ended; and the first version again."""
+    spark, root = g.tables.spark, scratch(g.tables.spark)
+    count = lambda at, version=None: versions.read(spark, root, version).groupBy("order_status").agg(F.count("*").alias("rows")).select(F.lit(at).alias("at"), "order_status", "rows")
+    versions.publish(_orders(g).where("order_status = 'completed'"), root)
+    seen = [count("first")]
+    broken = _orders(g).withColumn("order_id", F.when(F.col("order_status") == "pending", F.raise_error(F.lit("no space left")).cast("string")).otherwise(F.col("order_id")))
+    try:
+        versions.publish(broken, root)
+    except Exception as failed:
+        if "no space left" not in str(failed):
+            raise
+    seen.append(count("failed"))
+    versions.publish(_orders(g), root, ("order_status",))
+    seen += [count("second"), count("again", 1)]
+    out = seen[0]
+    for part in seen[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 _add("SRC1", lambda g: _plain(_raw_csv(g)), _shape("orders", "d_orders"))
 _add("SRC2", lambda g: _plain(_raw_json(g)), _shape("website_events", "x_events"))
 _add("SRC3", lambda g: _plain(io.read_batch(g.tables.spark, _batches(g), "orders", "2024-02-01").drop("batch_date")), _shape("orders", "d_orders") + " where right(order_id,1)::int%2=0")
@@ -186,6 +228,7 @@ _add("SRC6", lambda g: _plain(io.read_batch(g.tables.spark, _batches(g), "orders
 _add("SRC7", lambda g: io.source_status(_dirty(g)), "select * from (values " + ",".join(f"('{n}',true)" for n in DIRTY) + ") t(dataset, present) where (select count(*) from d_orders)>0")
 _add("SNK1", lambda g: _plain(_once(g, g.tables.customers())), _shape("customers", "d_customers"))
 _add("SNK2", lambda g: _plain(_once(g, _orders(g))), _shape("orders", "d_orders"))
+_add("SNK2_versions", _refreshed, "select a as at, order_status, count(*) as rows from d_orders, (values ('first'), ('failed'), ('again'), ('second')) t(a) where a = 'second' or order_status = 'completed' group by 1, 2")
 _add("SNK3", _replaced, "select '2024-02-01' batch_date, count(*) filter (order_id<'ORD00000100') as rows from d_orders union all select '2024-02-02', count(*) from d_orders")
 _add("SNK3_status", _replaced_by_status, "select order_status batch, count(*) as rows, count(*) filter (order_status='completed' or total_amount=0) zeros from d_orders group by 1")
 _add("SRC3_status", lambda g: _plain(_status_batch(g, "completed")), _shape("orders", "d_orders") + " where order_status='completed'")
@@ -271,8 +314,16 @@ _CK = lambda g: ranking.dense_key(_C(g), "customer_id", "customer_key")  # noqa:
 _add("FCT4", lambda g: _plain(_S.fact_tickets(g.tables.customer_support(), _CK(g))), f"select ticket_id, customer_key, cast(strftime(created_at,'%Y%m%d') as bigint) date_key, issue_type, priority, status, {_D('resolution_time')} from d_tickets left join w_customers using (customer_id)")
 _add("FCT5", lambda g: _plain(_S.fact_interactions(g.tables.campaign_interactions(), _S.dim_campaign(g.tables.marketing_campaigns()), _CK(g))), "select interaction_id, campaign_key, customer_key, interaction_type, cast(strftime(interaction_timestamp,'%Y%m%d') as bigint) date_key from d_touches left join w_campaigns using (campaign_id) left join w_customers using (customer_id)")
 _add("FCT6", lambda g: _plain(_S.fact_events(g.tables.website_events(), _CK(g), ranking.dense_key(_P(g), "product_id", "product_key"), _S.dim_device(g.tables.spark))), f"select event_id, customer_key, product_key, cast(device_key as bigint) device_key, session_id, event_type, traffic_source, {_U('event_timestamp')}, year(event_timestamp) event_year from d_events left join w_customers using (customer_id) left join w_products using (product_id) left join w_devices on device_name=coalesce(device,'Unknown')")
-_add("WHS1", lambda g: clean.row_counts(_star(g)), " union all ".join(f"select '{n}' dataset, count(*) as rows from {s}" for n, s in (("dim_customer", "d_customers"), ("dim_product", "d_products"), ("fact_orders", "d_orders"), ("fact_order_items", "d_items"), ("fact_website_events", "d_events"))))
-_add("WHS2", lambda g: _S.load_checks(_star(g), {"fact_orders": "customer_key"}), " union all ".join(f"select '{n}' table_name, count(*) as rows, {k} null_keys, true as ok from {s}" for n, s, k in (("dim_customer", "d_customers", "0"), ("dim_product", "d_products", "0"), ("fact_orders", "d_orders", "count(*) filter (customer_id is null)"), ("fact_order_items", "d_items", "0"), ("fact_website_events", "d_events", "0"))))
+_MOMENTS = {"d_orders": "order_date", "d_payments": "payment_date", "d_events": "event_timestamp", "d_tickets": "created_at", "d_touches": "interaction_timestamp"}
+_DAYS = " union all ".join(f"select {c}::date as d from {s}" for s, c in _MOMENTS.items())
+#: The load's tables: their rows and null keys in SQL.
+_LOADED = {
+    "dim_date": (f"(select unnest(generate_series(min(d), max(d), interval 1 day)) k from ({_DAYS}))", "0"), "dim_location": ("w_places", "0"), "dim_device": ("w_devices", "0"), "dim_customer": ("d_customers", "0"), "dim_product": ("d_products", "0"), "dim_campaign": ("d_campaigns", "0"),
+    "fact_orders": ("s_orders", "0"), "fact_order_items": ("(select product_id, p.selling_price k from d_items join s_orders using (order_id) left join d_products p using (product_id))", "count(*) filter (k is null)"), "fact_payments": ("(select payment_id from d_payments join s_orders using (order_id))", "0"),
+    "fact_support_tickets": ("(select ticket_id, c.city k from d_tickets left join d_customers c using (customer_id))", "count(*) filter (k is null)"), "fact_campaign_interactions": ("(select interaction_id, c.channel k from d_touches left join d_campaigns c using (campaign_id))", "count(*) filter (k is null)"), "fact_website_events": ("(select event_id, c.city k from d_events left join d_customers c using (customer_id) where event_timestamp is not null)", "count(*) filter (k is null)"),
+}
+_add("WHS1", lambda g: clean.row_counts(_star(g)), " union all ".join(f"select '{n}' dataset, count(*) as rows from {s}" for n, (s, _) in _LOADED.items()))
+_add("WHS2", lambda g: _S.load_checks(_star(g, ["dim_customer", "dim_product", "fact_orders", "fact_order_items", "fact_website_events"]), {"fact_orders": "customer_key"}), " union all ".join(f"select '{n}' table_name, count(*) as rows, {k} null_keys, true as ok from {s}" for n, s, k in (("dim_customer", "d_customers", "0"), ("dim_product", "d_products", "0"), ("fact_orders", "d_orders", "count(*) filter (customer_id is null)"), ("fact_order_items", "d_items", "0"), ("fact_website_events", "d_events", "0"))))
 
 # data quality
 
@@ -457,3 +508,16 @@ _add("RUN2", lambda g: runlog.with_duration(_log(g)).select("run_id", "step", "d
 _add("RUN3", lambda g: runlog.close_runs(_LOG(g), _CHECKED(g)), f"select r.*, coalesce(n,0) quality_checks, coalesce(f,0) failed_records, case when coalesce(bad,0)>0 then 'FAIL' else 'PASS' end quality_status, case when failed_steps>0 then 'FAILED' else 'SUCCESS' end status from ({_RUNS}) r left join (select run_id, count(*) n, cast(sum(failed) as bigint) f, count(*) filter (failed>20) bad from ({_CHECKS}) group by 1) using (run_id)")
 _add("RUN4", lambda g: runlog.newest(_LOG(g), 5).select("run_id"), f"select run_id from ({_STEPS}) group by 1 order by max(z) desc, run_id limit 5")
 _add("RUN5", lambda g: runlog.close_runs(_LOG(g), _CHECKED(g)).select("run_id", "status"), f"select run_id, case when failed_steps>0 then 'FAILED' else 'SUCCESS' end status from ({_RUNS})")
+
+_TRIED = [("first", "fact_website_events", 1, None)] + [("first", n, 2 if n == "fact_website_events" else 1, n) for n in _LOADED] + [("second", n, 1, n) for n in ("dim_location", "dim_customer")]
+_TRIES = " union all ".join(f"select '{r}' run_id, '{n}' step, {a}::bigint attempt, '{'SUCCESS' if s else 'FAILED'}' status, {'count(*)' if s else 'null::bigint'} records, {_LOADED[s][1] if s else 'null::bigint'} null_keys, {not s} failed" + (f" from {_LOADED[s][0]}" if s else "") for r, n, a, s in _TRIED)
+_add(
+    "RUN1_load",
+    lambda g: _plain(runlog.read_tries(g.tables.spark, _recorded(g)).select("run_id", "step", "attempt", "status", "records", "null_keys", F.coalesce(F.col("error").contains("no space left"), F.lit(False)).alias("failed"))),
+    f"select run_id, step, attempt, status, records, null_keys::bigint null_keys, failed from ({_TRIES})",
+)
+_add(
+    "RUN2_load",
+    lambda g: runlog.read_runs(g.tables.spark, _recorded(g)).select("run_id", "status", "steps", "failed_steps", "records", "null_keys", (F.col("duration_seconds") > 0).alias("timed")),
+    f"select run_id, 'SUCCESS' status, count(*) steps, 0::bigint failed_steps, sum(records)::bigint records, sum(null_keys)::bigint null_keys, true timed from ({_TRIES}) where status='SUCCESS' group by 1",
+)
