@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from merceris.functions.columns import date_key, money
 from merceris.functions.storage import scratch
 from merceris.operators import clean, dirt, events, quality, ranking, star
-from merceris.plans import lookup, measures, reports, runlog, warehouse
+from merceris.plans import kept, lookup, measures, reports, runlog, warehouse
 from merceris.plans.gold import Gold
 from merceris.plans.oracle import AS_OF, EMAIL, b, day, half_up, pct, sql, usd
 from merceris.sources import io, versions
@@ -521,3 +521,29 @@ _add(
     lambda g: runlog.read_runs(g.tables.spark, _recorded(g)).select("run_id", "status", "steps", "failed_steps", "records", "null_keys", (F.col("duration_seconds") > 0).alias("timed")),
     f"select run_id, 'SUCCESS' status, count(*) steps, 0::bigint failed_steps, sum(records)::bigint records, sum(null_keys)::bigint null_keys, true timed from ({_TRIES}) where status='SUCCESS' group by 1",
 )
+
+# gold tables kept batch by batch: the first batch comes twice, as a repeated load must not count twice; every batch refreshes the stored profile
+
+#: Where the batches of the kept gold tables part.
+_CUTS = (("1", None, "1996-01-01"), ("1", None, "1996-01-01"), ("2", "1996-01-01", "2024-01-15"), ("3", "2024-01-15", None))
+
+
+def _kept(g: Gold, profile: str | None = None) -> kept.KeptGold:
+    states = kept.KeptStates(g.tables.spark, scratch(g.tables.spark))
+    for batch, first, end in _CUTS:
+        states.add(batch, kept.Batch(g.tables, first, end))
+        if profile is not None:
+            kept.refresh_profile(states, g.tables, profile, batch)
+    return kept.KeptGold(states, g.tables)
+
+
+def _kept_profile(g: Gold) -> DataFrame:
+    path = scratch(g.tables.spark)
+    _kept(g, path)
+    return g.tables.spark.read.parquet(path).drop("bucket")
+
+
+_add("C07_kept", lambda g: _plain(_kept_profile(g)), f"select * replace ({_CASTS}) from base")
+_add("R03_kept", lambda g: _kept(g).rfm.select("customer_id", "rfm_score", "customer_segment"), "select customer_id, rfm_score, customer_segment from g_rfm")
+_add("L03_kept", lambda g: _kept(g).clv, "select * from g_clv")
+_add("SNK8_kept", lambda g: _plain(_kept(g).profile_view().withColumn("spend", money(F.col("spend")))), f"select p.* replace ({_CASTS}, {usd('spend')} as spend), v.estimated_lifespan_months, v.estimated_clv from g_profile p left join g_clv v using (customer_id)")
