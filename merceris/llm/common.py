@@ -60,7 +60,8 @@ def _write(df: DataFrame, partition_by: list[str] | None = None, compression: st
             spark.conf.unset(_SHUFFLES_GO)
         else:
             spark.conf.set(_SHUFFLES_GO, before)
-    return path, spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path)
+    return path, out.select(*map(column, df.columns)) if partition_by else out
 
 
 def _remove(spark: SparkSession, path: str) -> None:
