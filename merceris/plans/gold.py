@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merceris.functions.columns import cents, half_up, money, month_of, months_between_whole
-from merceris.operators.ranking import global_row_number, ntile_of
+from merceris.operators.ranking import ntiles
 from merceris.operators.star import with_full_name, with_line_amount
 from merceris.sources.adapter import Tables
 
@@ -122,15 +122,11 @@ class Gold:
 
     @cached_property
     def rfm(self) -> DataFrame:
-        """Scores of buyers by three distributed NTILE(5), and 1/1/1 for those who never bought."""
+        """Scores of buyers by three NTILE(5) without a global sort, and 1/1/1 for those who never bought."""
         stats = self.tables.customers().select("customer_id", "registration_date").join(self.order_stats(), "customer_id", "left")
         stats = stats.select("customer_id", "registration_date", F.datediff(self.as_of, "last_purchase_date").cast("long").alias("recency_days"), F.coalesce("completed_orders", F.lit(0)).alias("frequency"), F.coalesce("spend", F.lit(0)).alias("spend"))
         buyers = stats.where("frequency > 0")
-        size = buyers.agg(F.count("*").alias("buyers"))
-        scored = buyers
-        for name, order in (("r_score", F.desc("recency_days")), ("f_score", F.asc("frequency")), ("m_score", F.asc("spend"))):
-            scored = global_row_number(scored, [order, F.col("customer_id")], "at").join(F.broadcast(size))  # one row
-            scored = scored.withColumn(name, ntile_of(F.col("at"), F.col("buyers"), 5)).drop("at", "buyers")
+        scored = ntiles(buyers, "customer_id", {"r_score": -F.col("recency_days"), "f_score": F.col("frequency"), "m_score": F.col("spend")}, 5)
         others = stats.where("frequency = 0").select(*stats.columns, *[F.lit(1).alias(c) for c in ("r_score", "f_score", "m_score")])
         every = scored.unionByName(others)
         scores = [F.col(c) for c in ("r_score", "f_score", "m_score")]
