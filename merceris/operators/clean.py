@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,19 +113,29 @@ def clean_events(raw: DataFrame, customers: DataFrame) -> DataFrame:
     return split_orphans(df, customers, "customer_id")[0]
 
 
-def clean_all(raw: dict[str, DataFrame], dates: tuple[str, str] = DATES) -> dict[str, DataFrame]:
-    """All nine, parents first, and the two event summaries."""
+def clean_all(raw: dict[str, DataFrame], dates: tuple[str, str] = DATES, store: Callable[[str, DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All nine, parents first, and the two event summaries.
+
+    store (name, rows, key) writes a clean table and gives it back as read, so its children don't clean it anew.
+    """
     from .events import session_summary, top_viewed
 
-    out = {"customers": clean_customers(raw["customers"], dates), "products": clean_products(raw["products"]), "marketing_campaigns": clean_campaigns(raw["marketing_campaigns"])}
-    out["orders"] = clean_orders(raw["orders"], out["customers"])
-    out["order_items"] = clean_order_items(raw["order_items"], out["orders"], out["products"])
-    out["payments"] = clean_payments(raw["payments"], out["orders"])
-    out["customer_support"] = clean_tickets(raw["customer_support"], out["customers"])
-    out["campaign_interactions"] = clean_interactions(raw["campaign_interactions"], out["marketing_campaigns"], out["customers"])
-    out["website_events"] = clean_events(raw["website_events"], out["customers"])
-    out["session_summary"] = session_summary(out["website_events"])
-    out["top_products_daily"] = top_viewed(out["website_events"])
+    out: dict[str, DataFrame] = {}
+
+    def put(name: str, df: DataFrame, key: str) -> None:
+        out[name] = store(name, df, key) if store is not None else df
+
+    put("customers", clean_customers(raw["customers"], dates), "customer_id")
+    put("products", clean_products(raw["products"]), "product_id")
+    put("marketing_campaigns", clean_campaigns(raw["marketing_campaigns"]), "campaign_id")
+    put("orders", clean_orders(raw["orders"], out["customers"]), "order_id")
+    put("order_items", clean_order_items(raw["order_items"], out["orders"], out["products"]), "order_item_id")
+    put("payments", clean_payments(raw["payments"], out["orders"]), "payment_id")
+    put("customer_support", clean_tickets(raw["customer_support"], out["customers"]), "ticket_id")
+    put("campaign_interactions", clean_interactions(raw["campaign_interactions"], out["marketing_campaigns"], out["customers"]), "interaction_id")
+    put("website_events", clean_events(raw["website_events"], out["customers"]), "event_id")
+    put("session_summary", session_summary(out["website_events"]), "session_id")
+    put("top_products_daily", top_viewed(out["website_events"]), "product_id")
     return out
 
 

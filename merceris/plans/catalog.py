@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merceris import schemas
 from merceris.functions.columns import date_key, money
 from merceris.functions.storage import scratch
 from merceris.operators import clean, dirt, events, quality, ranking, star
-from merceris.plans import kept, lookup, measures, reports, runlog, warehouse
+from merceris.plans import kept, lookup, measures, reports, retail, runlog, warehouse
 from merceris.plans.gold import Gold
-from merceris.plans.oracle import AS_OF, EMAIL, b, day, half_up, pct, sql, usd
+from merceris.plans.oracle import AS_OF, EMAIL, b, day, half_up, pct, sql, sql_cleaned, usd
 from merceris.sources import io, versions
 from merceris.sources.adapter import Tables
 
@@ -547,3 +548,28 @@ _add("C07_kept", lambda g: _plain(_kept_profile(g)), f"select * replace ({_CASTS
 _add("R03_kept", lambda g: _kept(g).rfm.select("customer_id", "rfm_score", "customer_segment"), "select customer_id, rfm_score, customer_segment from g_rfm")
 _add("L03_kept", lambda g: _kept(g).clv, "select * from g_clv")
 _add("SNK8_kept", lambda g: _plain(_kept(g).profile_view().withColumn("spend", money(F.col("spend")))), f"select p.* replace ({_CASTS}, {usd('spend')} as spend), v.estimated_lifespan_months, v.estimated_clv from g_profile p left join g_clv v using (customer_id)")
+
+# from raw files to reports: the damaged tables are written as the raw files of a run
+
+
+def _raw_files(g: Gold, left_out: tuple[str, ...] = (), emptied: tuple[str, ...] = ()) -> str:
+    root = scratch(g.tables.spark)
+    for name, df in _dirty(g).items():
+        if name not in left_out:
+            path, df = io.folder(root, "raw", name), df.limit(0) if name in emptied else df
+            df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in schemas.schema(name).names])
+            df.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path) if schemas.DATASETS[name][2] == "json" else df.write.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+    return root
+
+
+def _from_raw(g: Gold) -> retail.StoredGold:
+    return retail.run(g.tables.spark, _raw_files(g), "run", "2001-09-01", DATES)
+
+
+_add("SRC7_files", lambda g: io.sources_under(g.tables.spark, _raw_files(g, ("payments",), ("products",))), " union all ".join(f"select '{n}' dataset, case when '{n}'='payments' then 'missing' when '{n}'='products' or count(*)=0 then 'empty' else 'present' end status from {s}" for n, s in DIRTY.items()))
+QUERIES["RAW_Q02"] = lambda spark, folder: reports.top_products(_from_raw(Gold(Tables(spark, folder))))
+QUERIES["RAW_Q19"] = lambda spark, folder: reports.profitability(_from_raw(Gold(Tables(spark, folder))))
+QUERIES["RAW_profile"] = lambda spark, folder: _plain(_from_raw(Gold(Tables(spark, folder))).profile)
+for _id in ("Q02", "Q19"):
+    ORACLES[f"RAW_{_id}"] = sql_cleaned(_Q[_id])
+ORACLES["RAW_profile"] = sql_cleaned(f"select * replace ({_CASTS}) from g_profile")

@@ -151,3 +151,33 @@ def sql(body: str) -> str:
     if not needed:
         return body
     return "with " + ",\n".join(f"{n} as materialized ({CTES[n]})" for n in CTES if n in needed) + "\n" + body
+
+
+def sql_cleaned(body: str) -> str:
+    """``sql`` over the cleaned tables: every CTE but those of raw, damaged and cleaned tables reads k_ in place of d_."""
+
+    def moved(text: str) -> str:
+        return re.sub(r"\bd_(customers|products|orders|items|payments|events|tickets|touches)\b", r"k_\1", text)
+
+    needed: set[str] = set()
+    texts = {n: t if n[:2] in ("d_", "x_", "k_") else moved(t) for n, t in CTES.items()}
+
+    def add(text: str) -> None:
+        for name in set(re.findall(r"\b\w+\b", text)) & texts.keys() - needed:
+            needed.add(name)
+            add(texts[name])
+
+    add(moved(body))
+    # cleaned tables stand after those that read them here, so the order is that of what they need
+    order: list[str] = []
+
+    def put(name: str) -> None:
+        for other in sorted(set(re.findall(r"\b\w+\b", texts[name])) & needed - {name}):
+            if other not in order:
+                put(other)
+        if name not in order:
+            order.append(name)
+
+    for name in sorted(needed):
+        put(name)
+    return "with " + ",\n".join(f"{n} as materialized ({texts[n]})" for n in order) + "\n" + moved(body)

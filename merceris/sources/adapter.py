@@ -163,3 +163,41 @@ class Tables:
                 F.col("ts").alias("interaction_timestamp"),
             )
         )
+
+
+class Frames(Tables):
+    """The nine logical datasets as DataFrames that exist already, such as cleaned and stored ones."""
+
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame]):
+        super().__init__(spark, "")
+        self.frames = frames
+
+    def raw(self, name: str) -> DataFrame:
+        raise ValueError(f"{name} is no logical dataset")
+
+    def customers(self) -> DataFrame:
+        return self.frames["customers"]
+
+    def products(self) -> DataFrame:
+        return self.frames["products"]
+
+    def orders(self) -> DataFrame:
+        return self.frames["orders"]
+
+    def order_items(self) -> DataFrame:
+        return self.frames["order_items"]
+
+    def payments(self) -> DataFrame:
+        return self.frames["payments"]
+
+    def website_events(self) -> DataFrame:
+        return self.frames["website_events"]
+
+    def customer_support(self) -> DataFrame:
+        return self.frames["customer_support"]
+
+    def marketing_campaigns(self) -> DataFrame:
+        return self.frames["marketing_campaigns"]
+
+    def campaign_interactions(self) -> DataFrame:
+        return self.frames["campaign_interactions"]

@@ -19,9 +19,12 @@ def folder(root: str, layer: str, dataset: str, batch_date: str | None = None) -
 
 
 def read_raw(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """CSV with a header, or JSON lines, by the dataset's own schema; bad values are null and the row stays."""
+    """CSV with a header, or JSON lines, by the dataset's own schema; bad values are null and the row stays.
+
+    A CSV header that differs from the schema is an error when rows are read; otherwise values would stand in the wrong columns.
+    """
     reader = spark.read.schema(schemas.schema(dataset)).option("mode", "PERMISSIVE")
-    return reader.option("header", True).csv(path) if schemas.DATASETS[dataset][2] == "csv" else reader.json(path)
+    return reader.option("header", True).option("enforceSchema", False).csv(path) if schemas.DATASETS[dataset][2] == "csv" else reader.json(path)
 
 
 def read_batch(spark: SparkSession, root: str, dataset: str, batch_date: str | None, layer: str = "processed") -> DataFrame:
@@ -44,6 +47,27 @@ def source_status(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def sources_under(spark: SparkSession, root: str) -> DataFrame:
+    """(dataset, status) of the nine raw datasets under ``root``: missing without a folder, empty without a row, else present."""
+    out = None
+    for name in schemas.DATASETS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(root, "raw", name))
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        rows = read_raw(spark, folder(root, "raw", name), name) if there else spark.range(0)
+        state = F.when(F.count("*") > 0, "present").otherwise("empty" if there else "missing")
+        part = rows.limit(1).agg(state.alias("status")).select(F.lit(name).alias("dataset"), "status")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def raw_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The nine raw datasets under ``root``; an error names those that are missing or empty."""
+    bad = {r["dataset"]: r["status"] for r in sources_under(spark, root).where("status <> 'present'").collect()}  # nine rows at most
+    if bad:
+        raise ValueError("required sources: " + ", ".join(f"{name} is {status}" for name, status in sorted(bad.items())))
+    return {name: read_raw(spark, folder(root, "raw", name), name) for name in schemas.DATASETS}
+
+
 def write_processed(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), files: int | None = None) -> None:
     """Overwrite; ``files`` is reached by a shuffle, so the stage before keeps its tasks."""
     df = df.repartition(files) if files else df
