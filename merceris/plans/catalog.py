@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merceris import schemas
-from merceris.functions.columns import date_key, money
+from merceris.functions.columns import bucket, date_key, money
 from merceris.functions.storage import scratch
 from merceris.operators import clean, dirt, events, quality, ranking, star
 from merceris.plans import kept, lookup, measures, reports, retail, runlog, warehouse
@@ -566,6 +566,24 @@ def _from_raw(g: Gold) -> retail.StoredGold:
     return retail.run(g.tables.spark, _raw_files(g), "run", "2001-09-01", DATES)
 
 
+def _rejected(g: Gold) -> DataFrame:
+    """Raw orders and events with words where numbers and moments should be: what is rejected, and how many rows have a value, by column."""
+    spark, root = g.tables.spark, scratch(g.tables.spark)
+    word = lambda c, salt, key, share, text: F.when(bucket(salt, key) < share, F.lit(text)).otherwise(F.col(c).cast("string")).alias(c)
+    k, e = F.col("order_id"), F.col("event_id").cast("string")
+    _orders(g).select("order_id", "customer_id", word("order_date", "when", k, 100, "soon"), "order_status", "payment_method", word("total_amount", "word", k, 150, "n/a")).write.option("header", True).csv(f"{root}/orders")
+    g.tables.website_events().select(e.alias("event_id"), "customer_id", "session_id", word("event_timestamp", "when", e, 100, "yesterday"), "event_type", F.lit("home").alias("page"), "product_id", "device", "traffic_source").write.json(f"{root}/website_events")
+    out = None
+    for name, columns in (("orders", ["order_date", "total_amount"]), ("website_events", ["event_timestamp"])):
+        rows, rejected = io.read_checked(spark, f"{root}/{name}", name)
+        counted = rows.agg(*[F.count(c).alias(c) for c in columns]).unpivot([], columns, "column", "kept")
+        part = rejected.groupBy("dataset", "column", "value").agg(F.count("*").alias("rejected"), F.countDistinct("key").alias("keys")).join(counted, "column")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_BAD = lambda n, c, v, salt, key, share, s: f"select '{n}' dataset, '{c}' \"column\", '{v}' as value, count(*) filter ({b(salt, key)}<{share}) rejected, count(distinct {key}) filter ({b(salt, key)}<{share}) keys, count({c}) filter ({b(salt, key)}>={share}) kept from {s}"
+_add("SRC1_rejected", _rejected, " union all ".join((_BAD("orders", "order_date", "soon", "when", "order_id", 100, "d_orders"), _BAD("orders", "total_amount", "n/a", "word", "order_id", 150, "d_orders"), _BAD("website_events", "event_timestamp", "yesterday", "when", "event_id::varchar", 100, "d_events"))))
 _add("SRC7_files", lambda g: io.sources_under(g.tables.spark, _raw_files(g, ("payments",), ("products",))), " union all ".join(f"select '{n}' dataset, case when '{n}'='payments' then 'missing' when '{n}'='products' or count(*)=0 then 'empty' else 'present' end status from {s}" for n, s in DIRTY.items()))
 QUERIES["RAW_Q02"] = lambda spark, folder: reports.top_products(_from_raw(Gold(Tables(spark, folder))))
 QUERIES["RAW_Q19"] = lambda spark, folder: reports.profitability(_from_raw(Gold(Tables(spark, folder))))

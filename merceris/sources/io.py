@@ -27,6 +27,37 @@ def read_raw(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     return reader.option("header", True).option("enforceSchema", False).csv(path) if schemas.DATASETS[dataset][2] == "csv" else reader.json(path)
 
 
+#: The column of lines that are no row of the dataset at all.
+BAD_LINE = "_bad_line"
+REJECTED = "dataset string, key string, column string, value string, source_file string"
+
+
+def _as_text(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """Raw rows with every column as text, the line itself where it could not be taken apart, and the file."""
+    names = schemas.schema(dataset).names
+    reader = spark.read.schema(", ".join(f"`{c}` string" for c in [*names, BAD_LINE])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+    # without pruning, as a line's fields are counted only where all are read
+    df = reader.option("header", True).option("enforceSchema", False).option("columnPruning", False).csv(path) if schemas.DATASETS[dataset][2] == "csv" else reader.json(path)
+    return df.select(*names, BAD_LINE, F.col("_metadata.file_path").alias("source_file"))
+
+
+def read_checked(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the dataset's types, rejected values): what ``read_raw`` turns into null without a trace is kept here as text.
+
+    A value that its column's type can't take is null in its row and a row of the second table, with the row's key, the column and
+    the text. A line with too few or too many fields, or no JSON, keeps what could be read of it and is a rejected value of
+    column ``_bad_line``. Both are lazy and read the files when they are used.
+    """
+    text = _as_text(spark, path, dataset)
+    typed = [(f.name, f.dataType) for f in schemas.schema(dataset)]
+    rows = text.select(*[F.col(c).try_cast(t).alias(c) for c, t in typed])
+    entry = lambda c, bad: F.when(bad, F.struct(F.lit(c).alias("column"), F.col(c).alias("value")))
+    bad = [entry(c, F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()) for c, t in typed if t.typeName() != "string"]
+    bad.append(entry(BAD_LINE, F.col(BAD_LINE).isNotNull()))
+    each = text.select(F.lit(dataset).alias("dataset"), F.col(schemas.key(dataset)).alias("key"), F.explode(F.array_compact(F.array(*bad))).alias("bad"), "source_file")
+    return rows, each.select("dataset", "key", "bad.column", "bad.value", "source_file")
+
+
 def read_batch(spark: SparkSession, root: str, dataset: str, batch_date: str | None, layer: str = "processed") -> DataFrame:
     """One batch, or with None all batches, of a Parquet dataset; the filter prunes folders."""
     df = spark.read.option("basePath", folder(root, layer, dataset)).parquet(folder(root, layer, dataset))
@@ -60,12 +91,16 @@ def sources_under(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-def raw_sources(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The nine raw datasets under ``root``; an error names those that are missing or empty."""
+def raw_sources(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The nine raw datasets under ``root`` and all their rejected values; an error names datasets that are missing or empty."""
     bad = {r["dataset"]: r["status"] for r in sources_under(spark, root).where("status <> 'present'").collect()}  # nine rows at most
     if bad:
         raise ValueError("required sources: " + ", ".join(f"{name} is {status}" for name, status in sorted(bad.items())))
-    return {name: read_raw(spark, folder(root, "raw", name), name) for name in schemas.DATASETS}
+    rows, rejected = {}, None
+    for name in schemas.DATASETS:
+        rows[name], part = read_checked(spark, folder(root, "raw", name), name)
+        rejected = part if rejected is None else rejected.unionByName(part)
+    return rows, rejected
 
 
 def write_processed(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), files: int | None = None) -> None:

@@ -47,7 +47,7 @@ def test_stored_gold_is_what_a_build_gives(spark, made):
 
 def test_log_names_every_write(spark, made):
     steps = {r["step"]: r["records"] for r in runlog.read_tries(spark, f"{made.root}/log").collect()}
-    assert len(steps) == 11 + 12 + 5
+    assert len(steps) == 1 + 11 + 12 + 5 and steps["rejected_values"] == 0
     assert steps["clean_orders"] == made.tables.orders().count() and steps["gold_rfm"] == made.rfm.count()
     assert [r["status"] for r in runlog.read_runs(spark, f"{made.root}/log").collect()] == ["SUCCESS"]
 
@@ -75,3 +75,18 @@ def test_a_header_that_differs_is_an_error(spark, gold, tmp_path):
     gold.tables.customers().write.option("header", True).csv(f"file://{tmp_path}/c")  # has no phone column
     with pytest.raises(Exception, match="(?i)header"):
         io.read_raw(spark, f"file://{tmp_path}/c", "customers").collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        io.read_checked(spark, f"file://{tmp_path}/c", "customers")[0].collect()
+
+
+def test_rejected_values_are_kept_as_text(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("product_id,product_name,category,subcategory,brand,cost,selling_price\nP1,a,b,c,d,1.5,cheap\nP2,a,b,c,d,,2\nP3,a,b\nP4,a,b,c,d,x,y\n,a,b,c,d,1,z\n")
+    rows, rejected = io.read_checked(spark, f"file://{tmp_path}/p.csv", "products")
+    assert [(r["product_id"], r["cost"], r["selling_price"]) for r in rows.collect()] == [("P1", 1.5, None), ("P2", None, 2.0), ("P3", None, None), ("P4", None, None), (None, 1.0, None)]
+    found = sorted(((r["key"], r["column"], r["value"]) for r in rejected.collect()), key=str)
+    assert found == sorted([("P1", "selling_price", "cheap"), ("P3", "_bad_line", "P3,a,b"), ("P4", "cost", "x"), ("P4", "selling_price", "y"), (None, "selling_price", "z")], key=str)
+    assert all(r["source_file"].endswith("p.csv") and r["dataset"] == "products" for r in rejected.collect())
+    (tmp_path / "e.json").write_text('{"event_id": "1", "event_timestamp": "2024-01-01T10:00:00"}\n{"event_id": "2", "event_timestamp": "late"}\nnot json\n')
+    rows, rejected = io.read_checked(spark, f"file://{tmp_path}/e.json", "website_events")
+    assert rows.count() == 3 and rows.where("event_timestamp is not null").count() == 1
+    assert sorted((r["column"], r["value"]) for r in rejected.collect()) == [("_bad_line", "not json"), ("event_timestamp", "late")]
