@@ -143,6 +143,12 @@ class Counter:
         self.border, self.kept = np.array([1 << 62]), np.array([False])
         codes = sorted((rolled(token), k) for token, k in self.ids.items())
         self.rolled, self.rolled_ids = np.array([c for c, _ in codes], np.uint64), np.array([k for _, k in codes])
+        # a hit is compared with the token's own bytes: those of short tokens, and the length of all
+        tokens = {k: raw for raw, k in self.ids.items()}
+        self.rolled_size = np.array([len(tokens[k]) for _, k in codes])
+        self.rolled_bytes = np.frombuffer(b"".join(tokens[k][:LONG].ljust(LONG, b"\0") for _, k in codes), np.uint8).reshape(-1, LONG)
+        if len(np.unique(self.rolled)) < len(self.rolled):
+            raise ValueError("two tokens of the vocabulary have one hash")
 
     def side(self, token: int, right: int) -> list[tuple[int, int]]:
         """The outermost token on one side while ``token`` is being merged: (token, rank of the merge that ends it)."""
@@ -211,7 +217,10 @@ class Counter:
         m = len(raws)
         size = np.fromiter(map(len, raws), np.int64, m)
         data = np.zeros((m, width), np.uint64)
-        data[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64) + np.uint64(1)
+        plain = np.zeros((m, width), np.uint8)
+        plain[np.arange(width) < size[:, None]] = np.frombuffer(b"".join(raws), np.uint8)
+        data[:] = plain
+        data[np.arange(width) < size[:, None]] += np.uint64(1)
         token = np.full((width + 1, m, width), -1, np.int32)  # by length, piece and start
         rolled = np.zeros((m, width), np.uint64)
         for n in range(1, width + 1):
@@ -221,7 +230,10 @@ class Counter:
                 break
             want = rolled[row, start]
             at = np.minimum(np.searchsorted(self.rolled, want), len(self.rolled) - 1)
-            token[n, row, start] = np.where(self.rolled[at] == want, self.rolled_ids[at], -1)
+            hit = np.flatnonzero((self.rolled[at] == want) & (self.rolled_size[at] == n))
+            row, start, at = row[hit], start[hit], at[hit]
+            same = (plain[row[:, None], start[:, None] + np.arange(n)] == self.rolled_bytes[at, :n]).all(1)
+            token[n, row[same], start[same]] = self.rolled_ids[at[same]]
         last, total = np.full((m, width + 1), -1, np.int64), np.zeros((m, width + 1), np.int64)
         for i in range(1, width + 1):
             rows = np.flatnonzero(size >= i)
