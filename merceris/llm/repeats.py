@@ -18,8 +18,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import finished, in_key_set, key_set, stored
+from .common import column, finished, in_key_set, key_set, stored
 from .suffixes import neighbours
 
 #: Window starts that are hashed together; longer texts are cut there, which only makes their border runs distinct.
@@ -257,21 +258,24 @@ def without_repeats(docs: DataFrame, span: int = 200, text_col: str = "text", si
     """
     keyed = _keyed(docs, text_col, text_col)
     cover = finished(lambda: repeated_windows(keyed, span).withColumnRenamed("key", "__key").withColumnRenamed("cover", "__cover"))
-    rows = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).join(cover, "__key", "left").select(*docs.columns, "__cover")
+    rows = docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).join(cover, "__key", "left").select(*map(column, docs.columns), "__cover")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # mapInArrow can't take names with dots
+    place = names[docs.columns.index(text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
+            texts = batch.column(place).to_pylist()
             own = batch.column("__cover")
             for row in np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 raw = texts[row].encode("utf-8", "surrogatepass")
                 edges = [0, *_covered(own[row].as_py(), len(raw), span).ravel().tolist(), len(raw)]
                 texts[row] = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]).decode("utf-8", "ignore")
             columns = {name: batch.column(name) for name in batch.schema.names if name != "__cover"}
-            columns[text_col] = pa.array(texts, batch.schema.field(text_col).type)
+            columns[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    out = rows.mapInArrow(run, docs.schema)
+    renamed = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema, strict=True)])
+    out = rows.toDF(*names, "__cover").mapInArrow(run, renamed).toDF(*docs.columns)
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.when(F.col(text_col).isNotNull(), F.length(text_col)).cast(docs.schema[size_col].dataType))
     return out
