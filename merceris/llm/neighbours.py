@@ -154,24 +154,27 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, id_col:
     score is the cosine of the original vectors in double precision; ties go to the smaller id; a query is never its own
     neighbour, though an equal vector of another id is. Vectors that are null, zero, or hold null or non-finite components
     take no part, nor do rows without an id. Vectors are compared with those of their own length, one length after the
-    other. Repeated rows of one id count once. Queries with fewer other vectors get fewer rows; an empty table gives none.
+    other. An id counts once: of its usable vectors the shortest, and of those the one of the least hash. Queries with
+    fewer other vectors get fewer rows; an empty table gives none.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null")
     rows = rows.where(_usable(F.col("vector")))
-    lengths = [r[0] for r in rows.groupBy(F.size("vector").alias("length")).count().orderBy("length").collect()]  # a row a length
-    parts = [_of_one_length(rows.where(F.size("vector") == n), n, every, k) for n in lengths]
+    rows = rows.select("id", "vector", F.size("vector").alias("length"), F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b")).alias("key"))
+    # ids and hashes move here, not vectors
+    chosen = stored(rows.groupBy("id").agg(F.min(F.struct("length", "key")).alias("own")).select("id", "own.*"))
+    lengths = [r[0] for r in chosen.groupBy("length").count().orderBy("length").collect()]  # a row a length
+    parts = [_of_one_length(*(df.where(F.col("length") == n).drop("length") for df in (rows, chosen)), n, every, k) for n in lengths]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RESULT)
 
 
-def _of_one_length(rows: DataFrame, size: int, every: int, k: int) -> DataFrame:
-    """``nearest_neighbours`` of usable rows (id, vector) whose vectors have ``size`` components."""
+def _of_one_length(rows: DataFrame, chosen: DataFrame, size: int, every: int, k: int) -> DataFrame:
+    """``nearest_neighbours`` of usable rows (id, vector, key) whose vectors have ``size`` components; chosen: (id, key), an id once."""
     spark = rows.sparkSession
-    rows = rows.select("id", "vector", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b")).alias("key"))
     # the least ids of each distinct vector: first within salts of the id, so that no task gets all rows of one vector
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
     least = lambda df, *by: df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("place") <= k + 1).drop("place")
-    few = least(least(rows.select("key", "id", salt.alias("salt")).distinct(), "key", "salt").drop("salt"), "key")
+    few = least(least(chosen.select("key", "id", salt.alias("salt")), "key", "salt").drop("salt"), "key")
     ids = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     one = rows.groupBy("key").agg(F.first("vector").alias("vector"))
     classes = stored(one.join(ids, "key"))
@@ -200,7 +203,7 @@ def _of_one_length(rows: DataFrame, size: int, every: int, k: int) -> DataFrame:
 
     key = "key struct<a:long,b:long>"
     indexed = stored(classes.select("key", "vector", "ids").mapInPandas(index, f"{key}, vector array<double>, ids array<long>, part int"))
-    asked = rows.where(F.col("id") % every == 0).select("id", "key")
+    asked = chosen.where(F.col("id") % every == 0).select("id", "key")
     queries = stored(classes.join(asked.select("key").distinct(), "key", "left_semi").select("key", "vector").mapInPandas(route, f"{key}, vector array<double>, parts array<int>"))
     routed = queries.select("key", "vector", F.explode("parts").alias("part"))
     sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -231,5 +234,5 @@ def _of_one_length(rows: DataFrame, size: int, every: int, k: int) -> DataFrame:
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "id")
     top = found.select("asker", "score", F.explode("ids").alias("id")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     lists = stored(top.groupBy(F.col("asker").alias("key")).agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("near")))
-    asked = asked.distinct().join(lists, "key").withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k))
+    asked = asked.join(lists, "key").withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k))
     return asked.select(F.col("id").alias("query_id"), F.posexplode("near").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), F.col("hit.score").alias("score"))
