@@ -11,7 +11,9 @@ once by a product of 0/1 matrices. Blocks that are of one component already are
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,13 +34,10 @@ SIGNATURES = (512, 4 << 20)
 SETS = (256, 4 << 20)
 #: Tokens of one step of a matrix product.
 WIDTH = 1 << 13
-#: Places in a word up to which a table holds the letters' hashes.
+#: Bytes of a word up to which a table holds the letters' hashes.
 NEAR = 64
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_random = np.random.default_rng(11)
-_LETTERS = _random.integers(0, 2**64, NEAR * 256, np.uint64)
-_PLACE = _random.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -53,23 +52,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each word: sums of a random number for each letter at each place, so no two places can make up for each other."""
+@lru_cache(maxsize=4)
+def _tables(key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Random numbers for each letter at each of the first places of a word, and odd ones for the words of a shingle."""
+    random = np.random.default_rng(int.from_bytes(key))
+    return random.integers(0, 2**64, NEAR * 256, np.uint64), random.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
+
+
+def _word_hashes(letters: np.ndarray, sizes: np.ndarray, key: bytes) -> np.ndarray:
+    """A hash of each word: the sum of its letters' random numbers, or a keyed digest of a longer word.
+
+    Whatever two different words are, all but one in 2^64 keys tell them apart.
+    """
     if not len(sizes):
         return np.zeros(0, np.uint64)
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(letters)) - np.repeat(first, sizes)
-    values = _LETTERS[np.minimum(place, NEAR - 1) << 8 | letters]
-    far = np.flatnonzero(place >= NEAR)
-    values[far] = _mix(_mix((place[far] << 8 | letters[far]).astype(np.uint64) * _LENGTH) + _LETTERS[0])
-    return _mix(np.add.reduceat(values, first) + sizes.astype(np.uint64) * _LENGTH)
+    values = _tables(key)[0][np.minimum(place, NEAR - 1) << 8 | letters]
+    hashes = _mix(np.add.reduceat(values, first) + sizes.astype(np.uint64) * _LENGTH)
+    for k in np.flatnonzero(sizes > NEAR).tolist():
+        word = letters[first[k] : first[k] + sizes[k]].tobytes()
+        hashes[k] = int.from_bytes(hashlib.blake2b(word, key=key, digest_size=8).digest())
+    return hashes
 
 
-def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int, key: bytes) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words has its whole sequence as one.
 
-    Words and shingles are told apart by 64 bits.
+    Words and shingles are told apart by 64 bits under ``key``. Each call of an operator draws its own, so no text can be
+    written beforehand whose words or shingles meet those of another. Hashes of different keys can't be compared.
     """
+    place = _tables(key)[1]
     at = 0
     while at < len(texts):
         parts, size = [], 0
@@ -81,7 +94,7 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
         inside = ~_SPACE[data]
         edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
         starts, stops = edge[::2], edge[1::2]
-        hashes = _word_hashes(data[inside].astype(np.int64), stops - starts)
+        hashes = _word_hashes(data[inside], stops - starts, key)
         ends = np.cumsum([len(p) + 1 for p in parts])
         last = np.searchsorted(starts, ends)
         first = np.concatenate([[0], last[:-1]])
@@ -89,13 +102,13 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
         grams = np.zeros(max(n, 0), np.uint64)
         for k in range(words):
             if n > 0:
-                grams += hashes[k : k + n] * _PLACE[k]
+                grams += hashes[k : k + n] * place[k]
         grams = _mix(grams)
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             if b - a >= words:
                 yield np.unique(grams[a : b - words + 1])
             elif b > a:
-                yield _mix((hashes[a:b] * _PLACE[32 : 32 + b - a]).sum(keepdims=True) + np.uint64(b - a))
+                yield _mix((hashes[a:b] * place[32 : 32 + b - a]).sum(keepdims=True) + np.uint64(b - a))
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -307,13 +320,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     by its own text; other columns are ignored; an empty table gives no rows. No link between different sets is lost.
     """
     rows = ids_and_texts(docs, id_col, text_col)
-    least = finished(lambda: _class_components(rows, words, percent))
+    key = new_key()
+    least = finished(lambda: _class_components(rows, words, percent, key))
     least = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("classes"), F.max("copies").alias("most")), "component")
     # of all others, the component is the row's own id
     least = stored(least.where((F.col("classes") > 1) | (F.col("most") > 1)).select("class", "component_id"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, sets in _batches(batches, words):
+        for batch, sets in _batches(batches, words, key):
             found = pd.DataFrame([(len(own), _name(own)) for own in sets], columns=["n_shingles", "class"])
             yield batch[["doc_id"]].reset_index(drop=True).join(found).astype({"doc_id": "Int64"})
 
@@ -321,9 +335,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     return described.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _batches(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[pd.DataFrame, Iterator[np.ndarray]]]:
+def new_key() -> bytes:
+    """A key of ``shingle_sets``: the driver draws it and hands it to every task, so a task that runs again hashes alike."""
+    return secrets.token_bytes(16)
+
+
+def _batches(batches: Iterator[pd.DataFrame], words: int, key: bytes) -> Iterator[tuple[pd.DataFrame, Iterator[np.ndarray]]]:
     for batch in batches:
-        yield batch, shingle_sets(batch["text"].tolist(), words)
+        yield batch, shingle_sets(batch["text"].tolist(), words, key)
 
 
 def _name(own: np.ndarray) -> bytes | None:
@@ -335,7 +354,7 @@ def _mark(own: np.ndarray) -> int:
     return int(own[0] ^ own[-1] ^ np.uint64(len(own))) - 2**63 if len(own) else 0
 
 
-def _class_components(rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _class_components(rows: DataFrame, words: int, percent: int, key: bytes) -> DataFrame:
     """(class, cid, unnamed, doc_id, ..., copies, component) of every class: a distinct set of shingles.
 
     A class stands with its least row, those without an id last. ``rows`` holds doc_id, text and, where an id can stand
@@ -345,7 +364,7 @@ def _class_components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     types = dict(rows.dtypes) | {"doc_id": "long"}
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, sets in _batches(batches, words):
+        for batch, sets in _batches(batches, words, key):
             out = []
             for own in sets:
                 size = _first_size(len(own), percent)
@@ -359,10 +378,10 @@ def _class_components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     # copies of a set have the same first shingles
     classes = described.groupBy("class").agg(lowest, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "mark", "first", "signs")])
     classes = stored(classes.select("class", "mark", F.monotonically_increasing_id().alias("cid"), "lowest.*", "copies", "n", "first", "signs"))
-    postings = finished(lambda: _postings(rows, classes, words, percent))
+    postings = finished(lambda: _postings(rows, classes, words, percent, key))
     coarse = finished(lambda: components(_coarse_links(postings, classes.select("cid", "n", "signs"), percent)))
     wanted = stored(classes.join(coarse, classes["cid"] == coarse["node"]).select("class", "mark", "cid", F.col("component").alias("key")))
-    sets = _sets(rows, wanted, words)
+    sets = _sets(rows, wanted, words, key)
     none = rows.sparkSession.createDataFrame([], "a long, b long")
     found = finished(lambda: components(_linked(sets, none, lambda n, a, m, b: similar_pairs(a, b, percent), SETS)))
     least = classes.select("class", "cid", "unnamed", *keys, "copies").join(found.withColumnRenamed("node", "cid"), "cid", "left")
@@ -386,7 +405,7 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], place[order]
 
 
-def _postings(rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _postings(rows: DataFrame, classes: DataFrame, words: int, percent: int, key: bytes) -> DataFrame:
     """(token, cid, n): the first shingles of each class that another class has among its own."""
     counts = stored(classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
     often = rows.sparkSession.sparkContext.broadcast(_frequent(counts))  # 16 bytes for each of MOST_FREQUENT at most
@@ -423,7 +442,7 @@ def _postings(rows: DataFrame, classes: DataFrame, words: int, percent: int) ->
                 found = order[: _first_size(n, percent)].view(np.int64)
                 yield pd.DataFrame({"token": found, "cid": cid, "n": n})
 
-    more = stored(_sets(rows, short, words).mapInPandas(pick_whole, "token long, cid long, n long"))
+    more = stored(_sets(rows, short, words, key).mapInPandas(pick_whole, "token long, cid long, n long"))
     # a token that one class alone has is of no use; those of the short classes have not been counted
     shared = counts.select("token").unionByName(more.select("token")).distinct()
     return picked.where("not short").select("token", "cid", "n").join(shared, "token").unionByName(more)
@@ -464,7 +483,7 @@ def _coarse_links(postings: DataFrame, signs: DataFrame, percent: int) -> DataFr
     return _linked(many, links, lambda n, a, m, b: close_pairs(n, a, m, b, percent), SIGNATURES)
 
 
-def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, words: int, key: bytes) -> DataFrame:
     """(key, home, cid, n, data): the set of each wanted class (class, mark, cid, key).
 
     Texts never move: each task takes their sets anew, and of those only the ones whose mark is among the wanted go on.
@@ -475,7 +494,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()  # copies within a task; it is emptied before it grows large
-        for _, sets in _batches(batches, words):
+        for _, sets in _batches(batches, words, key):
             out, size = [], 0
             for own in sets:
                 if len(own) and in_key_set(marks.value, np.array([_mark(own)]))[0]:
@@ -504,7 +523,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     digest = lambda text: F.unhex(F.sha2(text, 256))
     rows = ids_and_texts(docs).withColumn("digest", digest(F.col("text")))
-    least = finished(lambda: _class_components(rows, words, percent))
+    key = new_key()
+    least = finished(lambda: _class_components(rows, words, percent, key))
     kept = least.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "digest")).alias("row")).select("row.*")
     wordless = ~F.coalesce(docs["text"], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # one shuffle of the texts: by id and digest, for the look-up and for repeated rows alike

@@ -24,12 +24,22 @@ def alternating(a: str, b: str, n: int) -> tuple[str, str]:
 def test_words_are_told_apart(spark):
     a, b = alternating("a", "n", 2048)
     c, d = alternating("i", "q", 4096)
-    sets = list(jaccard.shingle_sets([a, b, c, d, "x" * 63, "x" * 64, "x" * 65, "ab ba", "ba ab"], 3))
+    sets = list(jaccard.shingle_sets([a, b, c, d, "x" * 63, "x" * 64, "x" * 65, "ab ba", "ba ab"], 3, b"key"))
     assert len({s.tobytes() for s in sets}) == 9
     docs = spark.createDataFrame(list(enumerate([a, b, a])), "doc_id long, text string")
     assert pairs(jaccard.jaccard_components(docs, 3, 90), "doc_id", "component_id") == [(0, 0), (1, 1), (2, 0)]
 
 
+def test_words_whose_sums_met_under_a_fixed_key_stay_apart(spark):
+    a, b = "gmjmkdzpsrvgvxhkyvushhsfrxxzgrkmcujwweycwlvkewynzxcjwyamuyvmkgin", "a" * 64
+    docs = spark.createDataFrame([(1, a), (2, b), (3, b), (4, a + "c")], "doc_id long, text string")
+    assert pairs(jaccard.jaccard_components(docs, 3, 90), "doc_id", "component_id") == [(1, 1), (2, 2), (3, 2), (4, 4)]
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs, 5, 80).collect()) == [1, 2, 4]
+    sets = [[s.tobytes() for s in jaccard.shingle_sets([a, b, "a b c"], 3, key)] for key in (b"one", b"two")]
+    assert len({*sets[0], *sets[1]}) == 6  # a key's hashes are its own
+    assert len({jaccard.new_key() for _ in range(9)}) == 9
+
+
 def families(seed: int) -> list[tuple[int, str]]:
     """Groups of near copies, chains whose ends are far apart, and texts that hardly differ from a common passage."""
     r = random.Random(seed)

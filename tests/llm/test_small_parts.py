@@ -161,7 +161,7 @@ def test_equal_windows_have_equal_anchors():
 
 
 def test_shingles():
-    sets = list(jaccard.shingle_sets(["a b c d", "A  B\tc\nD", "a b", "a b ", "", None, "a b c d a b c"], 3))
+    sets = list(jaccard.shingle_sets(["a b c d", "A  B\tc\nD", "a b", "a b ", "", None, "a b c d a b c"], 3, b"key"))
     assert [len(s) for s in sets] == [2, 2, 1, 1, 0, 0, 4]
     assert (sets[0] == sets[1]).all() and (sets[2] == sets[3]).all()
     assert jaccard.similar(sets[0], sets[1], 100) and not jaccard.similar(sets[0], sets[2], 10)
