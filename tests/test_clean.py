@@ -95,3 +95,14 @@ def test_quality_counts_and_gate(spark):
     fine = found.where("check_id in ('DQ03', 'DQ23')")
     assert quality.gate(fine).first()["overall"] == "PASS"  # a failing check that isn't critical
     assert {r["dimension"]: r["checks"] for r in quality.by_dimension(found).collect()} == {"completeness": 5, "uniqueness": 3, "validity": 6, "accuracy": 2, "referential_integrity": 6, "consistency": 1}
+
+
+def test_one_row_a_key_whatever_the_columns(spark):
+    columns = "`a.b` string, k string, `__least` int, v double, d array<int>"
+    df = spark.createDataFrame([("x", "A", None, 1.0, [2]), ("x", "A", 3, 1.0, [1]), ("x", "A", 3, 1.0, None), (None, "B", 1, None, None), (None, "B", 1, None, None), ("y", None, 2, 0.5, [1])], columns)
+    out = clean.deduplicate(df.repartition(3), ["k"])
+    assert out.columns == df.columns
+    assert rows(out) == [("x", "A", 3, 1.0, [1]), ("y", None, 2, 0.5, [1]), (None, "B", 1, None, None)]
+    assert rows(clean.deduplicate(df, ["k", "a.b"])) == rows(out)
+    assert rows(clean.deduplicate(df.select("k"), ["k"])) == [("A",), ("B",), (None,)]
+    assert "Window" not in clean.deduplicate(df, ["k"])._jdf.queryExecution().toString()
