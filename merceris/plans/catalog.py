@@ -11,7 +11,7 @@ from merceris import schemas
 from merceris.functions.columns import bucket, date_key, money
 from merceris.functions.storage import scratch
 from merceris.operators import clean, dirt, events, quality, ranking, star
-from merceris.plans import kept, lookup, measures, reports, retail, runlog, warehouse
+from merceris.plans import cube, kept, lookup, measures, reports, retail, runlog, warehouse
 from merceris.plans.gold import Gold
 from merceris.plans.oracle import AS_OF, EMAIL, b, day, half_up, pct, sql, sql_cleaned, usd
 from merceris.sources import io, versions
@@ -549,6 +549,25 @@ _add("R03_kept", lambda g: _kept(g).rfm.select("customer_id", "rfm_score", "cust
 _add("L03_kept", lambda g: _kept(g).clv, "select * from g_clv")
 _add("SNK8_kept", lambda g: _plain(_kept(g).profile_view().withColumn("spend", money(F.col("spend")))), f"select p.* replace ({_CASTS}, {usd('spend')} as spend), v.estimated_lifespan_months, v.estimated_clv from g_profile p left join g_clv v using (customer_id)")
 
+# session counts from one stored cube of bitmaps, filled by the same batches
+
+
+def _cube(g: Gold) -> cube.SessionCube:
+    out = cube.SessionCube(g.tables.spark, scratch(g.tables.spark))
+    for batch, first, end in _CUTS:
+        out.add(batch, kept.Batch(g.tables, first, end).website_events())
+    return out
+
+
+for _id, _from in {"Q17": cube.funnel, "Q18": cube.devices, "V06": cube.five_steps, "V07": cube.sessions_by_source, "M16": cube.sessions, "M17": cube.conversion_rate}.items():
+    QUERIES[f"{_id}_cube"] = lambda spark, folder, f=_from: f(_cube(Gold(Tables(spark, folder))))
+    ORACLES[f"{_id}_cube"] = ORACLES[_id]
+_add(
+    "V07_rollup",
+    lambda g: cube.source_by_month(_cube(g)),
+    "select cast(m as varchar) as month, s traffic_source, count(distinct session_id) sessions, count(distinct session_id) filter (event_type='purchase') bought, count(*) events from (select *, date_trunc('month', event_timestamp)::date m, coalesce(traffic_source,'Unknown') s from d_events) group by cube (m, s)",
+)
+
 # from raw files to reports: the damaged tables are written as the raw files of a run
 
 
