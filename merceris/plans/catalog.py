@@ -11,10 +11,10 @@ from merceris import schemas
 from merceris.functions.columns import bucket, date_key, money
 from merceris.functions.storage import scratch
 from merceris.operators import clean, dirt, events, quality, ranking, star
-from merceris.plans import cube, kept, lookup, measures, reports, retail, runlog, warehouse
+from merceris.plans import cube, kept, lookup, measures, reports, retail, runlog, served, warehouse
 from merceris.plans.gold import Gold
 from merceris.plans.oracle import AS_OF, EMAIL, b, day, half_up, pct, sql, sql_cleaned, usd
-from merceris.sources import io, versions
+from merceris.sources import io, ranges, versions
 from merceris.sources.adapter import Tables
 
 FLAGSHIP = "Q02"
@@ -549,6 +549,42 @@ _add("R03_kept", lambda g: _kept(g).rfm.select("customer_id", "rfm_score", "cust
 _add("L03_kept", lambda g: _kept(g).clv, "select * from g_clv")
 _add("SNK8_kept", lambda g: _plain(_kept(g).profile_view().withColumn("spend", money(F.col("spend")))), f"select p.* replace ({_CASTS}, {usd('spend')} as spend), v.estimated_lifespan_months, v.estimated_clv from g_profile p left join g_clv v using (customer_id)")
 
+# look-ups of one customer over stored tables in buckets of customers
+
+
+def _served(g: Gold, *names: str) -> served.Customer:
+    root = scratch(g.tables.spark)
+    served.store(g, root, names)
+    return served.Customer(g.tables.spark, root, ONE)
+
+
+_SERVED: dict[str, tuple[Callable[[Gold, str], DataFrame], tuple[str, ...]]] = {
+    "A02": (lookup.customer, ("profile",)), "A03": (lookup.customer_orders, ("orders",)), "A04": (lookup.customer_top_products, ("lines",)), "A05": (lookup.device_counts, ("events",)),
+    "A06": (lookup.customer_recent_events, ("events",)), "V12": (measures.customer_page, ("profile", "orders", "tickets")),
+}
+for _id, (_look, _names) in _SERVED.items():
+    QUERIES[f"{_id}_served"] = lambda spark, folder, f=_look, n=_names: f(_served(Gold(Tables(spark, folder)), *n), ONE)
+    ORACLES[f"{_id}_served"] = ORACLES[_id]
+
+# tables stored by ranges, merged into where a change meets them
+
+#: Orders from this day on are what the change brings.
+_LATE = "2001-01-01"
+
+
+def _merged_orders(g: Gold) -> DataFrame:
+    """Orders up to a day, stored by ranges of the order date; then all late orders, whose pending ones are now completed, are merged in twice."""
+    orders, late = g.tables.orders(), F.col("order_date") >= F.lit(_LATE).cast("timestamp")
+    table = ranges.RangedTable(g.tables.spark, scratch(g.tables.spark), "order_id", "order_date")
+    table.create(orders.where(~late | (F.col("order_status") == "pending")), 16)
+    changes = orders.where(late).withColumn("order_status", F.when(F.col("order_status") == "pending", "completed").otherwise(F.col("order_status")))
+    table.merge(changes, ["order_status"])
+    table.merge(changes, ["order_status"])
+    return table.read()
+
+
+_add("SNK6_ranges", lambda g: _plain(_merged_orders(g)), _shape("orders", f"(select * replace (case when order_status='pending' and order_date>=timestamp '{_LATE}' then 'completed' else order_status end as order_status) from d_orders)"))
+
 # session counts from one stored cube of bitmaps, filled by the same batches
 
 
