@@ -1,7 +1,8 @@
 """The data-quality registry.
 
-All 23 checks together come from one key index: each dataset is read once, its rows say what they know about their own key
-and their parents' keys, and all later steps read what was stored of that. A few checks alone are asked of their datasets.
+All 23 checks together come from one key index: each dataset is read once for it, its rows say what they know about their own key
+and their parents' keys, and all later steps read what was stored of that. Keys that nothing refers to, those of order lines, are
+not in it; their repeats are counted from that one column. A few checks alone are asked of their datasets.
 """
 
 from __future__ import annotations
@@ -51,9 +52,22 @@ PARENTS = (("DQ17", "orders", "customer_id", "customers"), ("DQ18", "order_items
 #: Uniqueness checks as id, dataset, key.
 UNIQUE = (("DQ06", "customers", "customer_id"), ("DQ07", "orders", "order_id"), ("DQ08", "order_items", "order_item_id"))
 
-#: Own keys of the datasets that are parents or must be unique.
-_OWN = {"customers": "customer_id", "products": "product_id", "orders": "order_id", "order_items": "order_item_id", "marketing_campaigns": "campaign_id"}
-_MOST_FLAGS = 5
+#: Own keys of the datasets that are parents. Lines have none here, as nothing names them: see ``repeated``.
+_OWN = {"customers": "customer_id", "products": "product_id", "orders": "order_id", "marketing_campaigns": "campaign_id"}
+_KINDS = list(_OWN)
+_SIDES = list(dict.fromkeys([*_OWN, *(p[1] for p in PARENTS)]))
+#: Who names a key, as one small number: whose key it is, and above the lowest three bits of that.
+_SIDE_BITS = 3
+
+
+def _who(kind: str, side: str) -> int:
+    return (_KINDS.index(kind) << _SIDE_BITS) + _SIDES.index(side)
+
+
+def _names(side: str) -> list[tuple[str, str]]:
+    """(kind, column) of the keys that a dataset's rows name; each of its rows is counted and checked under the first."""
+    own = [(side, _OWN[side])] if side in _OWN else []
+    return own + [(parent, key) for _, child, key, parent in PARENTS if child == side]
 
 
 def _fails(condition: Column) -> Column:
@@ -111,57 +125,68 @@ def _paid(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def key_index(tables: dict[str, DataFrame]) -> DataFrame:
-    """One scan of each dataset: rows by (kind, side, key, total, paid), where ``kind`` is whose key it is and ``side`` who names it.
+    """One scan of each dataset: rows by (who, key, amount, faults), where ``who`` is whose key it is and who names it.
 
-    n counts rows, and ``first`` those that a dataset hasn't named under another key; f0.. sum the faults of its own checks,
-    ``lines`` the line amounts of an order. total and paid are the amounts of orders and payments, told apart by value,
-    so that no list of a key is ever collected; equal rows, null keys among them, are merged before the shuffle.
+    n counts rows; ``faults`` has a bit for each check of its own that they fail, ``lines`` sums the line amounts of an order.
+    Amounts of orders and payments are told apart by value, so that no list of a key is ever collected; equal rows,
+    null keys among them, are merged before the shuffle. Rows are kept narrow and only keys that others name are in it,
+    since the tasks that read the lines hold all their keys at once.
     """
     parts = []
-    for dataset in dict.fromkeys([*_OWN, *(p[1] for p in PARENTS)]):
-        names = [(dataset, _OWN[dataset])] if dataset in _OWN else []
-        names += [(parent, key) for _, child, key, parent in PARENTS if child == dataset]
-        faults = [F.coalesce(c, F.lit(False)).cast("long") for c in _faults().get(dataset, {}).values()]
+    for dataset in _SIDES:
+        bits = [F.when(c, 1 << k).otherwise(0) for k, c in enumerate(_faults().get(dataset, {}).values())]
         records = []
-        for at, (kind, key) in enumerate(names):
-            of_orders = lambda who: dataset == who and kind == "orders"  # noqa: B023, E731
-            fields = {"kind": F.lit(kind), "key": F.col(key).cast("string"), "first": F.lit(int(at == 0)).cast("long")}
-            fields["total"] = F.col("total_amount") if of_orders("orders") else F.lit(None)
-            fields["paid"] = F.col("amount") if of_orders("payments") else F.lit(None)
-            fields["line"] = _line_amount() if of_orders("order_items") else F.lit(None)
-            fields |= {f"f{k}": faults[k] if at == 0 and k < len(faults) else F.lit(0).cast("long") for k in range(_MOST_FLAGS)}
+        for at, (kind, key) in enumerate(_names(dataset)):
+            amount = {"orders": "total_amount", "payments": "amount"}.get(dataset) if kind == "orders" else None
+            fields = {
+                "who": F.lit(_who(kind, dataset)), "key": F.col(key).cast("string"), "amount": F.col(amount) if amount else F.lit(None),
+                "faults": sum(bits, F.lit(0)) if at == 0 else F.lit(0), "line": _line_amount() if (kind, dataset) == ("orders", "order_items") else F.lit(None),
+            }
             records.append(F.struct(*[c.alias(name) for name, c in fields.items()]))
-        parts.append(tables[dataset].select(F.lit(dataset).alias("side"), F.explode(F.array(*records)).alias("r")).select("side", "r.*"))
+        parts.append(tables[dataset].select(F.explode(F.array(*records)).alias("r")).select("r.*"))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    sums = [F.sum(c).alias(c) for c in ("first", *(f"f{k}" for k in range(_MOST_FLAGS)))]
-    return rows.groupBy("kind", "side", "key", "total", "paid").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), *sums)
+    return rows.groupBy("who", "key", "amount", "faults").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
 
 
-def _from_index(index: DataFrame) -> DataFrame:
-    """(check_id, total, failed) of all checks from a stored ``key_index``; total is null where it is the dataset's number of rows."""
-    rows_of = index.groupBy("side").agg(F.sum("first").alias("total"), *[F.sum(f"f{k}").alias(f"f{k}") for k in range(_MOST_FLAGS)])
-    own = [F.when(F.col("side") == d, F.array(*[F.struct(F.lit(name).alias("check_id"), F.col(f"f{k}").alias("failed")) for k, name in enumerate(faults)])) for d, faults in _faults().items()]
+def repeated(df: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the keys on more than one row."""
+    keys = df.select(F.col(key).cast("string").alias("key")).where("key is not null")
+    return keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _from_index(index: DataFrame, again: dict[str, DataFrame]) -> DataFrame:
+    """(check_id, total, failed) of all checks from a stored ``key_index`` and the stored repeated keys of checks that it hasn't; total is null where it is the dataset's number of rows."""
+    first = {d: _who(_names(d)[0][0], d) for d in _SIDES}
+    failed = lambda k: F.sum(F.when(F.col("faults").bitwiseAND(1 << k) != 0, F.col("n")))
+    rows_of = index.where(F.col("who").isin(*first.values())).groupBy("who").agg(F.sum("n").alias("total"), *[failed(k).alias(f"f{k}") for k in range(max(map(len, _faults().values())))])
+    own = [F.when(F.col("who") == first[d], F.array(*[F.struct(F.lit(name).alias("check_id"), F.col(f"f{k}").alias("failed")) for k, name in enumerate(faults)])) for d, faults in _faults().items()]
     nothing = F.lit(None).cast("long").alias("total")
-    simple = rows_of.select(F.explode(F.coalesce(*own)).alias("c")).select("c.check_id", nothing, "c.failed")
+    found = rows_of.select(F.explode(F.coalesce(*own)).alias("c")).select("c.check_id", nothing, "c.failed")
 
-    known = F.sum(F.when(F.col("side") == F.col("kind"), F.col("n")))
-    named = [F.sum(F.when((F.col("side") == child) & (F.col("kind") == parent), F.col("n"))).alias(check) for check, child, _, parent in PARENTS]
-    keys = index.where("key is not null").groupBy("kind", "key").agg(F.coalesce(known, F.lit(0)).alias("known"), *named)
+    by = lambda kind, side: F.sum(F.when(F.col("who") == _who(kind, side), F.col("n")))
+    known = F.sum(F.when(F.col("who").isin(*[_who(k, k) for k in _KINDS]), F.col("n")))
+    named = [by(parent, child).alias(check) for check, child, _, parent in PARENTS]
+    keys = index.where("key is not null").groupBy(F.shiftright("who", _SIDE_BITS).alias("kind"), "key").agg(F.coalesce(known, F.lit(0)).alias("known"), *named)
     lost = [F.sum(F.when(F.col("known") == 0, F.col(p[0]))).alias(p[0]) for p in PARENTS]
-    again = [F.sum(F.when((F.col("kind") == dataset) & (F.col("known") > 1), F.col("known") - 1)).alias(check) for check, dataset, _ in UNIQUE]
-    checks = [p[0] for p in (*PARENTS, *UNIQUE)]
-    by_key = keys.agg(*lost, *again).selectExpr(f"stack({len(checks)}, " + ", ".join(f"'{c}', {c}" for c in checks) + ") as (check_id, failed)").select("check_id", nothing, "failed")
-
-    of_orders = lambda side: index.where((F.col("kind") == "orders") & (F.col("side") == side))
-    orders = of_orders("orders").select("key", "total", F.col("n").alias("orders"))
+    twice = {check: dataset for check, dataset, _ in UNIQUE if check not in again}
+    more = [F.sum(F.when((F.col("kind") == _KINDS.index(d)) & (F.col("known") > 1), F.col("known") - 1)).alias(check) for check, d in twice.items()]
+    checks = [*(p[0] for p in PARENTS), *twice]
+    parts = [keys.agg(*lost, *more).selectExpr(f"stack({len(checks)}, " + ", ".join(f"'{c}', {c}" for c in checks) + ") as (check_id, failed)").select("check_id", nothing, "failed")]
+    parts += [df.agg(F.sum(F.col("n") - 1).alias("failed")).select(F.lit(check).alias("check_id"), nothing, "failed") for check, df in again.items()]
+
+    of_orders = lambda side: index.where(F.col("who") == _who("orders", side))
+    orders = of_orders("orders").select("key", F.col("amount").alias("total"), F.col("n").alias("orders"))
     lines = of_orders("order_items").select("key", "lines")  # an order has one row
     sums = orders.join(lines, "key", "left").agg(F.sum(F.when(_total_is_off("total", "lines"), F.col("orders"))).alias("failed"))
-    pairs = orders.join(of_orders("payments").select("key", "paid", F.col("n").alias("payments")), "key").withColumn("n", F.col("orders") * F.col("payments"))
+    pairs = orders.join(of_orders("payments").select("key", F.col("amount").alias("paid"), F.col("n").alias("payments")), "key").withColumn("n", F.col("orders") * F.col("payments"))
     paid = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.sum(F.when(_payment_is_off("paid", "total"), F.col("n"))).alias("failed"))
-    found = simple.unionByName(by_key).unionByName(sums.select(F.lit("DQ16").alias("check_id"), nothing, "failed")).unionByName(paid.select(F.lit("DQ23").alias("check_id"), "total", "failed"))
-    of_dataset = rows_of.select(F.col("side").alias("dataset"), F.col("total").alias("rows"))  # eight rows
+    parts += [sums.select(F.lit("DQ16").alias("check_id"), nothing, "failed"), paid.select(F.lit("DQ23").alias("check_id"), "total", "failed")]
+    for part in parts:
+        found = found.unionByName(part)
+    names = F.element_at(F.create_map(*[F.lit(x) for d, who in first.items() for x in (who, d)]), F.col("who"))
+    of_dataset = rows_of.select(names.alias("dataset"), F.col("total").alias("rows"))  # eight rows
     out = _registry(index).join(F.broadcast(found), "check_id", "left").join(F.broadcast(of_dataset), "dataset", "left")
     return out.select("check_id", F.coalesce("total", "rows", F.lit(0)).alias("total"), F.coalesce("failed", F.lit(0)).alias("failed"))
 
@@ -198,8 +223,12 @@ def results(tables: dict[str, DataFrame], threshold: float = THRESHOLD, only: Co
     if only is None:
         index = key_index(tables)
         path = scratch(index.sparkSession)
-        index.write.partitionBy("kind", "side").parquet(path)
-        found = _from_index(index.sparkSession.read.schema(index.schema).parquet(path))
+        index.write.parquet(f"{path}/index")
+        stored = {check: f"{path}/{check}" for check, dataset, _ in UNIQUE if dataset not in _OWN}
+        for check, dataset, key in UNIQUE:
+            if check in stored:
+                repeated(tables[dataset], key).write.parquet(stored[check])
+        found = _from_index(index.sparkSession.read.schema(index.schema).parquet(f"{path}/index"), {check: index.sparkSession.read.schema("key string, n long").parquet(p) for check, p in stored.items()})
     else:
         found = _direct(tables, set(only))
     found = found.join(F.broadcast(_registry(found)), "check_id")

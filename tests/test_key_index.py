@@ -68,3 +68,13 @@ def test_status_of_the_batch_beside_each_check(spark):
     assert len(rows) == 23 and {r["overall"] for r in rows} == {quality.gate(found).first()["overall"]} == {"FAIL"}
     fine = quality.summary(found.where("not critical")).collect()
     assert len(fine) == 2 and {r["overall"] for r in fine} == {"PASS"}
+
+
+def test_index_holds_only_keys_that_are_referred_to(spark):
+    tables = damaged(spark)
+    keys = {r["key"] for r in quality.key_index(tables).select("key").distinct().collect()}
+    lines = {r[0] for r in tables["order_items"].select("order_item_id").distinct().collect()} - {None}
+    assert lines and not keys & lines  # a key for each line would be most of the rows that a task holds
+    assert len(quality.key_index(tables).columns) == 6  # an amount, a set of faults: no column for each dataset and check
+    again = {r["key"]: r["n"] for r in quality.repeated(tables["order_items"], "order_item_id").collect()}
+    assert again and sum(n - 1 for n in again.values()) == counts(quality.results(tables))["DQ08"][1] > 0
