@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -529,10 +529,10 @@ _add(
 _CUTS = (("1", None, "1996-01-01"), ("1", None, "1996-01-01"), ("2", "1996-01-01", "2024-01-15"), ("3", "2024-01-15", None))
 
 
-def _kept(g: Gold, profile: str | None = None) -> kept.KeptGold:
+def _kept(g: Gold, profile: str | None = None, names: Collection[str] = tuple(kept.COLUMNS)) -> kept.KeptGold:
     states = kept.KeptStates(g.tables.spark, scratch(g.tables.spark))
     for batch, first, end in _CUTS:
-        states.add(batch, kept.Batch(g.tables, first, end))
+        states.add(batch, kept.Batch(g.tables, first, end), names)
         if profile is not None:
             kept.refresh_profile(states, g.tables, profile, batch)
     return kept.KeptGold(states, g.tables)
@@ -545,8 +545,9 @@ def _kept_profile(g: Gold) -> DataFrame:
 
 
 _add("C07_kept", lambda g: _plain(_kept_profile(g)), f"select * replace ({_CASTS}) from base")
-_add("R03_kept", lambda g: _kept(g).rfm.select("customer_id", "rfm_score", "customer_segment"), "select customer_id, rfm_score, customer_segment from g_rfm")
-_add("L03_kept", lambda g: _kept(g).clv, "select * from g_clv")
+#: Scores and lifetime values stand on the orders' states alone.
+_add("R03_kept", lambda g: _kept(g, names=["orders"]).rfm.select("customer_id", "rfm_score", "customer_segment"), "select customer_id, rfm_score, customer_segment from g_rfm")
+_add("L03_kept", lambda g: _kept(g, names=["orders"]).clv, "select * from g_clv")
 _add("SNK8_kept", lambda g: _plain(_kept(g).profile_view().withColumn("spend", money(F.col("spend")))), f"select p.* replace ({_CASTS}, {usd('spend')} as spend), v.estimated_lifespan_months, v.estimated_clv from g_profile p left join g_clv v using (customer_id)")
 
 # look-ups of one customer over stored tables in buckets of customers

@@ -9,6 +9,7 @@ lies in buckets of customers, and a batch rewrites only those buckets that its c
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,9 +101,11 @@ class KeptStates:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def add(self, batch: str, tables: Tables) -> None:
-        """Store the states of one batch; those of an earlier load of the same batch are replaced."""
+    def add(self, batch: str, tables: Tables, names: Collection[str] = tuple(COLUMNS)) -> None:
+        """Store the states of one batch, or of them those named; those of an earlier load of the same batch are replaced."""
         for name, state in batch_states(Gold(tables)).items():
+            if name not in names:
+                continue
             # by bucket, so that a task writes few files
             dealt = state.withColumn("bucket", bucket_of(F.col("customer_id"))).repartition("bucket")
             path = f"{self.root}/{name}/batch={batch}"
@@ -145,13 +148,8 @@ class KeptGold(Gold):
         total = [F.sum(c).alias(c) for c in ("total_orders", "completed_orders", "cancelled_orders", "spend")]
         return self._state("orders").groupBy("customer_id").agg(*total, F.min("first_day").alias("first_purchase_date"), F.max("last_day").alias("last_purchase_date"))
 
-    def favourite_product(self) -> DataFrame:
-        best = F.min(F.struct((-F.col("n")).alias("n"), (-F.col("q")).alias("q"), "product_name", "category"))
-        return self._state("products").groupBy("customer_id").agg(best.alias("best")).select("customer_id", F.col("best.product_name").alias("favorite_product"))
-
-    def favourite_category(self) -> DataFrame:
-        counted = self._state("products").groupBy("customer_id", "category").agg(F.sum("q").alias("q"))
-        return counted.groupBy("customer_id").agg(F.min(F.struct((-F.col("q")).alias("q"), "category")).alias("best")).select("customer_id", F.col("best.category").alias("favorite_category"))
+    def product_counts(self) -> DataFrame:
+        return merged("products", self.states.rows("products", self.buckets).repartition("customer_id"))
 
     def web_stats(self) -> DataFrame:
         return self._state("sessions").groupBy("customer_id").agg(F.count("session_id").alias("website_sessions"), F.sum("n").alias("website_events"))

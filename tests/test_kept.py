@@ -90,3 +90,12 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
 def test_reading_one_bucket_prunes_folders(states):
     plan = states.state("orders", [3])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_only_named_states_are_stored(spark, tmp_path):
+    tables = Tables(spark, SMALL)
+    states = kept.KeptStates(spark, f"file://{tmp_path}")
+    for batch, first, end in CUTS:
+        states.add(batch, kept.Batch(tables, first, end), ["orders"])
+    assert os.listdir(tmp_path) == ["orders"]
+    assert rows(kept.KeptGold(states, tables).clv) == rows(Gold(tables).clv)
