@@ -121,3 +121,19 @@ def test_a_cluster_needs_a_shared_folder():
     assert shared_folder(fake("local[2]", None)).startswith("file://")
     with pytest.raises(ValueError):
         shared_folder(fake("yarn", None))
+
+
+def test_favourites_read_the_lines_once(spark):
+    g = Gold(Tables(spark, SMALL))
+    plan = g.base_profile._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and sum("Relation [" in x and "l_orderkey" in x for x in plan.splitlines()) == 1
+
+
+def test_favourites_by_lines_then_quantity_then_name(spark):
+    class Given(Gold):
+        @property
+        def lines(self):
+            rows = [("a", "x", "p", 5), ("a", "x", "q", 1), ("a", "x", "q", 1), ("a", "y", "r", 2), ("b", "x", "q", None), ("b", "y", "p", None), ("c", "y", "p", 3), ("c", "x", "p", 3), ("c", "x", "n", None), ("d", "z", "m", None), ("d", "y", "n", -1)]
+            return spark.createDataFrame(rows, "customer_id string, category string, product_name string, quantity int")
+
+    assert {r[0]: tuple(r)[1:] for r in Given(None).favourites().collect()} == {"a": ("q", "x"), "b": ("p", "x"), "c": ("p", "x"), "d": ("n", "y")}
