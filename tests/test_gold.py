@@ -137,3 +137,11 @@ def test_favourites_by_lines_then_quantity_then_name(spark):
             return spark.createDataFrame(rows, "customer_id string, category string, product_name string, quantity int")
 
     assert {r[0]: tuple(r)[1:] for r in Given(None).favourites().collect()} == {"a": ("q", "x"), "b": ("p", "x"), "c": ("p", "x"), "d": ("n", "y")}
+
+
+def test_counts_of_ranges_read_one_column(spark):
+    df = spark.range(100).select(F.col("id").cast("string").alias("a.b c"), F.lit("wide").alias("w"))
+    out = ranking.global_row_number(df, [F.col("`a.b c`")], "n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<__range:bigint>" in plan and "ExistingRDD" not in plan
+    assert [r[0] for r in out.orderBy("n").collect()] == sorted(map(str, range(100)))
