@@ -145,3 +145,8 @@ def test_counts_of_ranges_read_one_column(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<__range:bigint>" in plan and "ExistingRDD" not in plan
     assert [r[0] for r in out.orderBy("n").collect()] == sorted(map(str, range(100)))
+
+
+def test_counts_of_products_stay_dealt_to_all_tasks(spark):
+    plan = Gold(Tables(spark, SMALL)).favourite_product()._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "WindowGroupLimit" not in plan
