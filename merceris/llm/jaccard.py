@@ -226,8 +226,8 @@ def similar_pairs(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.
     return np.stack([rows[pairs[:, 0]], pairs[:, 1]], axis=1)
 
 
-def _joining(pairs: np.ndarray, a: list, b: list) -> list[int]:
-    """Those of the pairs (indexes of names) that join names that no earlier pair has joined."""
+def _stars(pairs: np.ndarray, a: list, b: list) -> pd.DataFrame:
+    """Links of the names that the pairs (indexes of names) join: the least of each component and each of its others."""
     root: dict = {}
 
     def find(x):
@@ -236,36 +236,37 @@ def _joining(pairs: np.ndarray, a: list, b: list) -> list[int]:
             x = root[x]
         return x
 
-    out = []
-    for k, (i, j) in enumerate(pairs.tolist()):
+    for i, j in pairs.tolist():
         x, y = find(a[i]), find(b[j])
         if x != y:
-            root[y] = x
-            out.append(k)
-    return out
+            root[max(x, y)] = min(x, y)
+    return pd.DataFrame([(find(x), x) for x in list(root) if find(x) != x], columns=["a", "b"])
 
 
 def _edges(group: pd.DataFrame, test: Test) -> pd.DataFrame:
-    """Links that join the components (column ``component``) of one block, or of two blocks (column ``side``)."""
-    group = group.sort_values("cid")  # so that lists of the same classes give the same links
+    """Links of the components (column ``component``) that one block joins, or two blocks (column ``side``) with each other."""
     sides = [group[group["side"] == k] for k in (1, 2)]
     own, other = ((g["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["data"]]) for g in sides)
     if not len(sides[1]):
         other, sides = own, [sides[0], sides[0]]
-    pairs = test(*own, *other)
-    merging = _joining(pairs, *(g["component"].tolist() for g in sides))
-    a, b = (g["cid"].to_numpy() for g in sides)
-    return pd.DataFrame({"a": a[pairs[merging, 0]], "b": b[pairs[merging, 1]]})
+    return _stars(test(*own, *other), *(g["component"].tolist() for g in sides))
+
+
+def _relabelled(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """``labels`` (with a column component) once components are joined as ``step`` (node, component) tells."""
+    step = step.select(F.col("node").alias("component"), F.col("component").alias("__joined"))
+    return labels.join(step, "component", "left").withColumn("component", F.coalesce("__joined", "component")).drop("__joined")
 
 
 def _linked(lists: DataFrame, links: DataFrame, test: Test, block: tuple[int, int]) -> DataFrame:
-    """``links`` and such others that all classes that have a key in common and pass ``test`` are joined by links.
+    """(node, component) by ``links`` and by such others that all classes that have a key in common and pass ``test`` are joined.
 
     lists: (key, home, cid, n, data). The list of a key is dealt into blocks. Inside a block all classes are compared, if
     it is the only one of its key or the key is the class's home. As long as that joins many, the least class of each
     component goes to blocks of its keys again; so a long list of similar classes becomes one component by a number of
     comparisons in proportion to its length. At last, in keys of several blocks that still hold several components,
-    blocks of different components are compared.
+    blocks of different components are compared. Links found later join components that are known, by their least
+    classes, so no link is followed twice; and keys whose classes are one component are left out from then on.
     """
     most, most_bytes = block
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / most), F.ceil(size / most_bytes))
@@ -278,26 +279,36 @@ def _linked(lists: DataFrame, links: DataFrame, test: Test, block: tuple[int, in
         return stored(rows.groupBy("key", "block").applyInPandas(run, "a long, b long"))
 
     at_home = lists.join(dealt, "key").where("home or blocks = 1").withColumn("component", F.col("cid"))
-    links = links.unionByName(within(at_home))
+    found = components(links.unionByName(within(at_home)))
     large = stored(dealt.where("blocks > 1").select("key"))
     if large.isEmpty():
-        return links
-    light = stored(lists.join(large, "key").select("key", "cid", F.length("data").alias("size")))
+        return found
+
+    def joined(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``found`` and ``rows`` with links between least classes; a class without links so far is its own component."""
+        step = components(more)
+        known = found.unionByName(step.select("node", F.col("node").alias("component"))).distinct()
+        return stored(_relabelled(known, step).select("node", "component")), _relabelled(rows, step)
+
+    label = found.withColumnRenamed("node", "cid")
+    light = lists.join(large, "key").select("key", "cid", F.length("data").alias("size"))
+    rows = stored(light.join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
     before = None
     while True:
-        found = components(links).withColumnRenamed("node", "cid")
-        rows = light.join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         rows = stored(rows.join(several, "key"))
         leaders = stored(rows.groupBy("key", "component").agg(F.min("cid").alias("cid"), F.max("size").alias("size")))
         count = leaders.count()
         if not count:
-            return links
+            return found
         if before is not None and 2 * count > before:
             break
         before = count
         again = leaders.groupBy("key").agg(blocks(F.count("*"), F.count("*") * F.max("size")).alias("blocks"))
-        links = links.unionByName(within(lists.join(leaders.drop("size"), ["key", "cid"]).join(again, "key")))
+        more = within(lists.join(leaders.drop("size"), ["key", "cid"]).join(again, "key"))
+        if more.isEmpty():
+            break
+        found, rows = joined(more)
     total = rows.groupBy("key").agg(blocks(F.count("*"), F.sum("size")).alias("parts"))
     each = rows.groupBy("key", "component").agg(blocks(F.count("*"), F.sum("size")).alias("own"))
     part = F.struct(F.pmod(F.xxhash64("component"), "parts").alias("part"), F.when(F.col("own") > 1, F.col("component")).otherwise(-1).alias("of"), F.pmod(F.xxhash64("cid"), "own").alias("block"))
@@ -308,7 +319,8 @@ def _linked(lists: DataFrame, links: DataFrame, test: Test, block: tuple[int, in
     met = stored(left.join(right, "key").where((F.col("grp1") <= F.col("grp2")) & ~one).select("key", "grp1", "grp2"))
     full = members.join(lists.select("key", "cid", "n", "data"), ["key", "cid"])
     sides = [met.where(F.lit(k == 1) | (F.col("grp1") < F.col("grp2"))).join(full.withColumnRenamed("grp", f"grp{k}"), ["key", f"grp{k}"]).select(*names, F.lit(k).alias("side"), "grp1", "grp2") for k in (1, 2)]
-    return links.unionByName(stored(sides[0].unionByName(sides[1]).groupBy("key", "grp1", "grp2").applyInPandas(run, "a long, b long")))
+    more = stored(sides[0].unionByName(sides[1]).groupBy("key", "grp1", "grp2").applyInPandas(run, "a long, b long"))
+    return found if more.isEmpty() else joined(more)[0]
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,11 +391,11 @@ def _class_components(rows: DataFrame, words: int, percent: int, key: bytes) ->
     classes = described.groupBy("class").agg(lowest, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "mark", "first", "signs")])
     classes = stored(classes.select("class", "mark", F.monotonically_increasing_id().alias("cid"), "lowest.*", "copies", "n", "first", "signs"))
     postings = finished(lambda: _postings(rows, classes, words, percent, key))
-    coarse = finished(lambda: components(_coarse_links(postings, classes.select("cid", "n", "signs"), percent)))
+    coarse = finished(lambda: _coarse(postings, classes.select("cid", "n", "signs"), percent))
     wanted = stored(classes.join(coarse, classes["cid"] == coarse["node"]).select("class", "mark", "cid", F.col("component").alias("key")))
     sets = _sets(rows, wanted, words, key)
     none = rows.sparkSession.createDataFrame([], "a long, b long")
-    found = finished(lambda: components(_linked(sets, none, lambda n, a, m, b: similar_pairs(a, b, percent), SETS)))
+    found = finished(lambda: _linked(sets, none, lambda n, a, m, b: similar_pairs(a, b, percent), SETS))
     least = classes.select("class", "cid", "unnamed", *keys, "copies").join(found.withColumnRenamed("node", "cid"), "cid", "left")
     return least.withColumn("component", F.coalesce("component", "cid"))
 
@@ -455,8 +467,8 @@ def _differ(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), ones(a, b)).when(F.size(a) == 2 * F.size(b), ones(half(a), b)).when(2 * F.size(a) == F.size(b), ones(a, half(b)))
 
 
-def _coarse_links(postings: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of cids; every two similar classes are joined by them, and few others."""
+def _coarse(postings: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of cids by links that join every two similar classes, and few others."""
     lists = stored(postings.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1"))
     few = stored(postings.join(lists.where(F.col("classes") <= FEW).select("token"), "token"))
     left, right = (few.select("token", F.col("cid").alias(f"cid{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
@@ -469,7 +481,7 @@ def _coarse_links(postings: DataFrame, signs: DataFrame, percent: int) -> DataFr
     links = stored(pairs.where(near).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")))
     long = stored(lists.where(F.col("classes") > FEW))
     if long.isEmpty():
-        return links
+        return components(links)
     many = postings.join(long, "token")
     # home is the longest list: the classes of one large group are likely to have it in common
     home = many.groupBy("cid").agg(F.max_by("token", F.struct("classes", "token")).alias("home"))

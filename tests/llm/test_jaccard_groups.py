@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,22 @@ def test_clashing_columns_and_very_long_texts(spark):
     assert pairs(jaccard.jaccard_components(docs, 3, 90), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
+
+
+def test_links_of_a_block_lead_to_its_least_class():
+    n = 60
+    near = np.array([(k, k + 1) for k in range(n - 1)])
+    group = pd.DataFrame({"cid": range(n), "component": range(n), "n": 1, "data": b"", "side": 1})
+    found = jaccard._edges(group, lambda *_: near)
+    assert sorted(zip(found["a"], found["b"], strict=True)) == [(0, k) for k in range(1, n)]
+
+
+def test_no_link_is_followed_twice(spark, monkeypatch):
+    links, known = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda found: links.append(found.count()) or known(found))
+    lists = spark.createDataFrame([(7, True, k, 1, np.array([k], np.uint64).tobytes()) for k in range(30)], "key long, home boolean, cid long, n long, data binary")
+    every = lambda n, a, m, b: np.argwhere(np.abs(np.concatenate(a).astype(int)[:, None] - np.concatenate(b).astype(int)) < 29)
+    found = jaccard._linked(lists, spark.createDataFrame([], "a long, b long"), every, (5, 1 << 20))
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(30)]
+    # each link joins two components; later calls don't get those of earlier ones again
+    assert len(links) > 1 and sum(links) < 40
