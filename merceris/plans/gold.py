@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merceris.functions.columns import cents, half_up, money, month_of, months_between_whole
+from merceris.functions.storage import stored
 from merceris.operators.ranking import ntiles
 from merceris.operators.star import with_full_name, with_line_amount
 from merceris.sources.adapter import Tables
@@ -74,6 +75,14 @@ class Gold:
             F.max(F.when(done, F.col("day"))).alias("last_purchase_date"),
         )
 
+    def order_months(self) -> DataFrame:
+        """The sums of ``order_stats`` by customer and month."""
+        done = F.col("done")
+        return self.orders.groupBy("customer_id", month_of(F.col("day")).alias("month")).agg(
+            F.count("*").alias("total_orders"), F.count_if(done).alias("completed_orders"), F.count_if(F.col("order_status") == "cancelled").alias("cancelled_orders"),
+            F.coalesce(F.sum(F.when(done, F.col("amount"))), F.lit(0)).alias("spend"), F.min(F.when(done, F.col("day"))).alias("first_day"), F.max(F.when(done, F.col("day"))).alias("last_day"),
+        )
+
     def product_counts(self) -> DataFrame:
         """n lines and their quantity by customer, category and product; dealt by customer first, so what follows by customer moves no rows."""
         lines = self.lines.select("customer_id", "category", "product_name", "quantity")
@@ -215,4 +224,47 @@ class Gold:
         return df.select("customer_id", money(F.col("spend")).alias("historical_clv"), "average_order_value", "purchase_frequency", half_up(F.col("top"), F.col("bottom"), 2).alias("estimated_lifespan_months"), half_up(worth, F.col("bottom") * 1000000, 2).alias("estimated_clv"))
 
     def profile_view(self) -> DataFrame:
-        return self.profile.join(self.clv.select("customer_id", "estimated_lifespan_months", "estimated_clv"), "customer_id", "left")
+        """Profile and lifetime value. Scores, months and sums ask for the orders many times over, so what they need is stored first."""
+        once = GoldOfMonths(self)
+        return once.profile.join(once.clv.select("customer_id", "estimated_lifespan_months", "estimated_clv"), "customer_id", "left")
+
+
+def stats_of_months(months: DataFrame) -> DataFrame:
+    """``order_stats`` from order sums by customer and month."""
+    total = [F.sum(c).alias(c) for c in ("total_orders", "completed_orders", "cancelled_orders", "spend")]
+    return months.groupBy("customer_id").agg(*total, F.min("first_day").alias("first_purchase_date"), F.max("last_day").alias("last_purchase_date"))
+
+
+class GoldOfMonths(Gold):
+    """The gold tables of ``whole`` after one pass over its orders: their sums by customer and month, and by customer, are stored."""
+
+    def __init__(self, whole: Gold):
+        super().__init__(whole.tables)
+        self.whole, self.as_of = whole, whole.as_of
+        self.months = stored(whole.order_months())
+        self.stats = stored(stats_of_months(self.months))
+
+    @cached_property
+    def people(self) -> DataFrame:
+        return self.whole.people
+
+    def order_stats(self) -> DataFrame:
+        return self.stats
+
+    def product_counts(self) -> DataFrame:
+        return self.whole.product_counts()
+
+    def web_stats(self) -> DataFrame:
+        return self.whole.web_stats()
+
+    def ticket_stats(self) -> DataFrame:
+        return self.whole.ticket_stats()
+
+    def campaign_stats(self) -> DataFrame:
+        return self.whole.campaign_stats()
+
+    def customer_months(self) -> DataFrame:
+        return self.months.where("completed_orders > 0").select("customer_id", "month")
+
+    def monthly_revenue(self) -> DataFrame:
+        return self.months.where("completed_orders > 0").groupBy(F.col("month").alias("metric_month")).agg(F.sum("spend").alias("revenue"))

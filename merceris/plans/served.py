@@ -25,15 +25,14 @@ def bucket_of(customer: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(customer), F.lit(buckets)).cast("int")
 
 
-def _tables(g: Gold) -> dict[str, DataFrame]:
-    return {"profile": g.profile_view(), "orders": g.orders, "lines": g.lines, "events": g.tables.website_events(), "tickets": g.tables.customer_support()}
+def _table(g: Gold, name: str) -> DataFrame:
+    return {"profile": g.profile_view, "orders": lambda: g.orders, "lines": lambda: g.lines, "events": g.tables.website_events, "tickets": g.tables.customer_support}[name]()
 
 
 def store(g: Gold, root: str, names: Sequence[str] = NAMES, buckets: int = BUCKETS, files: int = FILES) -> None:
     """Write the tables named, one file for each bucket and part of its rows."""
-    for name, df in _tables(g).items():
-        if name not in names:
-            continue
+    for name in names:
+        df = _table(g, name)
         part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files))
         dealt = df.withColumn("bucket", bucket_of(F.col("customer_id"), buckets)).repartition(buckets * files, "bucket", part).sortWithinPartitions("bucket", "customer_id")
         dealt.write.option("parquet.bloom.filter.enabled#customer_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("bucket").parquet(f"{root.rstrip('/')}/{name}")

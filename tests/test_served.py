@@ -41,3 +41,8 @@ def test_few_files_are_read(spark, root):
         pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
         assert f"EqualTo(customer_id,{ALL[0]})" in pushed
         assert own.count() == spark.read.parquet(f"{root}/{name}").where(f"customer_id = '{ALL[0]}'").count()
+
+
+def test_a_profile_reads_the_orders_once_more_for_its_lines_only(spark):
+    plan = Gold(Tables(spark, SMALL)).profile_view()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{SMALL}/orders.parquet") == 1
