@@ -15,8 +15,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merceris.functions.columns import cents, half_up, month_of
-from merceris.plans.gold import Gold
+from merceris.functions.columns import cents, half_up
+from merceris.plans.gold import Gold, stats_of_months
 from merceris.sources import io
 from merceris.sources.adapter import Tables
 
@@ -73,16 +73,21 @@ def bucket_of(customer: Column) -> Column:
     return F.pmod(F.xxhash64(customer), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
+def _product_state(lines: DataFrame) -> DataFrame:
+    """Counts by customer and product, with their bucket: lines are dealt as they will be stored, so the counts, which are almost as many, need no shuffle."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.hash("customer_id"), F.lit(-(-parts // BUCKETS))).alias("part")
+    dealt = lines.select("customer_id", "category", "product_name", "quantity", bucket_of(F.col("customer_id")), part).repartition(parts, "bucket", "part")
+    return dealt.groupBy("bucket", "part", *KEYS["products"]).agg(F.count("*").alias("n"), F.sum("quantity").alias("q")).drop("part")
+
+
 def batch_states(gold: Gold) -> dict[str, DataFrame]:
     """The states of the rows that ``gold`` stands on."""
-    done, hours = F.col("done"), cents(F.col("resolution_time"))
+    hours = cents(F.col("resolution_time"))
     tables = gold.tables
     return {
-        "orders": gold.orders.groupBy("customer_id", month_of(F.col("day")).alias("month")).agg(
-            F.count("*").alias("total_orders"), F.count_if(done).alias("completed_orders"), F.count_if(F.col("order_status") == "cancelled").alias("cancelled_orders"),
-            F.coalesce(F.sum(F.when(done, F.col("amount"))), F.lit(0)).alias("spend"), F.min(F.when(done, F.col("day"))).alias("first_day"), F.max(F.when(done, F.col("day"))).alias("last_day"),
-        ),
-        "products": gold.lines.groupBy("customer_id", "category", "product_name").agg(F.count("*").alias("n"), F.sum("quantity").alias("q")),
+        "orders": gold.order_months(),
+        "products": _product_state(gold.lines),
         "sessions": tables.website_events().groupBy("customer_id", "session_id").agg(F.count("*").alias("n")),
         "tickets": tables.customer_support().groupBy("customer_id").agg(F.count("*").alias("tickets"), F.count_if(F.col("status").isin("resolved", "closed")).alias("resolved"), F.sum(hours).alias("hours"), F.count(hours).alias("timed")),
         "touches": tables.campaign_interactions().groupBy("customer_id").agg(F.count("*").alias("n")),
@@ -107,9 +112,9 @@ class KeptStates:
             if name not in names:
                 continue
             # by bucket, so that a task writes few files
-            dealt = state.withColumn("bucket", bucket_of(F.col("customer_id"))).repartition("bucket")
+            dealt = state if "bucket" in state.columns else state.withColumn("bucket", bucket_of(F.col("customer_id"))).repartition("bucket")
             path = f"{self.root}/{name}/batch={batch}"
-            dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
+            dealt.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
 
     def rows(self, name: str, buckets: list[int] | None = None, batch: str | None = None) -> DataFrame:
         """Partial states; the conditions prune folders."""
@@ -145,8 +150,10 @@ class KeptGold(Gold):
         return every if self.buckets is None else every.where(bucket_of(F.col("customer_id")).isin(self.buckets))
 
     def order_stats(self) -> DataFrame:
-        total = [F.sum(c).alias(c) for c in ("total_orders", "completed_orders", "cancelled_orders", "spend")]
-        return self._state("orders").groupBy("customer_id").agg(*total, F.min("first_day").alias("first_purchase_date"), F.max("last_day").alias("last_purchase_date"))
+        return stats_of_months(self._state("orders"))
+
+    def order_months(self) -> DataFrame:
+        return self._state("orders")
 
     def product_counts(self) -> DataFrame:
         return merged("products", self.states.rows("products", self.buckets).repartition("customer_id"))

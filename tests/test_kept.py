@@ -99,3 +99,8 @@ def test_only_named_states_are_stored(spark, tmp_path):
         states.add(batch, kept.Batch(tables, first, end), ["orders"])
     assert os.listdir(tmp_path) == ["orders"]
     assert rows(kept.KeptGold(states, tables).clv) == rows(Gold(tables).clv)
+
+
+def test_counts_of_products_are_dealt_as_they_are_stored(spark):
+    plan = kept.batch_states(Gold(Tables(spark, SMALL)))["products"]._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(customer_id" not in plan
