@@ -8,21 +8,27 @@ packed best-fit, longest first. The plan, a bounded table, is then looked up by
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, stored
+from .common import ids_and_texts, spelt_out, stored
 
 CAPACITY = 2048
-#: White-space-bound chunks whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers, and as many that were in use before these.
+REMEMBERED = 125_000
+
+#: Texts that a task holds as Python strings at once.
+AT_ONCE = 250
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), the sequence's pieces in order
 
@@ -148,12 +154,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
+class Remembered(dict):
+    """What ``make`` gave for each key. When full, what isn't asked for again before the next time is forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.older = self.copy()
+            self.clear()
+        self[key] = found
+        return found
+
+
 class ChunkTokenizer:
-    """Ids of a text from remembered ids of its white-space-bound chunks.
+    """Ids of a text from remembered ids of its words.
 
-    For the word vocabulary, whose normalizer and pre-tokenizer never look across white space. Chunks of plain Latin
-    characters are lower-cased, split by the vocabulary's own pattern and given to its model word by word; any other
-    chunk goes through the whole tokenizer.
+    For the word vocabulary, whose normalizer and pre-tokenizer never look across white space. Texts of plain Latin
+    characters are lower-cased, split by the vocabulary's own pattern and given to its model word by word. Other texts
+    are taken apart at white space; plain chunks are split in the same way, any other goes through the whole tokenizer.
     """
 
     #: str.split() also splits at these, which the vocabulary's pattern does not count as white space.
@@ -163,49 +186,42 @@ class ChunkTokenizer:
         import json
         import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # characters that are composed already and whose lower case needs no context
+        plain = "\x21-\x7e\xa1-\u012f\u0131-\u024f"
+        self.plain_text = re.compile(f"[\\s{plain}]*").fullmatch
+        self.plain = re.compile(f"[{plain}]+").fullmatch
+        own = "".join(sorted({x for c in map(chr, range(0x250)) if self.plain(c) for x in (c, c.lower())}))
         with open(path, encoding="utf-8") as file:
             splits = json.load(file)["pre_tokenizer"]["pretokenizers"]
-        self.split = regex.compile(splits[0]["pattern"]["Regex"]).findall
-        # characters that are composed already and whose lower case needs no context
-        self.plain = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+").fullmatch
+        self.split = re.compile(spelt_out(splits[0]["pattern"]["Regex"], own)).findall
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words, self.chunks = Remembered(self._word), Remembered(self._chunk)
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
-        return found
+        shown = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if self.plain(chunk) and "<|" not in chunk:
-            return b"".join([self._word(w) for w in self.split(chunk.lower())])
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            return b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
+        return self._whole(chunk)
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in self.ODD):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks, known = text.split(), self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = self._chunk(c)
-            return b"".join([known[c] for c in chunks])
+            return self._whole(text)
+        if self.plain_text(text) and "<|" not in text:
+            return b"".join(map(self.words.__getitem__, self.split(text.lower())))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
@@ -217,7 +233,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     Rows (doc_id, piece, start, length, ids_crc32, part, number): number counts a task's pieces of one length from 0.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -225,18 +241,20 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
             _tokenizers[vocabulary] = ChunkTokenizer(vocabulary)
         encode, part, seen = _tokenizers[vocabulary].encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    length = len(own) // 4
-                    rows.append((doc, piece, at // 4, length, zlib.crc32(own), part, seen[length]))
-                    seen[length] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"]).astype({"doc_id": "Int64"})
-
-    return ids_and_texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long")
+            for first in range(0, batch.num_rows, AT_ONCE):
+                rows = []
+                for doc, text in zip(*(c.to_pylist() for c in batch.slice(first, AT_ONCE).columns), strict=True):
+                    ids = encode(text or "") + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[at : at + 4 * capacity]
+                        length = len(own) // 4
+                        rows.append((doc, piece, at // 4, length, zlib.crc32(own), part, seen[length]))
+                        seen[length] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
