@@ -25,6 +25,8 @@ RIDGE = 1e-4
 #: Cells of the raw score between -1 and 2, within which calibration counts rows and labels.
 CELLS = 3_000
 SEED = 20240917
+#: Texts that a task holds as Python strings at once.
+AT_ONCE = 250
 
 #: Byte classes, each a statistic; bytes from 128 on and those not named are classes of their own.
 CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\n", b".,;:'\"-()", b"!?", b"|<>{}[]\\/", b"#$%&*+=@^_~`")
@@ -58,13 +60,13 @@ def statistics(texts: list[str | None]) -> np.ndarray:
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stats array<double>) for every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "stats": list(statistics(part["text"].tolist()))})
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(list(statistics(part.column(1).to_pylist())), pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
-    return ids_and_texts(docs, id_col, text_col).mapInPandas(run, "doc_id long, stats array<double>")
+    return ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, stats array<double>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -207,8 +209,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 yield part.filter(pa.array(model.score(statistics(part.column(text_col).to_pylist())) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
