@@ -1,9 +1,10 @@
 """Repeated byte strings across a corpus, by suffix order of content-defined shards.
 
 Every window of ``span`` bytes picks an anchor, its substring of least hash; equal windows pick the same anchor at the
-same place. Neighbouring windows with one anchor make a run. Runs whose anchor occurs once hold nothing repeated, and
-runs that are equal wherever their anchor occurs are repeated as a whole; both are settled by counts. The other runs,
-one of each distinct content, go to shards by anchor, so equal windows always meet. A shard is sorted by external
+same place. Neighbouring windows with one anchor make a run. Runs whose anchor occurs once hold nothing repeated; runs
+that a text has twice, as words or lines said over and over, and runs that are equal wherever their anchor occurs are
+repeated as a whole; these are settled by counts, and equal runs of a text are one row with all their starts. The other
+runs, one of each distinct content, go to shards by anchor, so equal windows always meet. A shard is sorted by external
 induced sorting, whose queues spill to disk, and a window is repeated if its suffix shares ``span`` bytes with a
 neighbour in suffix order.
 """
@@ -84,6 +85,17 @@ def runs(raw: bytes, span: int, share: int = ANCHORS[0]) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def distinct_runs(text: np.ndarray, anchor: np.ndarray, mark: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The first of each text's equal runs, and the starts of all of them in order; ``text`` is the text's number."""
+    if not len(text):
+        return np.zeros(0, np.int64), []
+    order = np.lexsort((start, mark, anchor, text))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([np.diff(x[order]) != 0 for x in (text, anchor, mark)], axis=0)
+    first = np.flatnonzero(new)
+    return order[first], np.split(start[order], first[1:])
+
+
 def repeated_in_shard(contents: list[bytes], windows: list[int], copies: list[int], span: int) -> list[np.ndarray]:
     """For each run, which of its windows are repeated, in the shard or by the run's copies."""
     symbols = np.concatenate([x for raw in contents for x in (np.frombuffer(raw, np.uint8).astype(np.uint16) + np.uint16(2), np.ones(1, np.uint16))] + [np.zeros(1, np.uint16)])
@@ -159,7 +171,7 @@ def _verdicts(contents: DataFrame, span: int, anchors: tuple[int, ...], many_run
 
 
 def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) -> DataFrame:
-    """(key, cover): for each distinct text with repeated windows, structs (start, windows, bits); null bits mean all."""
+    """(key, cover): for each distinct text with repeated windows, structs (starts, windows, bits) of its distinct runs; null bits mean all."""
     spark = keyed.sparkSession
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,13 +198,15 @@ def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) ->
                 sizes = part["anchor"].map(len).to_numpy()
                 flat = {c: np.concatenate(part[c].to_list()) for c in ("start", "windows", "anchor", "mark")}
                 keep = in_key_set(bits, flat["anchor"])
-                yield pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), sizes)[keep], **{c: v[keep] for c, v in flat.items()}})
+                text, flat = np.repeat(np.arange(len(part)), sizes)[keep], {c: v[keep] for c, v in flat.items()}
+                first, starts = distinct_runs(text, flat["anchor"], flat["mark"], flat.pop("start"))
+                yield pd.DataFrame({"key": part["key"].to_numpy()[text[first]], "starts": starts, **{c: v[first] for c, v in flat.items()}})
 
     # exact copies of a text give the same rows, so a run's copies are counted before they are made one
-    live = described.mapInPandas(pick, "key binary, start long, windows int, anchor long, mark long")
-    live = live.groupBy("key", "start").agg(F.first("windows").alias("windows"), F.first("anchor").alias("anchor"), F.first("mark").alias("mark"), F.count("*").alias("texts"))
-    live = stored(live.join(repeated, "anchor"))
-    kinds = live.where("open").groupBy("anchor", "mark").agg(F.sum("texts").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("at"))
+    live = described.mapInPandas(pick, "key binary, starts array<long>, windows int, anchor long, mark long")
+    live = live.groupBy("key", "anchor", "mark").agg(F.first("windows").alias("windows"), F.first("starts").alias("starts"), F.count("*").alias("texts"))
+    live = stored(live.join(repeated, "anchor").withColumn("places", F.col("texts") * F.size("starts")))
+    kinds = live.where("open").groupBy("anchor", "mark").agg(F.sum("places").alias("copies"), F.min(F.struct("key", F.col("starts")[0].alias("start"), "windows")).alias("at"))
     kinds = stored(kinds)
     wanted = kinds.select("at.*", "anchor", "mark", F.least("copies", F.lit(2)).cast("int").alias("copies"))
     listed = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "anchor", "mark", "copies")).alias("wanted"))
@@ -214,14 +228,16 @@ def repeated_windows(keyed: DataFrame, span: int, many_runs: int = MANY_RUNS) ->
 
     contents = keyed.select("key", "text").join(listed, "key").select("text", "wanted").mapInPandas(cut, "anchor long, mark long, copies int, windows int, content binary")
     verdicts = finished(lambda: _verdicts(stored(contents.dropDuplicates(["anchor", "mark"])), span, ANCHORS[1:], many_runs))
-    cover = live.where("open").join(verdicts, ["anchor", "mark"]).select("key", "start", "windows", "bits").unionByName(live.where("not open").select("key", "start", "windows", F.lit(None).cast("binary").alias("bits")))
-    return cover.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "bits")).alias("cover"))
+    told = live.where("open and places = 1").join(verdicts, ["anchor", "mark"]).select("key", "starts", "windows", "bits")
+    whole = live.where("not open or places > 1").select("key", "starts", "windows", F.lit(None).cast("binary").alias("bits"))
+    cover = told.unionByName(whole)
+    return cover.groupBy("key").agg(F.collect_list(F.struct("starts", "windows", "bits")).alias("cover"))
 
 
 def _covered(cover, size: int, span: int) -> np.ndarray:
     if cover is None or not len(cover):
         return np.zeros((0, 2), np.int64)
-    starts = [w["start"] + (np.arange(w["windows"]) if w["bits"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(w["bits"], np.uint8))[: w["windows"]])) for w in cover]
+    starts = [np.add.outer(w["starts"], np.arange(w["windows"]) if w["bits"] is None else np.flatnonzero(np.unpackbits(np.frombuffer(w["bits"], np.uint8))[: w["windows"]])).ravel() for w in cover]
     return spans_of(np.concatenate(starts), size, span)
 
 
