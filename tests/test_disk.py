@@ -96,3 +96,19 @@ def test_a_failing_stage_is_a_failed_try_of_its_step(spark, monkeypatch):
     last = {r["step"]: (r["status"], r["error"]) for r in runlog.read_tries(spark, f"{root}/log").collect()}
     assert last["clean_orders"] == ("SUCCESS", None) and last["clean_order_items"][0] == "FAILED" and "no disk" in last["clean_order_items"][1] and "clean_payments" not in last
     assert [(r["status"], r["failed_steps"]) for r in runlog.read_runs(spark, f"{root}/log").collect()] == [("FAILED", 1)]
+
+
+def test_purchases_in_stages_are_those_of_the_lines(spark):
+    tables, staged = Tables(spark, SMALL), []
+
+    def stage(df):
+        staged.append(df.columns)
+        return storage.stored(df, "zstd")
+
+    rows = lambda df: sorted(map(str, df.collect()))
+    made, plain = retail.StagedGold(tables, "2001-09-01", stage), Gold(tables)
+    assert rows(made.purchases()) == rows(plain.purchases())
+    assert staged == [["product_id", "quantity", "customer_id"], ["customer_id", "category", "product_name", "quantity"]]
+    assert rows(made.favourites()) == rows(plain.favourites())
+    plan = made.product_counts()._jdf.queryExecution().toString()
+    assert "Join" not in plan  # both joins have ended, and their shuffles are gone, before purchases are dealt to customers
