@@ -9,7 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from merceris.functions import storage
-from merceris.operators import clean
+from merceris.operators import clean, star
 from merceris.plans import catalog, retail, runlog
 from merceris.plans.gold import Gold
 from merceris.sources.adapter import Tables
@@ -112,3 +112,17 @@ def test_purchases_in_stages_are_those_of_the_lines(spark):
     assert rows(made.favourites()) == rows(plain.favourites())
     plan = made.product_counts()._jdf.queryExecution().toString()
     assert "Join" not in plan  # both joins have ended, and their shuffles are gone, before purchases are dealt to customers
+
+
+def test_line_facts_in_stages_are_the_same(spark):
+    tables, staged = Tables(spark, SMALL), []
+    orders = tables.orders().withColumn("order_key", F.crc32("order_id"))
+    products = tables.products().where("product_id > 'PROD00000050'").withColumn("product_key", F.crc32("product_id"))
+
+    def stage(df):
+        staged.append(sorted(df.columns))
+        return storage.stored(df)
+
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(star.fact_order_items(tables.order_items(), orders, products, stage)) == rows(star.fact_order_items(tables.order_items(), orders, products))
+    assert staged == [["discount", "order_id", "order_item_id", "product_key", "quantity", "unit_price"]]
